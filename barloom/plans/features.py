@@ -318,7 +318,7 @@ define_cte(
 
 
 @query(
-    "symbol:s date:d ema_10 ema_20 ema_50 ema_200 macd macd_signal rsi_wilder_14 atr_wilder_14",
+    "symbol:s date:d ema_10:f4 ema_20:f4 ema_50:f4 ema_200:f4 macd:f4 macd_signal:f4 rsi_wilder_14:f4 atr_wilder_14:f4",
     covers="WIN-3 WIN-4 WIN-6 WIN-8 UDF-2",
     sql=with_(
         "ewm",
