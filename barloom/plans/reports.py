@@ -236,7 +236,7 @@ define_cte(
     "srec0",
     f"""SELECT b.*, row_number() OVER (PARTITION BY symbol ORDER BY date) AS history, {chg('close')} AS ret_1d, {chg('close', 21)} AS ret_1m,
   {", ".join(f"{chg('close', n)} AS ret_{n}" for n in _cr)}, {", ".join(f"{roll('avg', 'close', n)} AS sma{n}" for n in (20, 50, 150, 200))},
-  {roll('max', 'high', 20, -1)} AS pivot, {roll('max', 'high', 252)} AS high52, {roll('min', 'low', 252)} AS low52,
+  {roll('max', 'high', 20, -1)} AS pvt, {roll('max', 'high', 252)} AS high52, {roll('min', 'low', 252)} AS low52,
   volume / nullif({roll('avg', 'volume', 20)}, 0) AS volume_ratio, CASE WHEN close < {lag('close')} THEN volume END AS dv,
   close / bclose AS rat FROM (SELECT bars.*, bench.close AS bclose FROM bars LEFT JOIN bench USING (date)) b""",
     "bars bench",
@@ -270,8 +270,8 @@ define_cte(
     "snap",
     """SELECT s.*, u.sector, r5, stage5, s.rs_rating - r5 AS rs_change_5d, s.rs_rating - r20 AS rs_change_20d,
   close > sma50 AND sma50 > sma150 AND sma150 > sma200 AND coalesce(sma200 > p200, FALSE) AND close >= high52 * 0.75 AND close >= low52 * 1.25 AS trend_template,
-  close / high52 - 1 AS distance_52w_high, close / low52 - 1 AS distance_52w_low, close / pivot - 1 AS distance_to_pivot,
-  coalesce(close > pivot AND volume_ratio >= 1.5, FALSE) AS breakout, coalesce(close / pivot - 1 BETWEEN -0.03 AND 0, FALSE) AS near_breakout,
+  close / high52 - 1 AS distance_52w_high, close / low52 - 1 AS distance_52w_low, close / pvt - 1 AS distance_to_pivot,
+  coalesce(close > pvt AND volume_ratio >= 1.5, FALSE) AS breakout, coalesce(close / pvt - 1 BETWEEN -0.03 AND 0, FALSE) AS near_breakout,
   coalesce(ret_1d > 0 AND close > sma50 AND volume > mdv, FALSE) AS pocket_pivot, coalesce(rn_ >= 127 AND rat >= rprior, FALSE) AS rs_line_new_high,
   CAST(close > sma150 AND close > sma200 AS INTEGER) + CAST(sma150 > sma200 AS INTEGER) + CAST(coalesce(sma200 > p200, FALSE) AS INTEGER)
   + CAST(sma50 > sma150 AND sma50 > sma200 AS INTEGER) + CAST(close > sma50 AS INTEGER) + CAST(close >= low52 * 1.3 AS INTEGER)
