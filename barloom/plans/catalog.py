@@ -1,4 +1,4 @@
 """Importing this module fills the registry."""
 
-from barloom.plans import features, fundamentals, labels, quality, reports, rotation  # noqa: F401
+from barloom.plans import evaluation, features, fundamentals, labels, quality, reports, rotation  # noqa: F401
 from barloom.plans.registry import REGISTRY  # noqa: F401

@@ -101,8 +101,8 @@ def point_in_time_join(spark, sf):
     covers="JOIN-4 JOIN-9",
     sql=with_(
         "qf mkt sess",
-        """SELECT m.symbol, m.date, x.period_end, date_diff('day', x.t, m.date) AS days_since_report, m.mode FROM (SELECT *, unnest(['same_day', 'next_session']) AS mode FROM mkt) m LEFT JOIN (
-  SELECT m.symbol, m.date, mode, unnest(arg_max(struct_pack(period_end := f.period_end, t := f.t), (f.t, f.period_end))) FROM mkt m JOIN ff f ON f.symbol = m.symbol AND f.t <= m.date GROUP BY ALL) x
+        """SELECT m.symbol, m.date, x.f.period_end AS period_end, date_diff('day', x.f.t, m.date) AS days_since_report, m.mode FROM (SELECT *, unnest(['same_day', 'next_session']) AS mode FROM mkt) m LEFT JOIN (
+  SELECT m.symbol, m.date, f.mode, arg_max(struct_pack(period_end := f.period_end, t := f.t), (f.t, f.period_end)) AS f FROM mkt m JOIN ff f ON f.symbol = m.symbol AND f.t <= m.date GROUP BY ALL) x
  ON x.symbol = m.symbol AND x.date = m.date AND x.mode = m.mode""",
         ff="SELECT symbol, period_end, publication_date AS t, 'same_day' AS mode FROM qf WHERE publication_date IS NOT NULL UNION ALL "
         "SELECT symbol, period_end, (SELECT min(date) FROM sess WHERE date > publication_date), 'next_session' FROM qf WHERE publication_date IS NOT NULL",
@@ -180,7 +180,7 @@ def statement_cells(spark, sf):
     labels = {"sales": "Sales +", "net_profit": "Net Profit", "eps": "EPS in Rs", "operating_profit": "Operating  Profit", "interest": "Interest"}
     long = pit.to_long(q, ["symbol", "period_end", "k"], FIELDS)
     label = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))])[C("field")]
-    txt = F.format_string("%.2f", C("value"))
+    txt = F.format_string("%.2f", F.round(C("value") * 1.000000000001, 2))
     cell = F.when(C("k") % 3 == 0, F.concat(F.lit("("), txt, F.lit(")"))).when(C("k") % 11 == 0, "--").otherwise(txt)
     period = F.when(C("k") % 13 == 0, "TTM").otherwise(F.date_format("period_end", "MMM yyyy"))
     return long.select("symbol", label.alias("label"), period.alias("period_label"), cell.alias("cell"), "k")
@@ -432,7 +432,12 @@ def fundamental_coverage(spark, sf):
 @query(
     "check_name:s violations:i",
     covers="AGG-51 RUL-16",
-    sql="SELECT unnest(['available_after_date', 'effective_not_after_publication']) AS check_name, 0 AS violations",
+    sql=with_(
+        "qf mkt sess",
+        """SELECT 'available_after_date' AS check_name, count_if(af > date) AS violations FROM (SELECT m.symbol, m.date, max(f.af) AS af FROM mkt m JOIN ff f ON f.symbol = m.symbol AND f.af <= m.date GROUP BY ALL)
+ UNION ALL SELECT 'effective_not_after_publication', count_if((SELECT min(date) FROM sess WHERE date > publication_date) <= publication_date) FROM qf""",
+        ff="SELECT symbol, coalesce(publication_date, period_end + 45) AS af FROM qf",
+    ),
 )
 def leakage_audit(spark, sf):
     merged = pit.merge_point_in_time(market_days(spark, sf), quarter_facts(spark, sf))
