@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.rolling import ratio
-from barloom.operators.order_stats import quantile_bucket, with_ranks, with_row_number
+from barloom.operators.order_stats import quantile_bucket, with_percentiles, with_ranks, with_row_number
 
 C = F.col
 
@@ -74,8 +74,7 @@ def rank_ic(
     """Spearman correlation per group: average ranks first, then one partial-aggregable corr."""
     by = list(by)
     both = df.where(C(score).isNotNull() & C(outcome).isNotNull())
-    ranked = with_ranks(both, by, score, {"_rs": "average", "_ns": "count"})
-    ranked = with_ranks(ranked, by, outcome, {"_ro": "average"})
+    ranked = with_percentiles(both.select(*by, score, outcome), by, {"_rs": score, "_ro": outcome})
     return (
         ranked.groupBy(*by)
         .agg(

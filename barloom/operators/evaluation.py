@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from barloom.functions.rolling import Series, ratio
 from barloom.operators.order_stats import (
-    quantile_bucket, quantiles, value_ladder, with_ranks, with_row_number,
+    quantile_bucket, quantiles, value_ladder, with_percentiles, with_ranks, with_row_number,
 )
 
 C = F.col
@@ -244,8 +244,8 @@ def membership(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def diversity(df: DataFrame, a: str, b: str, top_a: Column, top_b: Column) -> DataFrame:
     """Pearson, Spearman, overlap and Jaccard of two scores on the same rows."""
-    r = with_ranks(df, [], a, {"_ra": "average"})
-    r = with_ranks(r, [], b, {"_rb": "average"})
+    # percentile = average rank / n, which leaves a correlation of ranks unchanged
+    r = with_percentiles(df, [], {"_ra": a, "_rb": b})
     return r.agg(
         F.count(F.lit(1)).alias("rows"), F.corr(a, b).alias("pearson"), F.corr("_ra", "_rb").alias("spearman"),
         F.count(F.when(top_a, 1)).alias("top_a"), F.count(F.when(top_b, 1)).alias("top_b"),

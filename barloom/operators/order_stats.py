@@ -28,10 +28,6 @@ def order_bucket(value: Column | str) -> Column:
     return (F.signum(v) * size).cast("int")
 
 
-def _same(keys: Sequence[str]):
-    return list(keys)
-
-
 def value_ladder(
     df: DataFrame,
     by: Sequence[str],
@@ -118,6 +114,17 @@ def with_ranks(
     return df.join(ranks, [*by, value], "left")
 
 
+def with_percentiles(df: DataFrame, by: Sequence[str], values: Mapping[str, str]) -> DataFrame:
+    """Average-tie percentile columns (``out -> value``); every ladder reads ``df`` once, so
+    several percentiles do not multiply the plan."""
+    out = df
+    for name, value in values.items():
+        ladder = value_ladder(df, by, value)
+        pct = (F.col("before") + (F.col("cnt") + 1) / 2.0) / F.col("total")
+        out = out.join(ladder.select(*by, F.col(value), pct.alias(name)), [*by, value], "left")
+    return out
+
+
 def with_row_number(
     df: DataFrame,
     by: Sequence[str],

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import cross_section as xs
 from barloom.operators import evaluation as ev
+from barloom.operators.order_stats import with_percentiles
 from barloom.plans import labels as lp
 from barloom.plans import shapes as sh
 from barloom.plans.registry import query
 from barloom.plans.reports import nation_weeks
 from barloom.plans.shapes import define_cte, with_
 from barloom.plans.sqlkit import chg, lead
+from barloom.sources.staging import stage
 
 C = F.col
 
@@ -29,9 +30,10 @@ define_cte(
 
 def scored(spark, sf):
     """Predictions with same-date percentiles pa, pb, a probability and a yearly fold."""
-    df = xs.date_percentile(lp.predictions(spark, sf), "score", "pa")
-    df = xs.date_percentile(df, "score_b", "pb")
-    return df.withColumns({"p": 1 / (1 + F.exp(-3 * C("score"))), "fold": C("yr") - 1994})
+    keep = ["symbol", "date", "sector", "yr", "score", "score_b", "y", "label", "excess_return", "future_stock_return"]
+    df = with_percentiles(lp.predictions(spark, sf).select(*keep), ["date"], {"pa": "score", "pb": "score_b"})
+    df = df.withColumns({"p": 1 / (1 + F.exp(-3 * C("score"))), "fold": C("yr") - 1994})
+    return stage(df, "scored")
 
 
 def A():
@@ -161,7 +163,7 @@ def probability_buckets(spark, sf):
 
 define_cte(
     "calib",
-    "SELECT bin, count(*) AS rows, avg(p) AS predicted, avg(y) AS observed FROM (SELECT p, y, len(list_filter(e, x -> x < p)) AS bin FROM pp, "
+    "SELECT bin, count(*) AS rows, avg(p) AS predicted, avg(y) AS observed FROM (SELECT p, y, len(list_filter(e, lambda x: x < p)) AS bin FROM pp, "
     "(SELECT quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM pp)) GROUP BY bin",
     "pp",
 )

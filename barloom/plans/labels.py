@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.operators import cross_section as xs
 from barloom.operators import features as ft
 from barloom.operators import labels as lb
+from barloom.operators.order_stats import with_percentiles
 from barloom.plans import shapes as sh
 from barloom.plans.registry import query
 from barloom.plans.shapes import define_cte, with_
@@ -179,8 +180,9 @@ def time_decay_sample_weights(spark, sf):
     ),
 )
 def same_date_percentiles(spark, sf):
-    df = xs.date_percentile(predictions(spark, sf), "score", "score_pct")
-    return xs.date_percentile(df, "excess_return", "excess_pct")
+    return with_percentiles(
+        predictions(spark, sf), ["date"], {"score_pct": "score", "excess_pct": "excess_return"}
+    )
 
 
 _Q = """CASE WHEN count(DISTINCT score) OVER (PARTITION BY date) >= 5 THEN

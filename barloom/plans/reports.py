@@ -11,6 +11,7 @@ from barloom.plans import shapes as sh
 from barloom.plans.registry import query
 from barloom.plans.shapes import define_cte, with_
 from barloom.plans.sqlkit import chg, lag, over, roll
+from barloom.sources.staging import stage
 
 C = F.col
 
@@ -353,7 +354,7 @@ def breakout_candidates(spark, sf):
     ),
 )
 def snapshot_breadth_and_regime(spark, sf):
-    return st.participation_regime(sh.benchmark(spark, sf), snapshot(spark, sf))
+    return st.participation_regime(sh.benchmark(spark, sf), stage(snapshot(spark, sf), "snapshot"))
 
 
 @query(
@@ -367,7 +368,7 @@ def snapshot_breadth_and_regime(spark, sf):
     ),
 )
 def sector_strength_summary(spark, sf):
-    return st.sector_summary(snapshot(spark, sf))
+    return st.sector_summary(stage(snapshot(spark, sf), "snapshot"))
 
 
 @query(
