@@ -223,7 +223,7 @@ def simulate(
     cost = lambda n, side: order_cost(n, side, cfg.costs, fraction, vol)
     total = F.when(long, cost(notional, "buy") + cost(back, "sell")).otherwise(
         cost(notional, "sell") + cost(back, "buy"))
-    t = t.withColumn("cost_fraction", total / cfg.capital)
+    t = t.withColumn("cost_fraction", F.when(C("skip_reason").isNull(), total / cfg.capital))
     return t.withColumns(
         {
             "net_return": C("gross_return") - C("cost_fraction") / C("weight"),

