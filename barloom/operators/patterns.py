@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.rolling import Series, flag, ratio
+from barloom.sources.staging import stage
 
 C = F.col
 S = Series("symbol", "date")
@@ -192,8 +193,9 @@ def detected_patterns(panel: DataFrame) -> DataFrame:
         F.greatest(F.lit(0), C("n") - 21).cast("int").alias("start_index"), (C("n") - 1).cast("int").alias("end_index"),
         F.create_map(F.lit("top"), C("x.box_top"), F.lit("bottom"), C("x.box_bottom")).alias("levels"),
     )
-    other = swing_patterns(last_bars(panel)).select("symbol", "date", F.explode("patterns").alias("p")).select(
-        "symbol", "date", "p.*")
+    # one small row per symbol: written once, so later filters do not copy the long expressions
+    rows = stage(swing_patterns(last_bars(panel)).select("symbol", "date", "patterns"), "patterns")
+    other = rows.select("symbol", "date", F.explode("patterns").alias("p")).select("symbol", "date", "p.*")
     return darvas.unionByName(other)
 
 
@@ -299,7 +301,7 @@ def vcp_scan(panel: DataFrame, bench: DataFrame) -> DataFrame:
         "symbol", "_x.*").where(C("history") >= 220)
     sw = zigzag_swings(panel).select("symbol", "swings")
     j = latest.join(sw, "symbol")
-    j = j.withColumn("contractions", tightening(contractions(C("swings"))))
+    j = stage(j.withColumn("contractions", tightening(contractions(C("swings")))), "vcp")
     highs = _take(F.transform(F.filter(_take(C("swings"), 8), lambda x: x["kind"] == "high"), lambda x: x["price"]), 3)
     yes = lambda c: F.coalesce(c, F.lit(False))
     n = F.size("contractions")
@@ -425,6 +427,7 @@ def darvas_setups(panel: DataFrame, cfg: DarvasConfig | None = None) -> DataFram
     ks = F.sequence(F.lit(1), F.least(F.lit(11), (C("n") - cfg.lookback - 2).cast("int")))
     boxes = F.transform(F.transform(ks, box), measured)
     g = g.withColumn("x", F.try_element_at(F.filter(boxes, lambda q: q["good"]), F.lit(1)))
+    g = stage(g, "darvas-boxes")
     g = g.where(C("x").isNotNull() & (C("atr") > 0)).withColumns(
         {"top": C("x.top"), "bottom": C("x.bottom"), "atr14": F.round("atr", 4), "quality": C("x.score"),
          "upper_touches": C("x.up"), "lower_touches": C("x.lo"), "l": F.element_at("b", -1),
