@@ -17,10 +17,13 @@ C = F.col
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 100) -> DataFrame:
     """File stream over one table of a data folder; the schema is read from the files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
+    df = (
         spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*")
         .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
     )
+    # event time must carry a zone; stored instants are UTC
+    naive = [c for c, k in df.dtypes if k == "timestamp_ntz"]
+    return df.withColumns({c: C(c).cast("timestamp") for c in naive})
 
 
 def run_available(df: DataFrame, out: str, mode: str = "append") -> DataFrame:
