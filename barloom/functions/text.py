@@ -125,4 +125,5 @@ def coalesce_percent(percent: Column, ratio: Column) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    """Bounded value; NULL stays NULL (least and greatest alone would skip it)."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))

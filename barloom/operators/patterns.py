@@ -521,7 +521,7 @@ def event_reactions(panel: DataFrame, bench: DataFrame, is_event: Column, priori
     )
     df = df.withColumn("excess", C("post_return") - C("bench_return"))
     flip = (C("pre_return") * C("post_return") < 0) & (F.abs("post_return") >= 0.02)
-    cap = lambda v, hi: F.least(v, F.lit(float(hi)))
+    cap = lambda v, hi: F.when(v.isNotNull(), F.least(v, F.lit(float(hi))))
     zero = F.lit(0.0)
     score = (
         cap(F.abs("post_return") * 260, 24) + cap(F.abs("post10_return") * 160, 16)

@@ -282,7 +282,7 @@ def rank_trend_label() -> Column:
 
 def _bounded(c: Column) -> Column:
     """Clamp to 0..100; an unknown input scores 100, as min/max over NaN do."""
-    return F.coalesce(F.least(F.greatest(c, F.lit(0.0)), F.lit(100.0)), F.lit(100.0))
+    return F.when(c.isNull(), 100.0).otherwise(F.least(F.greatest(c, F.lit(0.0)), F.lit(100.0)))
 
 
 def add_priority(df: DataFrame) -> DataFrame:

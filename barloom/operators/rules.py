@@ -54,7 +54,7 @@ def scorecard(companies: DataFrame) -> DataFrame:
     note = lambda *rules: F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in rules]))
     return df.withColumns(
         {
-            "overall_score": F.round(clamp(total, 0.0, 100.0), 2), "confidence": F.round(conf, 4),
+            "overall_score": F.round(F.round(clamp(total, 0.0, 100.0), 6), 2), "confidence": F.round(conf, 4),
             "strengths": note((C("roe") >= 20, "High ROE"), (C("revenue_growth") >= 20, "Strong revenue growth"),
                               (C("debt_to_equity") <= 0.25, "Low debt"), (C("interest_coverage") >= 8, "Comfortable interest coverage")),
             "weaknesses": note((C("revenue_growth") < 0, "Revenue falling"), (C("profit_growth") < 0, "Profit falling"), (C("free_cash_flow") < 0, "Negative free cash flow")),
@@ -159,7 +159,7 @@ def technical_setups(panel: DataFrame) -> DataFrame:
         (c >= F.coalesce("sma50", "sma20")) & (F.abs(ratio("close", "sma20") - 1) <= 0.025)
         & F.coalesce(C("volume_ratio") <= 1.0, F.lit(True)), F.lit(False))
     near = F.coalesce(((C("pivot") - c) / C("pivot")).between(0, 0.05), F.lit(False))
-    late = breakout & F.coalesce(c - C("pivot") > F.greatest(C("pivot") * 0.03, atr), F.lit(False))
+    late = breakout & F.coalesce(atr.isNotNull() & (c - C("pivot") > F.greatest(C("pivot") * 0.03, atr)), F.lit(False))
     stop = F.least(F.when(C("support") < c, C("support") * 0.995), F.when(atr > 0, c - atr * 1.5))
     state = (
         F.when(C("_failed"), "FAILED_BREAKOUT").when(late, "LATE_ENTRY").when(breakout, "BREAKOUT_CONFIRMED")
@@ -226,7 +226,7 @@ def option_direction(snap: DataFrame) -> DataFrame:
     risk = F.greatest(F.abs(c - C("underlying_stop")), atr)
     return df.withColumns(
         {
-            "underlying_target": F.when(is_call, c + 2 * risk).otherwise(c - 2 * risk),
+            "underlying_target": F.when(C("underlying_stop").isNotNull(), F.when(is_call, c + 2 * risk).otherwise(c - 2 * risk)),
             "watch_reason": F.when(atr.isNull() | (atr <= 0), "Indicator values unavailable.")
             .when(C("_x") > 1.25, "Setup is directionally valid but extended from EMA10.")
             .when(C("_d") > 0.5, "Setup needs retest; price is too far from pivot."),
@@ -240,6 +240,7 @@ def option_contracts(chain: DataFrame, underlyings: DataFrame, as_of: Column, ca
     ``chain``: symbol, right, expiry, strike, bid, ask, delta, theta, iv_percentile, volume, open_interest, lot_size.
     """
     j = chain.join(underlyings.select("symbol", "close", "underlying_stop", "underlying_target", C("right").alias("want")), "symbol")
+    j = j.where(C("underlying_stop").isNotNull())
     mid = (C("bid") + C("ask")) / 2
     spread = F.when((C("bid") > 0) & (C("ask") >= C("bid")), (C("ask") - C("bid")) / F.nullif(mid, F.lit(0.0)) * 100)
     drag = F.abs("theta") * 3

@@ -111,8 +111,8 @@ define_cte(
     covers="PAT-14",
     sql=with_(
         "evr",
-        """SELECT *, least(greatest(least(abs(post_return) * 260, 24) + least(abs(post10_return) * 160, 16) + coalesce(least(abs(excess) * 300, 24), 0) + coalesce(greatest(0, least((volume_ratio - 1) * 18, 12)), 0)
-  + coalesce(greatest(0, least((range_ratio - 1) * 16, 10)), 0) + CASE WHEN trend_flip THEN 10 ELSE 0 END + 10.5, 0), 100) AS reaction_score FROM evr""",
+        """SELECT *, least(greatest(least(abs(post_return) * 260, 24) + least(abs(post10_return) * 160, 16) + coalesce(least(abs(excess) * 300, 24), 0) + CASE WHEN volume_ratio IS NULL THEN 0 ELSE greatest(0, least((volume_ratio - 1) * 18, 12)) END
+  + CASE WHEN range_ratio IS NULL THEN 0 ELSE greatest(0, least((range_ratio - 1) * 16, 10)) END + CASE WHEN trend_flip THEN 10 ELSE 0 END + 10.5, 0), 100) AS reaction_score FROM evr""",
     ),
 )
 def event_reactions(spark, sf):

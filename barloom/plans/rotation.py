@@ -98,7 +98,7 @@ define_cte(
 
 
 def _bd(x):
-    return f"coalesce(least(greatest({x}, 0), 100), 100)"
+    return f"(CASE WHEN ({x}) IS NULL THEN 100 ELSE least(greatest({x}, 0), 100) END)"
 
 
 _cnt = "(CAST(coalesce(rank_change_5d {0} 0, FALSE) AS INTEGER) + CAST(coalesce(rank_change_10d {0} 0, FALSE) AS INTEGER) + CAST(coalesce(rank_change_20d {0} 0, FALSE) AS INTEGER))"

@@ -111,7 +111,8 @@ define_cte(
 def shareholding_scores(spark, sf):
     cols = ("fii", "dii", "promoter", "public")
     h = holdings(spark, sf).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("period", *cols))).alias("a"))
-    h = h.select("symbol", *[F.transform("a", lambda x, c=c: x[c]).alias(c) for c in cols]).withColumn("pledge", F.transform("fii", lambda x: F.lit(0.0)))
+    series = lambda c: F.transform("a", lambda x: x[c]).alias(c)
+    h = h.select("symbol", *[series(c) for c in cols]).withColumn("pledge", F.transform("fii", lambda x: F.lit(0.0)))
     return ru.shareholding_score(h).withColumn("fii_latest", sc.latest(C("fii")))
 
 
@@ -224,7 +225,7 @@ _RULES = {"primary_min": 0.97, "binary_min": 0.80, "sell_min": 0.90, "accumulate
     sql=with_(
         "pp",
         """SELECT *, CASE WHEN buy AND pb >= 0.9 THEN 'HIGH' WHEN buy THEN 'MEDIUM' ELSE 'LOW' END AS confidence, CASE WHEN buy AND pb >= 0.9 THEN 'CONFIRMED' WHEN buy THEN 'NOT_CONFIRMED' WHEN pa >= 0.97 AND pb >= 0.9 THEN 'RESEARCH_ONLY_TUNED_SIGNAL' ELSE 'NO_TUNED_CONFIRMATION' END AS tuned_status,
-  CASE WHEN buy THEN 'BUY' WHEN pa <= 1 - 0.9 AND pb <= 1 - 0.9 THEN 'SELL' WHEN pa >= 0.8 AND pb >= 0.5 THEN 'ACCUMULATE' ELSE 'WATCH' END AS recommendation FROM (SELECT *, pa >= 0.97 AND pb >= 0.8 AS buy FROM pp)""",
+  CASE WHEN buy THEN 'BUY' WHEN pa <= CAST(1 AS DOUBLE) - CAST(0.9 AS DOUBLE) AND pb <= CAST(1 AS DOUBLE) - CAST(0.9 AS DOUBLE) THEN 'SELL' WHEN pa >= 0.8 AND pb >= 0.5 THEN 'ACCUMULATE' ELSE 'WATCH' END AS recommendation FROM (SELECT *, pa >= 0.97 AND pb >= 0.8 AS buy FROM pp)""",
     ),
 )
 def signal_recommendations(spark, sf):
