@@ -23,16 +23,10 @@ def nation_weeks(spark, sf):
     li = read(spark, sf, "lineitem").where(C("l_quantity") > 0)
     s = read(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     n = read(spark, sf, "nation")
-    price = C("l_extendedprice") / C("l_quantity")
-    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     return (
         li.join(s, li.l_suppkey == s.s_suppkey).join(n, C("s_nationkey") == C("n_nationkey"))
         .groupBy(C("n_name").alias("symbol"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"))
-        .agg(
-            F.min_by(price, order).alias("open"), F.max(price).alias("high"),
-            F.min(price).alias("low"), F.max_by(price, order).alias("close"),
-            F.sum("l_quantity").alias("volume"),
-        )
+        .agg(*sh.bar_aggs("week"))
     )
 
 

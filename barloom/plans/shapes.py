@@ -16,23 +16,36 @@ def _symbol(key: str):
     return F.concat(F.lit("S"), F.lpad(F.col(key).cast("string"), 12, "0"))
 
 
+def trade_order(freq: str):
+    """Place of a line inside its session as one decimal: day, order, line number, part.
+
+    A struct key would force sort-based aggregation; a decimal keeps hash aggregation with
+    map-side combine. Keys stay below 10^13 up to a scale factor of about a million.
+    """
+    day = F.datediff(F.to_date("l_shipdate"), F.to_date(F.date_trunc(freq, "l_shipdate"))).cast("bigint")
+    head = (day * F.lit(10**13) + F.col("l_orderkey")) * F.lit(100) + F.col("l_linenumber")
+    shift = F.lit(10**13).cast("decimal(14,0)")
+    return (head.cast("decimal(19,0)") * shift + F.col("l_partkey").cast("decimal(13,0)")).cast("decimal(38,0)")
+
+
+def bar_aggs(freq: str):
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    order = trade_order(freq)
+    return [
+        F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
+        F.max_by(price, order).alias("close"), F.sum("l_quantity").alias("volume"),
+    ]
+
+
 def bars(spark: SparkSession, sf: str, freq: str = "week") -> DataFrame:
     """OHLCV bars per symbol and session; one row per key after map-side combine."""
     li = read(spark, sf, "lineitem").where(F.col("l_quantity") > 0)
-    price = F.col("l_extendedprice") / F.col("l_quantity")
-    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     return (
         li.groupBy(
             F.col("l_suppkey"),
             F.date_trunc(freq, "l_shipdate").cast("date").alias("date"),
         )
-        .agg(
-            F.min_by(price, order).alias("open"),
-            F.max(price).alias("high"),
-            F.min(price).alias("low"),
-            F.max_by(price, order).alias("close"),
-            F.sum("l_quantity").alias("volume"),
-        )
+        .agg(*bar_aggs(freq))
         .select(_symbol("l_suppkey").alias("symbol"), "date", "open", "high", "low", "close", "volume")
     )
 
@@ -81,20 +94,12 @@ def region_days(spark: SparkSession, sf: str) -> DataFrame:
     s = read(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     n = read(spark, sf, "nation")
     r = read(spark, sf, "region")
-    price = F.col("l_extendedprice") / F.col("l_quantity")
-    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     j = (
         li.join(s, li.l_suppkey == s.s_suppkey)
         .join(n, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    return j.groupBy(F.col("r_name").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(
-        F.min_by(price, order).alias("open"),
-        F.max(price).alias("high"),
-        F.min(price).alias("low"),
-        F.max_by(price, order).alias("close"),
-        F.sum("l_quantity").alias("volume"),
-    )
+    return j.groupBy(F.col("r_name").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(*bar_aggs("day"))
 
 
 _AGGS = """
