@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.frames import with_row
 from barloom.functions.rolling import Series, ratio
 from barloom.operators.cross_section import rebalance_dates, top_n
 from barloom.operators.quality import tradability
@@ -298,26 +299,26 @@ def assign_folds(periods_: DataFrame, folds: DataFrame) -> DataFrame:
 
     The fold list is turned into one row per period date before the join.
     """
-    f = folds.agg(F.collect_list(F.struct("fold", "test_start", "test_end")).alias("_f")).withColumn("_k", F.lit(0))
+    f = folds.agg(F.collect_list(F.struct("fold", "test_start", "test_end")).alias("_f"))
     hit = F.filter("_f", lambda x: (C("signal_date") >= x["test_start"]) & (C("exit_date") <= x["test_end"]))
-    return periods_.withColumn("_k", F.lit(0)).join(f, "_k").withColumn(
+    return with_row(periods_, f).withColumn(
         "fold", F.try_element_at(hit, F.lit(1))["fold"]
-    ).drop("_k", "_f").where(C("fold").isNotNull())
+    ).drop("_f").where(C("fold").isNotNull())
 
 
 def fold_audit(folds: DataFrame, panel: DataFrame) -> DataFrame:
     """Train and test rows per fold from per-date counts, with the no-overlap check."""
     per = panel.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
-    arr = per.agg(F.collect_list(F.struct("date", "_n")).alias("_d")).withColumn("_k", F.lit(0))
+    arr = per.agg(F.collect_list(F.struct("date", "_n")).alias("_d"))
     rows = lambda a, b: F.aggregate(
         F.filter("_d", lambda x: (x["date"] >= C(a)) & (x["date"] <= C(b))), F.lit(0).cast("bigint"), lambda s, x: s + x["_n"])
-    return folds.withColumn("_k", F.lit(0)).join(arr, "_k").withColumns(
+    return with_row(folds, arr).withColumns(
         {
             "train_rows": rows("train_start", "train_end"), "test_rows": rows("test_start", "test_end"),
             "no_overlap": (C("train_end") < C("embargo_start")) & (C("embargo_start") <= C("embargo_end"))
             & (C("embargo_end") < C("test_start")),
         }
-    ).drop("_d", "_k")
+    ).drop("_d")
 
 
 def variants(sel: DataFrame, grid: Sequence[tuple[str, int, float | None]]) -> DataFrame:

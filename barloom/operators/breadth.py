@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.frames import with_row
 from barloom.functions.rolling import Series, known_flag, ratio
 
 C = F.col
@@ -167,12 +168,12 @@ def symbol_status(panel: DataFrame, universe: DataFrame, bench: DataFrame) -> Da
         F.sum((~C("tradable")).cast("int")).alias("excluded_rows"),
         F.count(F.lit(1)).alias("_rows"),
         F.min("session").alias("_first"),
-    ).withColumn("_k", F.lit(0))
-    seen = seen.join(last.select(F.lit(0).alias("_k"), "_last"), "_k").withColumn(
+    )
+    seen = with_row(seen, last.select("_last")).withColumn(
         "missing_sessions", C("_last") - C("_first") + 1 - C("_rows")
     )
     out = universe.select("symbol", "company", "sector").join(latest, "symbol", "left")
-    out = out.join(seen.drop("_k", "_rows", "_first", "_last"), "symbol", "left")
+    out = out.join(seen.drop("_rows", "_first", "_last"), "symbol", "left")
     return out.withColumn(
         "status",
         F.when(C("tradable"), "PASS").when(C("last_date").isNull(), "MISSING").otherwise("REVIEW"),

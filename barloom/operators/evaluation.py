@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.frames import with_row
 from barloom.functions.rolling import Series, ratio
 from barloom.operators.order_stats import (
     quantile_bucket, quantiles, value_ladder, with_percentiles, with_ranks, with_row_number,
@@ -29,7 +30,7 @@ def tag(df: DataFrame, rules: Mapping[str, Column], out: str = "rule") -> DataFr
 
 
 def base_rate(df: DataFrame) -> DataFrame:
-    return df.agg(F.avg(C("y").cast("double")).alias("base_rate")).withColumn("_k", F.lit(0))
+    return df.agg(F.avg(C("y").cast("double")).alias("base_rate"))
 
 
 def selection_metrics(sel: DataFrame, by: Sequence[str], rate: DataFrame | None = None) -> DataFrame:
@@ -45,9 +46,7 @@ def selection_metrics(sel: DataFrame, by: Sequence[str], rate: DataFrame | None
     med = quantiles(sel, by, "excess_return", {"median_excess": 0.5})
     m = m.join(med, by, "left")
     if rate is not None:
-        m = m.withColumn("_k", F.lit(0)).join(rate, "_k").drop("_k").withColumn(
-            "lift", ratio("precision", "base_rate")
-        )
+        m = with_row(m, rate).withColumn("lift", ratio("precision", "base_rate"))
     return m
 
 
@@ -119,8 +118,7 @@ def probability_buckets(df: DataFrame, p: str, edges: Sequence[float]) -> DataFr
 def calibration_curve(df: DataFrame, p: str, bins: int = 10) -> DataFrame:
     """Mean predicted and observed rate per quantile bin (edges from exact quantiles)."""
     probs = {f"_e{i}": i / bins for i in range(1, bins)}
-    edges = quantiles(df, [], p, probs).withColumn("_k", F.lit(0))
-    x = df.withColumn("_k", F.lit(0)).join(edges, "_k")
+    x = with_row(df, quantiles(df, [], p, probs))
     b = sum(((C(p) > C(e)).cast("int") for e in probs), F.lit(0))
     return x.groupBy(b.alias("bin")).agg(
         F.count(F.lit(1)).alias("rows"), F.avg(p).alias("predicted"),
@@ -202,9 +200,9 @@ def prefix_frontier(df: DataFrame, score: str, levels: Sequence[float]) -> DataF
 
 def equal_signal_rows(df: DataFrame, baseline: Column, score: str) -> DataFrame:
     """The n best rows by ``score`` where n is the number of baseline signals."""
-    n = df.agg(F.count(F.when(baseline, 1)).alias("_n")).withColumn("_k", F.lit(0))
+    n = df.agg(F.count(F.when(baseline, 1)).alias("_n"))
     placed = with_row_number(df, [], score, ["symbol", "date"], descending=True)
-    return placed.withColumn("_k", F.lit(0)).join(n, "_k").where(C("position") <= C("_n")).drop("_k", "_n")
+    return with_row(placed, n).where(C("position") <= C("_n")).drop("_n")
 
 
 def rank_slices(df: DataFrame, score: str, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
@@ -317,8 +315,7 @@ def pareto_rank(table: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame
     """1 + number of dominating rows. The table has one row per trial of a parameter list,
     so it travels as one small array instead of a self join."""
     row = F.struct(C(key).alias("key"), *metrics)
-    all_rows = table.agg(F.collect_list(row).alias("_all")).withColumn("_k", F.lit(0))
-    j = table.withColumn("_k", F.lit(0)).join(all_rows, "_k")
+    j = with_row(table, table.agg(F.collect_list(row).alias("_all")))
 
     def dominates(o):
         ge, gt = F.lit(True), F.lit(False)
@@ -326,7 +323,7 @@ def pareto_rank(table: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame
             ge, gt = ge & (o[m] >= C(m)), gt | (o[m] > C(m))
         return (o["key"] != C(key)) & ge & gt
 
-    return j.withColumn("pareto_rank", F.size(F.filter("_all", dominates)) + 1).drop("_k", "_all")
+    return j.withColumn("pareto_rank", F.size(F.filter("_all", dominates)) + 1).drop("_all")
 
 
 def forecast_summary(f: DataFrame) -> DataFrame:

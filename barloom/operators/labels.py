@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.frames import with_row
 from barloom.functions.rolling import Series, ratio
 from barloom.operators.order_stats import quantiles
 
@@ -105,12 +106,7 @@ def time_decay_weights(rows: DataFrame, half_life_days: float) -> DataFrame:
     raw = lambda: F.pow(
         F.lit(0.5), F.greatest(F.datediff(C("_newest"), C("date")), F.lit(0)) / half_life_days
     )
-    one_row = F.lit(0)
-    w = (
-        per_date.withColumn("_one", one_row)
-        .join(newest.withColumn("_one", one_row), "_one")
-        .withColumn("_w", raw())
-    )
-    scale = w.groupBy("_one").agg((F.sum(C("_w") * C("_n")) / F.sum("_n")).alias("_mean"))
-    weights = w.join(scale, "_one").select("date", (C("_w") / C("_mean")).alias("weight"))
+    w = with_row(per_date, newest).withColumn("_w", raw())
+    scale = w.agg((F.sum(C("_w") * C("_n")) / F.sum("_n")).alias("_mean"))
+    weights = with_row(w, scale).select("date", (C("_w") / C("_mean")).alias("weight"))
     return rows.join(weights, "date")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions import text as tx
+from barloom.functions.frames import with_row
 from barloom.functions.rolling import Series, ratio
 from barloom.operators.asof import as_of, next_session
 from barloom.operators.order_stats import quantiles
@@ -64,10 +65,9 @@ def latest_known(events: DataFrame, as_of_date: Column, known: str = "publicatio
 
 def base_grid(symbols: DataFrame, sessions: DataFrame) -> DataFrame:
     """Every symbol with every session. The calendar travels as one array (bounded by the
-    number of sessions) attached through a constant key, and is exploded per symbol."""
+    number of sessions) in a scalar subquery, and is exploded per symbol."""
     cal = sessions.select("date").distinct().agg(F.sort_array(F.collect_set("date")).alias("_c"))
-    s = symbols.select("symbol").distinct().withColumn("_k", F.lit(0))
-    return s.join(cal.withColumn("_k", F.lit(0)), "_k").select("symbol", F.explode("_c").alias("date"))
+    return with_row(symbols.select("symbol").distinct(), cal).select("symbol", F.explode("_c").alias("date"))
 
 
 def to_long(wide: DataFrame, ids: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -297,13 +297,11 @@ def coverage(long: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def fill_medians(df: DataFrame, features: Sequence[str], fit: Column) -> DataFrame:
     """Missing flags and median imputation; medians come from the fit rows only."""
-    one = None
     fitted = df.where(fit)
+    j = df
     for f in features:
-        q = quantiles(fitted, [], f, {f"_m_{f}": 0.5}).withColumn("_k", F.lit(0))
-        one = q if one is None else one.join(q, "_k")
-    j = df.withColumn("_k", F.lit(0)).join(one, "_k", "left")
+        j = with_row(j, quantiles(fitted, [], f, {f"_m_{f}": 0.5}))
     flags = {f"{f}_missing": C(f).isNull().cast("int") for f in features}
     return j.withColumns(flags).withColumns(
         {f: F.coalesce(C(f), C(f"_m_{f}")) for f in features}
-    ).drop("_k", *[f"_m_{f}" for f in features])
+    ).drop(*[f"_m_{f}" for f in features])

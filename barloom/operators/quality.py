@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.frames import with_row
 from barloom.functions.rolling import Series, ratio
 from barloom.operators.order_stats import quantiles
 
@@ -190,14 +191,14 @@ def quality_report(flagged: DataFrame) -> DataFrame:
 def calendar_alignment(panel: DataFrame, bench_dates: DataFrame) -> DataFrame:
     """Missing and extra sessions of each symbol against the benchmark calendar."""
     cal = bench_dates.select("date").distinct()
-    total = cal.agg(F.count(F.lit(1)).alias("_total")).withColumn("_k", F.lit(0))
+    total = cal.agg(F.count(F.lit(1)).alias("_total"))
     rows = panel.select("symbol", "date").distinct().join(
         cal.withColumn("_in", F.lit(1)), "date", "left"
     )
     per = rows.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("rows"), F.count("_in").alias("_shared")
-    ).withColumn("_k", F.lit(0))
-    return per.join(total, "_k").select(
+    )
+    return with_row(per, total).select(
         "symbol", "rows",
         (C("_total") - C("_shared")).alias("missing_dates"),
         (C("rows") - C("_shared")).alias("extra_dates"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.frames import with_row
 from barloom.functions.rolling import Series, ratio
 from barloom.functions.text import clamp
 
@@ -34,8 +35,8 @@ def buying_scores(panel: DataFrame, bench: DataFrame) -> DataFrame:
     a = df.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("_n"), F.min_by("close", "date").alias("_c0"), F.max_by("close", "date").alias("_c1"),
         tail("close", 20).alias("_m20"), tail("close", 50).alias("_m50"), tail("volume", 10).alias("_v10"), tail("volume", 30).alias("_v30"))
-    m = bench.agg((F.max_by("close", "date") / F.min_by("close", "date")).alias("_b"), F.lit(0).alias("_k"))
-    a = a.withColumn("_k", F.lit(0)).join(m, "_k").withColumn("_g", ratio("_c1", "_c0"))
+    m = bench.agg((F.max_by("close", "date") / F.min_by("close", "date")).alias("_b"))
+    a = with_row(a, m).withColumn("_g", ratio("_c1", "_c0"))
     trend = (
         F.when(C("_c1") > C("_m20"), 1.5).otherwise(-1.0) + F.when(C("_m20") > C("_m50"), 1.0).otherwise(-0.8)
         + clamp((C("_g") - 1) * 5, -1.0, 1.5) + 1.5)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.frames import with_row
 from barloom.functions.rolling import Series, ratio
 from barloom.operators.order_stats import quantiles, with_ranks
 
@@ -33,16 +34,16 @@ def common_as_of(bars: DataFrame, bench: DataFrame, cfg: StrengthConfig) -> Data
     n = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).where(
         C("_n") >= cfg.minimum_history
     )
-    total = n.agg(F.count(F.lit(1)).alias("_symbols")).withColumn("_k", F.lit(0))
+    total = n.agg(F.count(F.lit(1)).alias("_symbols"))
     tail = (
         bars.join(n, "symbol")
         .withColumn("_rev", F.count(F.lit(1)).over(w) - S.position())
         .where(C("_rev") < 10)
         .join(bench.select("date").distinct(), "date", "left_semi")
     )
-    per_date = tail.groupBy("date").agg(F.count(F.lit(1)).alias("_c")).withColumn("_k", F.lit(0))
+    per_date = tail.groupBy("date").agg(F.count(F.lit(1)).alias("_c"))
     need = F.greatest(F.lit(1), F.ceil(C("_symbols") * F.lit(cfg.minimum_coverage)))
-    return per_date.join(total, "_k").where(C("_c") >= need).agg(F.max("date").alias("as_of"))
+    return with_row(per_date, total).where(C("_c") >= need).agg(F.max("date").alias("as_of"))
 
 
 def _stage() -> Column:
@@ -155,10 +156,10 @@ def strength_snapshot(
 ) -> DataFrame:
     """Ratings at the common as-of date with those of 5 and 20 benchmark sessions before."""
     cfg = cfg or StrengthConfig()
-    as_of = common_as_of(bars, bench, cfg).withColumn("_k", F.lit(0))
+    as_of = common_as_of(bars, bench, cfg)
     one = Window.partitionBy("_k").orderBy(C("date").desc())
     picks = (
-        bench.select("date").distinct().withColumn("_k", F.lit(0)).join(as_of, "_k")
+        with_row(bench.select("date").distinct(), as_of).withColumn("_k", F.lit(0))
         .where(C("date") <= C("as_of"))
         .withColumn("_back", F.row_number().over(one) - 1)
         .where(C("_back").isin(0, 5, 20)).select("date", "_back")
@@ -252,7 +253,7 @@ def participation_regime(bench: DataFrame, snapshot: DataFrame) -> DataFrame:
     b = bench.withColumn("_k", F.lit(0))
     b = b.withColumns({"s50": z.mean("close", 50), "s200": z.mean("close", 200)})
     day = snapshot.agg(F.max("date").alias("date"))
-    row = b.join(day, "date", "left_semi").join(snapshot_breadth(snapshot).withColumn("_k", F.lit(0)), "_k")
+    row = with_row(b.join(day, "date", "left_semi"), snapshot_breadth(snapshot))
     c, a, l, x = C("close"), C("s50"), C("s200"), C("above_sma50_pct")
     return row.withColumn(
         "market_regime",
