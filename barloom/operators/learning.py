@@ -12,6 +12,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.frames import with_row
 from barloom.operators.evaluation import ranking_quality
 from barloom.operators.order_stats import with_row_number
 
@@ -91,22 +92,21 @@ def permute(df: DataFrame, feature: str, key: Sequence[str], seed: int) -> DataF
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
     """Loss of ROC-AUC when one feature is shuffled."""
-    base = ranking_quality(score(model, df), "p").select(C("roc_auc").alias("base_auc"), F.lit(0).alias("_k"))
+    base = ranking_quality(score(model, df), "p").select(C("roc_auc").alias("base_auc"))
     out = None
     for i, f in enumerate(features):
         q = ranking_quality(score(model, permute(df, f, key, 100 + i)), "p").select(
-            F.lit(f).alias("feature"), "roc_auc", F.lit(0).alias("_k"))
+            F.lit(f).alias("feature"), "roc_auc")
         out = q if out is None else out.unionByName(q)
-    return out.join(base, "_k").select("feature", "base_auc", "roc_auc", (C("base_auc") - C("roc_auc")).alias("importance"))
+    return with_row(out, base).select("feature", "base_auc", "roc_auc", (C("base_auc") - C("roc_auc")).alias("importance"))
 
 
 def feature_labels(importance: DataFrame) -> DataFrame:
     """KEEP / REVIEW / DROP by quartile of importance (one row per feature)."""
     q = importance.agg(F.percentile("importance", 0.25).alias("_lo"), F.percentile("importance", 0.75).alias("_hi"))
-    j = importance.withColumn("_k", F.lit(0)).join(q.withColumn("_k", F.lit(0)), "_k")
-    return j.withColumn(
+    return with_row(importance, q).withColumn(
         "label", F.when((C("importance") <= 0) | (C("importance") < C("_lo")), "DROP").when(C("importance") >= C("_hi"), "KEEP").otherwise("REVIEW")
-    ).drop("_k", "_lo", "_hi")
+    ).drop("_lo", "_hi")
 
 
 def walk_forward_grid(df: DataFrame, features: Sequence[str], folds: Sequence[int], grid: Mapping[str, dict]) -> DataFrame:

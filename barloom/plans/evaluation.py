@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.functions.frames import with_row
 from barloom.operators import evaluation as ev
 from barloom.operators.order_stats import with_percentiles
 from barloom.plans import labels as lp
@@ -173,8 +174,7 @@ define_cte(
        sql=with_("calib", "SELECT *, (SELECT avg(abs(predicted - observed)) FROM calib) AS mae FROM calib"))
 def calibration_curve(spark, sf):
     curve = ev.calibration_curve(scored(spark, sf), "p")
-    mae = ev.calibration_mae(curve).withColumn("_k", F.lit(0)).withColumnRenamed("calibration_mae", "mae")
-    return curve.withColumn("_k", F.lit(0)).join(mae, "_k")
+    return with_row(curve, ev.calibration_mae(curve).withColumnRenamed("calibration_mae", "mae"))
 
 
 @query(
@@ -277,9 +277,9 @@ def rank_slices(spark, sf):
 def score_terciles(spark, sf):
     m = ev.selection_metrics(ev.quantile_groups(scored(spark, sf), "score", 3), ["bucket"])
     mono = ev.monotonic(m, "bucket", ["precision", "average_excess"]).select(
-        F.lit(0).alias("_k"), C("precision").alias("monotonic_precision"), C("average_excess").alias("monotonic_excess")
+        C("precision").alias("monotonic_precision"), C("average_excess").alias("monotonic_excess")
     )
-    return m.withColumn("_k", F.lit(0)).join(mono, "_k")
+    return with_row(m, mono)
 
 
 @query(
@@ -508,6 +508,5 @@ def feature_sequences(spark, sf):
 )
 def shared_dates(spark, sf):
     b = nation_weeks(spark, sf)
-    n = b.agg(F.countDistinct("symbol").alias("_n")).withColumn("_k", F.lit(0))
-    per = b.groupBy("date").agg(F.countDistinct("symbol").alias("symbols")).withColumn("_k", F.lit(0))
-    return per.join(n, "_k").where(C("symbols") == C("_n"))
+    per = b.groupBy("date").agg(F.countDistinct("symbol").alias("symbols"))
+    return with_row(per, b.agg(F.countDistinct("symbol").alias("_n"))).where(C("symbols") == C("_n"))
