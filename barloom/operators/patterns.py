@@ -118,11 +118,11 @@ def swing_patterns(tails: DataFrame) -> DataFrame:
             "h_pre": _part(C("w70"), 0, C("h_peak_at") + 1), "h_base": _take(C("w70"), 6),
             "h_post_low": _lo(_part(C("w70"), C("h_peak_at"), F.size("w70")), "low"),
             "d_after": F.size(after_first),
-            # the reference keeps the label of the reset frame, so the position is absolute
+            # position counted from the start of the 80-bar window
             "d_second_at": C("d_first_at") + 5 + _first_at(_vals(after_first, "low"), _lo(after_first, "low")),
         }
     )
-    # the high of the Fibonacci swing is located in the whole window by its absolute position
+
     df = df.withColumns(
         {
             "h_peak": F.element_at("w70", C("h_peak_at") + 1)["high"],
