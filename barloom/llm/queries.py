@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, chat, decontamination, language_id, url_filter
+from barloom.llm import bpe, chat, decontamination, jaccard_join, language_id, url_filter
 from barloom.llm.common import table
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents")).drop("set_key")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame(
         [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")],
@@ -37,6 +41,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op6_chat_format": op6_chat_format,
     "op7_language_id": op7_language_id,
     "op8_byte_bpe": op8_byte_bpe,
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {
+    "op3_jaccard_join": jaccard_join.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
