@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, chat, decontamination, jaccard_join, language_id, url_filter
+from barloom.llm import bpe, chat, decontamination, embedding_dedup, jaccard_join, language_id, url_filter
 from barloom.llm.common import table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents")).drop("set_key")
 
@@ -41,6 +45,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op6_chat_format": op6_chat_format,
     "op7_language_id": op7_language_id,
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE,
     "op3_jaccard_join": jaccard_join.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
