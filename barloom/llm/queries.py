@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, chat, decontamination, embedding_dedup, jaccard_join, language_id, url_filter
+from barloom.llm import bpe, chat, decontamination, embedding_dedup, jaccard_join, language_id, suffix_dedup, url_filter
 from barloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents")).drop("set_key")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame(
         [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")],
@@ -47,6 +51,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_language_id": op7_language_id,
     "op8_byte_bpe": op8_byte_bpe,
