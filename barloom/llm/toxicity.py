@@ -4,12 +4,14 @@ The chain tags each word of a sentence as clean or toxic. Emission features are
 transitions are learned. The document labels become labelled tokens first: in documents marked toxic, a word is a toxic
 token if it or a prefix of it stands in such documents almost only; all other words are clean tokens. Training maximises
 the conditional likelihood (forward-backward gradients) on a bounded hash sample of labelled documents. For scoring,
-every word of every text gets its forward-backward marginal; their sum and maximum per document go through a logistic
-curve fitted on the same sample, and words whose marginal passes one half are the offending offsets.
+every word of every text gets its forward-backward marginal; the sum of their squares (so that many unlikely words do not
+add up in a long text) and their maximum per document go through a logistic curve fitted on the same sample, and words whose
+marginal passes one half are the offending offsets.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from barloom.llm.language_id import held_out
 
 #: Labelled documents (in expectation) whose whole texts fit the model.
-FIT_DOCS = 3000
+FIT_DOCS = 2000
 #: Broadcast bound of the sampled label rows.
 MAX_FIT_ROWS = 100_000
 MIN_DOCS, MIN_SHARE = 5, 0.9
@@ -38,15 +40,26 @@ def features_of(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:k]}" for k in range(4, min(8, len(word) + 1))), f"${word[-3:]}"]
 
 
-def token_labels(docs: list[tuple[Counter, int]], min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> set[str]:
-    """Features (word or prefix) that mark toxic tokens, from (word counts, label) of documents."""
+def token_labels(docs: list[tuple[list[str], int]], min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> set[str]:
+    """Features (word or prefix) that mark toxic tokens, from (words, label) of documents.
+
+    A mark stands in toxic documents almost only, and there between enough different neighbours: the words of one
+    document and its copies do not become marks by being repeated.
+    """
     seen, toxic = Counter(), Counter()
     for words, label in docs:
-        marks = {f for w in words for f in features_of(w) if f[0] != "$"}
+        marks = {f for w in set(words) for f in features_of(w) if f[0] != "$"}
         seen.update(marks)
         if label:
             toxic.update(marks)
-    return {f for f, n in toxic.items() if n >= min_docs and n / (seen[f] + 0.1) >= min_share}
+    places: dict[str, set] = {f: set() for f, n in toxic.items() if n >= min_docs and n / (seen[f] + 0.1) >= min_share}
+    for words, label in docs:
+        if label:
+            for before, word, after in zip([None, *words], words, [*words[1:], None], strict=False):
+                for f in features_of(word):
+                    if f in places:
+                        places[f].add((before, after))
+    return {f for f, found in places.items() if len(found) >= min_docs}
 
 
 class Sentences:
@@ -99,7 +112,7 @@ class Model:
     weights: dict[str, float]  # by feature
     bias: float
     transition: np.ndarray
-    curve: np.ndarray  # constant, weight of log(1 + expected toxic words), weight of the highest marginal
+    curve: np.ndarray  # constant, weight of log(1 + sum of squared marginals), weight of the highest marginal
 
     def word_score(self, word: str) -> float:
         get = self.weights.get
@@ -143,7 +156,7 @@ def fit_texts(rows: Iterator[tuple[str | None, int]], rounds: int = ROUNDS) -> M
     docs, ids, lengths, ends = [], [], [], [0]
     for text, label in rows:
         words, sizes = sentences_of((text or "").lower())
-        docs.append((Counter(words), int(label)))
+        docs.append((words, int(label)))
         ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
         lengths += sizes
         ends.append(ends[-1] + len(words))
@@ -154,8 +167,12 @@ def fit_texts(rows: Iterator[tuple[str | None, int]], rounds: int = ROUNDS) -> M
     vocabulary = list(known)
     marked = np.array([any(f in marks for f in features_of(w)) for w in vocabulary])
     names: dict[str, int] = {}
-    cells = [(i, names.setdefault(f, len(names))) for i, w in enumerate(vocabulary) for f in features_of(w)]
-    word_at, feature_at = (np.array(x) for x in zip(*cells, strict=True))
+    cells, counts = array("l"), array("l")
+    for w in vocabulary:
+        own = [names.setdefault(f, len(names)) for f in features_of(w)]
+        cells.extend(own)
+        counts.append(len(own))
+    word_at, feature_at = np.repeat(np.arange(len(vocabulary)), np.array(counts)), np.array(cells)
     word = np.concatenate(ids)
     y_doc = np.array([y for _, y in docs])
     gold = marked[word] & (np.repeat(y_doc, np.diff(ends)) == 1)
@@ -182,7 +199,7 @@ def fit_texts(rows: Iterator[tuple[str | None, int]], rounds: int = ROUNDS) -> M
     score = bias + np.bincount(word_at, weights=theta[feature_at], minlength=len(vocabulary))
     p, _ = sent.marginals(score[word], transition)
     doc = np.repeat(np.arange(len(docs)), np.diff(ends))
-    expected = np.bincount(doc, weights=p, minlength=len(docs))
+    expected = np.bincount(doc, weights=p * p, minlength=len(docs))
     highest = np.zeros(len(docs))
     np.maximum.at(highest, doc, p)
     kept = {f: float(theta[k]) for f, k in names.items() if abs(theta[k]) > 1e-3}
@@ -238,7 +255,7 @@ class Scorer:
         doc = np.repeat(np.arange(len(counts)), counts)
         highest = np.zeros(len(counts))
         np.maximum.at(highest, doc, p)
-        return self.model.document(np.bincount(doc, weights=p, minlength=len(counts)), highest), p, counts
+        return self.model.document(np.bincount(doc, weights=p * p, minlength=len(counts)), highest), p, counts
 
 
 def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
