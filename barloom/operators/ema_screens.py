@@ -37,8 +37,9 @@ def ema_observations(panel: DataFrame) -> DataFrame:
     """
     good = panel.where(C("tradable"))
     w = Window.partitionBy("symbol", "segment").orderBy("session")
-    runs = good.withColumn(
-        "run", (C("session") - F.row_number().over(w) + C("segment") * 100000).cast("int")
+    stretches = good.withColumn("_stretch", C("session") - F.row_number().over(w))
+    runs = stretches.withColumn(
+        "run", F.dense_rank().over(Window.partitionBy("symbol").orderBy("segment", "_stretch"))
     )
     df = (
         runs.select("symbol", "date", "session", "run", "close", *[

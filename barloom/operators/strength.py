@@ -25,7 +25,6 @@ class StrengthConfig:
     minimum_coverage: float = 0.60
     near_breakout: float = 0.03
     volume_surge: float = 1.50
-    trailing_rows: int = 300
 
 
 def common_as_of(bars: DataFrame, bench: DataFrame, cfg: StrengthConfig) -> DataFrame:
@@ -59,12 +58,9 @@ def _stage() -> Column:
 def strength_records(bars: DataFrame, bench: DataFrame, cfg: StrengthConfig) -> DataFrame:
     """One strength record per (symbol, date) with enough history, before ranking.
 
-    Only the trailing rows that the longest window plus the 20-session look-back
-    needs enter the sliding frames.
+    The frames bound the work per row; the whole history enters them.
     """
-    w = Window.partitionBy("symbol")
-    df = bars.withColumns({"history": S.position(), "_n": F.count(F.lit(1)).over(w)})
-    df = df.where(C("_n") - C("history") < cfg.trailing_rows)
+    df = bars.withColumn("history", S.position())
     df = df.join(bench.select("date", C("close").alias("_b")), "date", "left")
     df = df.withColumns({"_chg": S.diff("close"), "_ratio": ratio("close", "_b")})
     df = df.withColumns(

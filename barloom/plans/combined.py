@@ -20,6 +20,7 @@ from barloom.plans.registry import query
 from barloom.plans.shapes import with_
 from barloom.plans.sqlkit import chg, lag, over, roll
 from barloom.sources import readers as rd
+from barloom.sources.tables import read
 from barloom.sources.staging import staging_root
 from barloom.streaming import jobs
 
@@ -39,11 +40,11 @@ def technical_and_scores_matrix(spark, sf):
 @query(
     "model:s " + pe._MOUT,
     covers="JOIN-21",
-    sql=with_("pp", f"SELECT 'a' AS model, {pe._M} FROM pp WHERE month(date) <= 6 AND pa >= 0.9 UNION ALL SELECT 'b', {pe._M} FROM pp WHERE month(date) <= 6 AND pb >= 0.9"),
+    sql=with_("pp", f"SELECT 'a' AS model, {pe._M} FROM pp WHERE pa >= 0.9 UNION ALL SELECT 'b', {pe._M} FROM pp WHERE pb >= 0.9"),
 )
 def matched_scope_comparison(spark, sf):
     df = pe.scored(spark, sf)
-    keys = df.where(F.month("date") <= 6).select("date", "symbol")
+    keys = df.where(C("pa").isNotNull() & C("pb").isNotNull()).select("date", "symbol")
     scope = df.join(keys, ["date", "symbol"], "left_semi")
     return ev.selection_metrics(ev.tag(scope, {"a": C("pa") >= 0.9, "b": C("pb") >= 0.9}, "model"), ["model"])
 
@@ -113,17 +114,21 @@ def risk_vetoes(spark, sf):
         {"vetoes": F.size("vetoes"), "reason_codes": F.array_join("reason_codes", ",")})
 
 
-@query("batch:i user_id:i alert:s", covers="ST-5")
+@query(
+    "event_id:i user_id:i alert:s",
+    covers="ST-5",
+    sql="SELECT event_id, user_id, 'large ' || event_type AS alert FROM events WHERE value >= 50 AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
+)
 def streamed_alerts(spark, sf):
-    """Large ticks of watched users, written per micro-batch by ``foreachBatch``."""
+    """Large ticks of users that ever bought, written per micro-batch by ``foreachBatch``."""
     root = f"{staging_root(spark)}/alerts-{uuid.uuid4().hex}"
     ticks = jobs.stream_table(spark, sf, "events").withColumnRenamed("user_id", "symbol")
-    watch = spark.range(0, 1_000_000, 2).select(C("id").alias("symbol"))
-    rules = lambda b: b.where(C("value") >= 50).select(C("symbol").alias("user_id"), F.concat(F.lit("large "), C("event_type")).alias("alert"))
+    watch = read(spark, sf, "events").where(C("event_type") == "purchase").select(C("user_id").alias("symbol")).distinct()
+    rules = lambda b: b.where(C("value") >= 50).select("event_id", C("symbol").alias("user_id"), F.concat(F.lit("large "), C("event_type")).alias("alert"))
     q = ticks.writeStream.foreachBatch(jobs.alert_batches(rules, watch, f"{root}/out")).option(
         "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("user_id bigint, alert string, batch int").parquet(f"{root}/out")
+    return spark.read.schema("event_id bigint, user_id bigint, alert string, batch int").parquet(f"{root}/out")
 
 
 @query(

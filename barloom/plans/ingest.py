@@ -31,12 +31,27 @@ _BARSQL = """SELECT user_id AS symbol, CAST(time_bucket(INTERVAL 30 MINUTE, ts)
     sql=f"SELECT * FROM ({_BARSQL}) WHERE CAST(bar_start AS TIMESTAMP) + INTERVAL 30 MINUTE <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL 1 HOUR",
 )
 def streamed_tick_bars(spark, sf):
-    return jobs.run_available(jobs.tick_bars(jobs.stream_table(spark, sf, "events")), _out(spark))
+    return jobs.completed_bars(jobs.run_batches(jobs.stream_table(spark, sf, "events"), jobs.bar_parts(), _out(spark)))
 
 
-@query("user_id:i session_start:s ticks:i", covers="ST-2")
+@query(
+    "user_id:i session_start:s ticks:i",
+    covers="ST-2",
+    sql="""SELECT user_id, CAST(min(ts) AS VARCHAR) AS session_start, count(*) AS ticks FROM (SELECT user_id, ts, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n
+  FROM (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS o FROM events))
+ GROUP BY user_id, n HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL 1 HOUR""",
+)
 def streamed_sessions(spark, sf):
-    return jobs.run_available(jobs.sessions(jobs.stream_table(spark, sf, "events")), _out(spark))
+    return jobs.closed_sessions(jobs.run_batches(jobs.stream_table(spark, sf, "events"), jobs.session_parts(), _out(spark)))
+
+
+@query(
+    "event_type:s window_start:s ticks:i volume:f4",
+    covers="ST-3",
+    sql="""SELECT event_type, CAST(w AS VARCHAR) AS window_start, count(*) AS ticks, sum(value) AS volume FROM (SELECT event_type, value, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1, 2""",
+)
+def streamed_sliding_volume(spark, sf):
+    return jobs.sliding_volume(jobs.run_batches(jobs.stream_table(spark, sf, "events"), jobs.volume_parts(), _out(spark)))
 
 
 @query(
@@ -47,7 +62,7 @@ def streamed_sessions(spark, sf):
 def streamed_unique_history(spark, sf):
     ev = jobs.stream_table(spark, sf, "events")
     twice = ev.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
-    h = jobs.run_available(jobs.unique_history(twice, ["event_id"], "ts", "2 hours"), _out(spark))
+    h = jobs.unique_history(jobs.run_batches(twice, lambda b: b.dropDuplicates(["event_id"]), _out(spark)), ["event_id"])
     return h.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -60,8 +75,8 @@ def streamed_unique_history(spark, sf):
 )
 def streamed_carried_ema(spark, sf):
     ticks = jobs.stream_table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
-    r = jobs.run_available(jobs.carried_ema(ticks), _out(spark)).withColumn("_i", F.monotonically_increasing_id())
-    return r.groupBy("symbol").agg(F.count(F.lit(1)).alias("ticks"), F.max_by("ema", F.struct("ts", "_i")).alias("last_ema"))
+    r = jobs.run_available(jobs.carried_ema(ticks), _out(spark))
+    return r.groupBy("symbol").agg(F.count(F.lit(1)).alias("ticks"), F.max_by("ema", F.struct("ts", "event_id")).alias("last_ema"))
 
 
 @query(

@@ -78,3 +78,32 @@ def test_upsert_batches_are_replay_safe(spark, tmp_path):
     write(late, 1)
     got = {r["symbol"]: r["close"] for r in spark.read.parquet(str(tmp_path / "bars" / "v1")).collect()}
     assert got == {"A": 5.0, "B": 2.0}
+
+
+def test_streams_do_not_depend_on_files(spark, tmp_path):
+    """One file, a folder, and many shuffled files in small micro-batches give the same rows."""
+    import os
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from barloom.streaming import jobs
+
+    source = "/root/testdata/sf0.001/events.parquet"
+    if not os.path.exists(source):
+        pytest.skip("needs the test tables")
+    many = tmp_path / "many"
+    spark.read.parquet(source).repartition(130, F.rand(3)).write.parquet(f"{many}/events.parquet")
+    results = []
+    for k, (folder, cap) in enumerate([(os.path.dirname(source), None), (str(many), None), (str(many), 10)]):
+        stream = lambda: jobs.stream_table(spark, folder, "events", cap)  # noqa: E731, B023
+        out = lambda name: str(tmp_path / f"{name}-{k}")  # noqa: E731, B023
+        bars = jobs.completed_bars(jobs.run_batches(stream(), jobs.bar_parts(), out("bars")))
+        sessions = jobs.closed_sessions(jobs.run_batches(stream(), jobs.session_parts(), out("sessions")))
+        volume = jobs.sliding_volume(jobs.run_batches(stream(), jobs.volume_parts(), out("volume"))).withColumn("volume", F.round("volume", 6))
+        history = jobs.unique_history(jobs.run_batches(stream(), lambda b: b, out("history")), ["event_id"])
+        r = stream().where("event_type = 'signup'").select(F.col("user_id").alias("symbol"), F.col("ts").alias("period_ts"))
+        f = stream().where("event_type = 'error'").select(F.col("user_id").alias("symbol"), F.col("ts").alias("filed_ts"), F.col("event_id").alias("reference"))
+        matches = jobs.run_available(jobs.filing_matches(r, f, 2), out("matches"))
+        results.append([sorted(map(tuple, df.collect()), key=repr) for df in (bars, sessions, volume, history, matches)])
+    assert results[0] == results[1] == results[2] and all(results[0])
