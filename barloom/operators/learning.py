@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -30,13 +30,16 @@ def models() -> dict[str, object]:
 
 
 def fit(train: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
-    stages = [VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip"), estimator]
-    return Pipeline(stages=stages).fit(train)
+    """Missing features take the training median, so no row is left out of training or scoring."""
+    filled = [f"_filled_{f}" for f in features]
+    impute = Imputer(inputCols=list(features), outputCols=filled, strategy="median")
+    return Pipeline(stages=[impute, VectorAssembler(inputCols=filled, outputCol="x"), estimator]).fit(train)
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
     p = vector_to_array(C("probability"))[1]
-    return model.transform(df).withColumn(out, p).drop("x", "rawPrediction", "probability", "prediction")
+    done = model.transform(df).withColumn(out, p)
+    return done.drop("x", "rawPrediction", "probability", "prediction", *[c for c in done.columns if c.startswith("_filled_")])
 
 
 def time_split(df: DataFrame, train_end: Column, valid_end: Column) -> DataFrame:

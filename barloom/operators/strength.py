@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from barloom.functions.frames import with_row
 from barloom.functions.rolling import Series, ratio
+from barloom.sources.staging import stage
 from barloom.operators.order_stats import quantiles, with_ranks
 
 C = F.col
@@ -152,6 +153,7 @@ def strength_snapshot(
 ) -> DataFrame:
     """Ratings at the common as-of date with those of 5 and 20 benchmark sessions before."""
     cfg = cfg or StrengthConfig()
+    bars, bench = stage(bars, "bars"), stage(bench, "bench")
     as_of = common_as_of(bars, bench, cfg)
     one = Window.partitionBy("_k").orderBy(C("date").desc())
     picks = (
@@ -160,7 +162,9 @@ def strength_snapshot(
         .withColumn("_back", F.row_number().over(one) - 1)
         .where(C("_back").isin(0, 5, 20)).select("date", "_back")
     )
-    rated = rate(strength_records(bars, bench, cfg).join(picks, "date"))
+    # three dates of records: ranked and read by two branches, so each step is written once
+    records = strength_records(bars, bench, cfg).drop("_n").join(stage(picks, "as-of"), "date")
+    rated = stage(rate(stage(records, "strength")), "rated")
     now = rated.where(C("_back") == 0).drop("_back")
     prior = rated.where(C("_back") > 0).groupBy("symbol").agg(
         F.max(F.when(C("_back") == 5, C("rs_rating"))).alias("rs_rating_5d_ago"),

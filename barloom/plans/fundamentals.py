@@ -17,7 +17,7 @@ FIELDS = ("sales", "net_profit", "eps", "operating_profit", "interest")
 
 
 def _cust(key="o_custkey"):
-    return F.concat(F.lit("C"), F.lpad(C(key).cast("string"), 12, "0"))
+    return F.format_string("C%012d", C(key).cast("bigint"))
 
 
 def quarter_facts(spark, sf):
@@ -63,7 +63,7 @@ def sessions(spark, sf):
     return d.where(F.dayofweek("date").between(2, 6)).select("date")
 
 
-_SYM = "'C' || lpad(CAST(o_custkey AS VARCHAR), 12, '0')"
+_SYM = "printf('C%012d', o_custkey)"
 define_cte(
     "qf",
     f"""SELECT *, CASE WHEN k % 7 <> 0 THEN period_end + CAST(k % 60 AS INTEGER) END AS publication_date FROM (

@@ -135,7 +135,7 @@ def material_prices(spark, sf):
 define_cte("mat", "SELECT p_type AS material, CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) / sum(l_quantity) AS price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
 define_cte(
     "expo",
-    """SELECT 'S' || lpad(CAST(l_suppkey AS VARCHAR), 12, '0') AS symbol, p_type AS material, sum(l_extendedprice) / sum(sum(l_extendedprice)) OVER (PARTITION BY l_suppkey) AS spend_pct, l_suppkey AS k FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, p_type""",
+    """SELECT printf('S%012d', l_suppkey) AS symbol, p_type AS material, sum(l_extendedprice) / sum(sum(l_extendedprice)) OVER (PARTITION BY l_suppkey) AS spend_pct, l_suppkey AS k FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, p_type""",
 )
 
 

@@ -13,7 +13,7 @@ from barloom.sources.tables import read
 
 
 def _symbol(key: str):
-    return F.concat(F.lit("S"), F.lpad(F.col(key).cast("string"), 12, "0"))
+    return F.format_string("S%012d", F.col(key).cast("bigint"))
 
 
 def trade_order(freq: str):
@@ -110,7 +110,7 @@ _AGGS = """
   sum(l_quantity) AS volume"""
 
 SQL_BARS = f"""bars AS MATERIALIZED (
- SELECT 'S' || lpad(CAST(l_suppkey AS VARCHAR), 12, '0') AS symbol,
+ SELECT printf('S%012d', l_suppkey) AS symbol,
   CAST(date_trunc('week', l_shipdate) AS DATE) AS date,{_AGGS}
  FROM lineitem WHERE l_quantity > 0 GROUP BY ALL)"""
 
@@ -119,7 +119,7 @@ SQL_BENCH = """bench AS MATERIALIZED (
   sum(volume) AS volume FROM bars GROUP BY date)"""
 
 SQL_UNI = """uni AS MATERIALIZED (
- SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 12, '0') AS symbol, s_name AS company,
+ SELECT printf('S%012d', s_suppkey) AS symbol, s_name AS company,
   n_name AS sector, r_name AS region, s_acctbal AS balance
  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 

@@ -41,15 +41,3 @@ def local_session(cpus: int = 8, app: str = "barloom") -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str | None:
     """Shared checkpoint folder named by the cluster, if one is set."""
     return spark.conf.get("spark.checkpoint.dir", None)
-
-
-def cut_lineage(df):
-    """Materialise ``df`` on the shared checkpoint folder (reliable, survives executor loss)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        root = checkpoint_root(spark)
-        if root is None:
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(root)
-    return df.checkpoint(eager=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +10,9 @@ from barloom.session import checkpoint_root
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only for local sessions."""
+    """The shared folder named by the cluster, or a folder of the warehouse where none is set."""
     root = checkpoint_root(spark)
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="barloom-stage-")
-    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return root.rstrip("/") if root else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stage"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
