@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +66,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         state = tuple(now)
     roots = e.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
     return roots.union(e.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct())
+
+
+class Forest:
+    """Union-find over local points, fed with arrays of links."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        while True:
+            a, b = self.root[u], self.root[v]
+            apart = a != b
+            if not apart.any():
+                return
+            u, v = u[apart], v[apart]
+            high, low = np.maximum(a[apart], b[apart]), np.minimum(a[apart], b[apart])
+            np.minimum.at(self.root, high, low)
+            while True:
+                flat = self.root[self.root]
+                if (flat == self.root).all():
+                    break
+                self.root = flat

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import connected_components, stored
+from barloom.llm.common import Forest, connected_components, stored
 
 COSINE = 0.93
 CELL = 1500
@@ -146,28 +146,6 @@ def _routed(points: DataFrame, payload: bool) -> DataFrame:
     return points.mapInArrow(run, schema + (", key binary, mult long, v binary, codes binary" if payload else ""))
 
 
-class Forest:
-    """Union-find over local points, fed with arrays of links."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def add(self, u: np.ndarray, v: np.ndarray) -> None:
-        while True:
-            a, b = self.root[u], self.root[v]
-            apart = a != b
-            if not apart.any():
-                return
-            u, v = u[apart], v[apart]
-            high, low = np.maximum(a[apart], b[apart]), np.minimum(a[apart], b[apart])
-            np.minimum.at(self.root, high, low)
-            while True:
-                flat = self.root[self.root]
-                if (flat == self.root).all():
-                    break
-                self.root = flat
-
-
 def _linked(unit: pd.DataFrame, cosine: float = COSINE) -> pd.DataFrame:
     """Links of one block: per point with links, their number and a point it is connected with."""
     dim, t = int(unit["dim"].iloc[0]), int(unit["t"].iloc[0])

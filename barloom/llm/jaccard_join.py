@@ -8,8 +8,9 @@ fills no more than H segments adds the one-deletion neighbourhoods of its larger
 and only where even these do not add up the signatures of its empty segments, which are long lists.
 
 Signatures travel in packed blocks, by bucket. Copies with equal sets count once. Documents of one signature form a
-group; each member is first verified against the group's smallest member, and only pairs that are then still in different
-components are verified further, so a large group of near copies costs links, not pairs. Verification compares the whole
+group, which sizes and parity sketches (a lower bound on the difference) divide further. Each member is first verified
+against its group's smallest member, and only pairs that are then still in different components are verified further,
+so a large group of near copies costs links, not pairs. Verification compares the whole
 shingle sets. Components of verified links give the result. Nothing is capped or sampled.
 """
 
@@ -21,16 +22,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import connected_components, partitions, stored
+from barloom.llm.common import Forest, connected_components, partitions, stored
 
 WORDS, NUM, DEN = 5, 80, 100
 BLOCK_DOCS = 1000
-CHUNK = 4096
+BLOCK_MEMBERS = 2048
 #: Rows of the table of candidate sets that may be broadcast (24 bytes each); a larger table is joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 MAX_REMEMBERED = 400_000
@@ -131,40 +133,23 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def shingle_sets(docs: DataFrame, with_hashes: bool = False) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, set_key (null for an empty set) and the hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                sets = [shingler(t) for t in part.column(1).to_pylist()]
-                columns = [
-                    part.column(0),
-                    pa.array([len(h) for h in sets], pa.int64()),
-                    pa.array([set_key(h) if len(h) else None for h in sets], pa.binary()),
-                ]
-                names = ["doc_id", "n_shingles", "set_key"]
-                if with_hashes:
-                    columns.append(pa.array([h.tobytes() for h in sets], pa.binary()))
-                    names.append("hashes")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles long, set_key binary" + (", hashes binary" if with_hashes else "")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+def sketch(h: np.ndarray) -> np.ndarray:
+    """2048 parities of the shingles by their leading bits: two sets differ in at least as many shingles as in bits."""
+    odd = np.bincount((h >> U(53)).astype(np.int64), minlength=2048) & 1
+    return np.packbits(odd.astype(np.uint8)).view(U)
 
 
 def _signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed signatures: bucket, sigs (u64), owner (u16 index), keys (16 bytes each), sizes (i32)."""
+    """Packed rows by bucket: signatures (sigs u64, owner u16, keys 16 bytes, sizes i32, folds 16 bytes), and the same
+    documents' own rows (``base``: doc_id, n_shingles, set_key, text_hash, sketch), which travel along to be read once."""
 
-    def block(sets: list[np.ndarray], bands: Bands) -> pa.RecordBatch | None:
+    def block(sets: list[np.ndarray], bands: Bands, empty: pa.Array) -> Iterator[pa.RecordBatch]:
         unique = {set_key(h): h for h in sets if len(h)}
         if not unique:
-            return None
+            return
         keys = np.frombuffer(b"".join(unique), dtype="V16")
         sizes = np.array([len(h) for h in unique.values()], np.int32)
+        folds = np.array([np.bitwise_xor.reduce(sketch(h).reshape(16, 2)) for h in unique.values()])
         each = [signatures(h, bands) for h in unique.values()]
         sigs = np.concatenate(each)
         owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
@@ -175,94 +160,222 @@ def _signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
         rows = []
         for lo, hi in zip(cut, [*cut[1:], len(sigs)], strict=True):
             present, local = np.unique(owner[lo:hi], return_inverse=True)
-            rows.append((int(bucket[lo]), sigs[lo:hi].tobytes(), local.astype(np.uint16).tobytes(), keys[present].tobytes(), sizes[present].tobytes()))
-        a, b, c, d, e = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int64()), *(pa.array(x, pa.binary()) for x in (b, c, d, e))], names=["bucket", "sigs", "owner", "keys", "sizes"]
+            packed = (sigs[lo:hi], local.astype(np.uint16), keys[present], sizes[present], folds[present])
+            rows.append((int(bucket[lo]), *(x.tobytes() for x in packed)))
+        number, *rest = zip(*rows, strict=True)
+        base = pa.nulls(len(rows), empty.type)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(number, pa.int64()), *(pa.array(x, pa.binary()) for x in rest), base],
+            names=["bucket", "sigs", "owner", "keys", "sizes", "folds", "base"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bands, held = Shingler(), Bands(), []
-        volume = 0
+        shingler, bands = Shingler(), Bands()
         for b in batches:
-            for text in b.column(0):
-                held.append(shingler(text.as_py()))
-                volume += len(held[-1])
-                if len(held) == BLOCK_DOCS or volume > 2_000_000:
-                    if (out := block(held, bands)) is not None:
-                        yield out
-                    held, volume = [], 0
-        if held and (out := block(held, bands)) is not None:
-            yield out
+            lo = 0
+            while lo < b.num_rows:
+                sets, volume, hi = [], 0, lo
+                while hi < b.num_rows and len(sets) < BLOCK_DOCS and volume < 2_000_000:
+                    sets.append(shingler(b.column(1)[hi].as_py()))
+                    volume += len(sets[-1])
+                    hi += 1
+                base = pa.StructArray.from_arrays(
+                    [
+                        b.column(0).slice(lo, hi - lo),
+                        pa.array([len(h) for h in sets], pa.int64()),
+                        pa.array([set_key(h) if len(h) else None for h in sets], pa.binary()),
+                        b.column(2).slice(lo, hi - lo),
+                        pa.array([sketch(h).tobytes() for h in sets], pa.binary()),
+                    ],
+                    names=["doc_id", "n_shingles", "set_key", "text_hash", "sketch"],
+                )
+                none = pa.nulls(hi - lo, pa.binary())
+                spread = pa.array(np.arange(lo, hi) % buckets, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [spread, none, none, none, none, none, base], names=["bucket", "sigs", "owner", "keys", "sizes", "folds", "base"]
+                )
+                yield from block(sets, bands, base)
+                lo = hi
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    base = f"struct<doc_id:{kind},n_shingles:bigint,set_key:binary,text_hash:bigint,sketch:binary>"
+    schema = f"bucket long, sigs binary, owner binary, keys binary, sizes binary, folds binary, base {base}"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
-    return docs.select("text").mapInArrow(run, "bucket long, sigs binary, owner binary, keys binary, sizes binary")
+
+def _alike(sizes: np.ndarray, folds: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sizes and folded sketches leave it possible that sets ``a`` and ``b`` reach the threshold."""
+    x, y = sizes[a], sizes[b]
+    differ = np.bitwise_count(folds[a] ^ folds[b]).sum(axis=-1, dtype=np.int64)
+    return (np.minimum(x, y) * den >= num * np.maximum(x, y)) & (differ * (den + num) <= (x + y) * (den - num))
 
 
 def _groups(blocks: DataFrame, buckets: int, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Documents that share a signature: hub, members (the others; none of them too different in size from all)."""
+    """Documents that share a signature and may be similar: hub (the least), members (the others; ``wide``: groups of more
+    than two, joined by hub); and base."""
+
+    def parts(members: np.ndarray, sizes: np.ndarray, folds: np.ndarray) -> Iterator[np.ndarray]:
+        forest = Forest(len(members))
+        everyone = np.arange(len(members))
+        for lo in range(0, len(members), 256):
+            rows = everyone[lo : lo + 256, None]
+            u, v = np.nonzero((rows < everyone) & _alike(sizes, folds, members[rows], members[everyone][None, :], num, den))
+            forest.add(u + lo, v)
+        for root in np.flatnonzero(np.bincount(forest.root, minlength=len(members)) > 1):
+            yield members[forest.root == root]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, owner, keys, sizes, base = [], [], [], [], 0
+        columns = ["base", "hub", "wide", "members"]
+        sigs, owner, keys, sizes, folds, count = [], [], [], [], [], 0
+        base_type = None
         for b in batches:
-            for _, s, o, k, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            base_type = b.schema.field("base").type
+            own = b.column("sigs").is_null()
+            rows = b.filter(own).column("base")
+            if len(rows):
+                blank = [pa.nulls(len(rows), t) for t in (pa.binary(), pa.bool_(), pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays([rows, *blank], names=columns)
+            packed = b.filter(b.column("sigs").is_valid())
+            for s, o, k, z, f in zip(*(packed.column(c).to_pylist() for c in ("sigs", "owner", "keys", "sizes", "folds")), strict=True):
                 sigs.append(np.frombuffer(s, U))
-                owner.append(np.frombuffer(o, np.uint16).astype(np.int64) + base)
+                owner.append(np.frombuffer(o, np.uint16).astype(np.int64) + count)
                 keys.append(np.frombuffer(k, "V16"))
                 sizes.append(np.frombuffer(z, np.int32))
-                base += len(sizes[-1])
+                folds.append(np.frombuffer(f, U).reshape(-1, 2))
+                count += len(sizes[-1])
         if not sigs:
             return
-        sigs, owner, sizes = np.concatenate(sigs), np.concatenate(owner), np.concatenate(sizes)
+        sigs, owner = np.concatenate(sigs), np.concatenate(owner)
         order = np.argsort(sigs)
         sigs, owner = sigs[order], owner[order]
         same = sigs[1:] == sigs[:-1]
         shared = np.r_[same, False] | np.r_[False, same]
         sigs, owner = sigs[shared], owner[shared]
-        names, ident = np.unique(np.concatenate(keys), return_inverse=True)
-        size_of = np.zeros(len(names), np.int64)
-        size_of[ident] = sizes
+        if not len(sigs):
+            return
+        used, owner = np.unique(owner, return_inverse=True)
+        names, first, ident = np.unique(np.concatenate(keys)[used], return_index=True, return_inverse=True)
+        sizes, folds = np.concatenate(sizes)[used][first].astype(np.int64), np.concatenate(folds)[used][first]
         who = ident[owner]
-        cut = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]]) if len(sigs) else np.empty(0, int)
+        cut = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]])
+        long = np.diff(np.r_[cut, len(sigs)])
+        a, b = who[cut[long == 2]], who[cut[long == 2] + 1]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        good = (a != b) & _alike(sizes, folds, a, b, num, den)
+        pairs = np.unique(a[good] * len(names) + b[good])
         seen: set[bytes] = set()
-        out: dict[int, set[int]] = {}
-        wide: list[tuple[int, np.ndarray]] = []
-        for lo, hi in zip(cut, [*cut[1:], len(sigs)], strict=True):
-            members = np.unique(who[lo:hi])
-            if len(members) == 2:
-                a, b = members
-                if min(size_of[a], size_of[b]) * den >= num * max(size_of[a], size_of[b]):
-                    out.setdefault(int(a), set()).add(int(b))
-            elif len(members) > 2 and (tag := hashlib.blake2b(members.tobytes(), digest_size=16).digest()) not in seen:
-                seen.add(tag)
-                wide.append((int(members[0]), members[1:]))
-        rows = [(a, False, np.fromiter(m, np.int64, len(m))) for a, m in out.items()] + [(a, True, m) for a, m in wide]
+        wide: list[np.ndarray] = []
+        more: list[int] = []
+        for lo, n in zip(cut[long > 2], long[long > 2], strict=True):
+            members = np.unique(who[lo : lo + n])
+            tag = hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+            if len(members) < 2 or tag in seen:
+                continue
+            seen.add(tag)
+            for part in parts(members, sizes, folds):
+                if len(part) == 2:
+                    more.append(int(part[0]) * len(names) + int(part[1]))
+                else:
+                    wide.append(part)
+        pairs = np.union1d(pairs, np.array(more, np.int64))
+        hubs = pairs // len(names)
+        cut = [*np.flatnonzero(np.r_[True, hubs[1:] != hubs[:-1]]), len(pairs)] if len(pairs) else []
+        rows = [(int(hubs[lo]), False, pairs[lo:hi] % len(names)) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+        by_hub: dict[int, list[np.ndarray]] = {}
+        for part in wide:
+            by_hub.setdefault(int(part[0]), []).append(part[1:])
+        rows += [(hub, True, np.unique(np.concatenate(members))) for hub, members in by_hub.items()]
         for at in range(0, len(rows), 1000):
             part = rows[at : at + 1000]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([names[a].tobytes() for a, _, _ in part], pa.binary()),
+                    pa.nulls(len(part), base_type),
+                    pa.array([names[h].tobytes() for h, _, _ in part], pa.binary()),
                     pa.array([w for _, w, _ in part], pa.bool_()),
                     pa.array([[x.tobytes() for x in names[m]] for _, _, m in part], pa.list_(pa.binary())),
                 ],
-                names=["hub", "wide", "members"],
+                names=columns,
             )
 
-    return blocks.repartition(buckets, "bucket").mapInArrow(run, "hub binary, wide boolean, members array<binary>")
+    base = blocks.schema["base"].dataType.simpleString()
+    return blocks.repartition(buckets, "bucket").mapInArrow(run, f"base {base}, hub binary, wide boolean, members array<binary>")
+
+
+def _possible(pairs: DataFrame, info: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The (a, b) rows that sizes and whole sketches leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            sizes = np.concatenate([b.column("na").to_numpy(), b.column("nb").to_numpy()])
+            bits = np.frombuffer(b"".join([*b.column("sa").to_pylist(), *b.column("sb").to_pylist()]), U).reshape(2 * n, -1)
+            mask = pa.array(_alike(sizes, bits, np.arange(n), np.arange(n, 2 * n), num, den))
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
+
+    left = info.select(F.col("set_key").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+    right = info.select(F.col("set_key").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
+    return both.mapInArrow(run, "a binary, b binary")
+
 
+def _across(members: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Possible pairs (a, b) inside groups between different components, of rows gid, size, member, root, n_shingles, sketch.
 
-def _verified(pairs: DataFrame, docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    A group is compared in blocks of ``BLOCK_MEMBERS``, each pair of blocks a task of its own; only pairs that sizes and
+    whole sketches leave possible come out.
+    """
+
+    def compare(unit: pd.DataFrame) -> pd.DataFrame:
+        sizes, block = unit["n_shingles"].to_numpy(), unit["block"].to_numpy()
+        bits = np.frombuffer(b"".join(map(bytes, unit["sketch"])), U).reshape(len(unit), -1)
+        keys = [bytes(k) for k in unit["member"]]
+        root = np.unique([bytes(r).hex() for r in unit["root"]], return_inverse=True)[1]
+        first, second = int(unit["x"].iloc[0]), int(unit["y"].iloc[0])
+        rows, others = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        out: list[tuple[bytes, bytes]] = []
+        for at in range(0, len(rows), 64):
+            u, v = np.meshgrid(rows[at : at + 64], others, indexing="ij")
+            apart = (root[u] != root[v]) & ((first != second) | (u < v))
+            u, v = u[apart], v[apart]
+            ok = np.concatenate([_alike(sizes, bits, u[k : k + 20_000], v[k : k + 20_000], num, den) for k in range(0, len(u), 20_000)] or [np.empty(0, bool)])
+            out += [(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in zip(u[ok], v[ok], strict=True)]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
+    df = members.withColumn("block", F.pmod(F.xxhash64("member"), blocks).cast("int"))
+    units = F.transform(F.sequence(F.lit(0), blocks - 1), lambda y: F.struct(F.least("block", y).alias("x"), F.greatest("block", y).alias("y")))
+    df = df.withColumn("unit", F.explode(units)).select("gid", "unit.x", "unit.y", "block", "member", "root", "n_shingles", "sketch")
+    return df.groupBy("gid", "x", "y").applyInPandas(lambda unit: compare(unit), "a binary, b binary")
+
+
+def _sets_of(keys: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
+    """set_key and whole set (sorted hashes) of the given keys, from one text of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                sets = [shingler(t) for t in b.column(0).slice(lo, 500).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([set_key(h) if len(h) else None for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())],
+                    names=["set_key", "hashes"],
+                )
+
+    wanted = stored(info.join(keys, "set_key", "left_semi").select("text_hash"), "candidate-texts")
+    few = wanted.count() <= BROADCAST_KEYS
+    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(wanted) if few else wanted, "text_hash", "left_semi")
+    found = texts.select("text").mapInArrow(run, "set_key binary, hashes binary")
+    return stored(found.groupBy("set_key").agg(F.min("hashes").alias("hashes")), "candidate-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """The (a, b) rows of ``pairs`` (distinct set keys) that reach the threshold, by whole sets."""
-    keys = stored(pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct(), "candidate-sets")
-    few = keys.count() <= BROADCAST_KEYS
-    sets = shingle_sets(docs, with_hashes=True).join(F.broadcast(keys) if few else keys, "set_key", "left_semi")
-    sets = stored(sets.groupBy("set_key").agg(F.min("hashes").alias("hashes")), "candidate-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c, x, y = (col.to_pylist() for col in b.columns)
             ok = []
-            for left, right in zip(x, y, strict=True):
-                h, g = np.frombuffer(left, U), np.frombuffer(right, U)
+            for left, right in zip(b.column(2), b.column(3), strict=True):
+                h, g = np.frombuffer(left.as_py(), U), np.frombuffer(right.as_py(), U)
                 common = len(np.intersect1d(h, g, assume_unique=True))
                 ok.append(den * common >= num * (len(h) + len(g) - common))
             mask = pa.array(ok, pa.bool_())
@@ -274,32 +387,45 @@ def _verified(pairs: DataFrame, docs: DataFrame, num: int = NUM, den: int = DEN)
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def similar_links(docs: DataFrame) -> DataFrame:
-    """Verified links (a, b) between set keys whose connected components are those of all links."""
+def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per document its set (doc_id, n_shingles, set_key, text_hash), and verified links (a, b) between set keys.
+
+    The connected components of these links are those of all links.
+    """
     docs = docs.select("doc_id", "text")
     buckets = partitions(docs.sparkSession)
-    groups = stored(_groups(_signature_blocks(docs, buckets), buckets), "signature-groups")
+    found = stored(_groups(_signature_blocks(docs, buckets), buckets), "signature-groups")
+    base, groups = found.where("base is not null").select("base.*"), found.where("hub is not null")
+    one = base.where("set_key is not null").groupBy("set_key")
+    info = stored(one.agg(*(F.min(c).alias(c) for c in ("n_shingles", "text_hash", "sketch"))), "sets")
     first = groups.select(F.col("hub").alias("a"), F.explode("members").alias("b")).distinct()
-    links = stored(_verified(first, docs), "links")
-    wide = groups.where("wide").select("hub", "members").distinct()
-    linked = links.groupBy("a").agg(F.collect_set("b").alias("linked")).withColumnRenamed("a", "hub")
-    rest = wide.join(linked, "hub", "left").select(
-        "hub", "members", F.array_except("members", F.coalesce("linked", F.array().cast("array<binary>"))).alias("other")
-    )
-    rest = rest.where(F.size("other") > 0).withColumn("gid", F.xxhash64("hub", "members"))
+    first = stored(_possible(first, info), "pairs")
+    wide = stored(groups.where("wide").select("hub", F.explode("members").alias("member")).distinct(), "wide-groups")
+    ends = first.select(F.col("a").alias("set_key")).union(first.select("b"))
+    ends = ends.union(wide.select("hub")).union(wide.select("member")).distinct()
+    sets = _sets_of(ends, info, docs)
+    links = stored(_verified(first, sets), "links")
     roots = connected_components(links)
-    rest = stored(rest, "signature-groups")
-    other = rest.select("gid", "hub", F.explode("other").alias("member"))
-    other = other.join(roots.select(F.col("vertex").alias("member"), F.col("root").alias("m_root")), "member", "left")
-    other = other.join(roots.select(F.col("vertex").alias("hub"), F.col("root").alias("h_root")), "hub", "left")
-    other = other.withColumn("m_root", F.coalesce("m_root", "member")).where("m_root != coalesce(h_root, hub)")
-    open_groups = stored(other.select("gid", "member", "m_root"), "open-members")
-    mates = rest.join(open_groups.select("gid").distinct(), "gid", "left_semi").select("gid", F.explode("members").alias("mate"))
-    mates = mates.join(roots.select(F.col("vertex").alias("mate"), F.col("root").alias("mate_root")), "mate", "left")
-    pairs = open_groups.join(mates, "gid").where("m_root != coalesce(mate_root, mate)")
-    pairs = pairs.select(F.least("member", "mate").alias("a"), F.greatest("member", "mate").alias("b")).distinct()
-    pairs = stored(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    return links.union(_verified(pairs, docs)) if pairs.limit(1).count() else links
+    placed = wide.join(roots.select(F.col("vertex").alias("member"), F.col("root").alias("m_root")), "member", "left")
+    placed = placed.join(roots.select(F.col("vertex").alias("hub"), F.col("root").alias("h_root")), "hub", "left")
+    placed = placed.select("hub", "member", F.coalesce("m_root", "member").alias("m_root"), F.coalesce("h_root", "hub").alias("h_root"))
+    several = placed.where("m_root != h_root").groupBy("hub").agg(F.first("h_root").alias("h_root"))
+    sizes = wide.groupBy("hub").agg((F.count(F.lit(1)) + 1).alias("size"))
+    several = stored(several.join(sizes, "hub"), "open-groups")
+    mates = placed.join(several.select("hub", "size"), "hub").select(F.col("hub").alias("gid"), "size", "member", F.col("m_root").alias("root"))
+    mates = mates.union(several.select("hub", "size", "hub", "h_root"))
+    mates = mates.join(info.select(F.col("set_key").alias("member"), "n_shingles", "sketch"), "member")
+    pairs = stored(_across(mates).distinct(), "pairs").join(first, ["a", "b"], "left_anti")
+    links = links.union(stored(_verified(pairs, sets), "links"))
+    return base.select("doc_id", "n_shingles", "set_key", "text_hash"), links
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents with a set and their ``root`` (a set key of their component), and documents without one."""
+    base, links = similar_sets(docs)
+    roots = connected_components(links).withColumnRenamed("vertex", "set_key")
+    placed = base.where("set_key is not null").join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    return placed, base.where("set_key is null")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -310,13 +436,35 @@ def components(docs: DataFrame) -> DataFrame:
     repeated rows and copies share a component; a null doc_id takes part and is never the smallest. An empty table gives
     no rows. Other columns are not read.
     """
-    base = stored(shingle_sets(docs), "shingle-sets")
-    roots = connected_components(similar_links(docs)).withColumnRenamed("vertex", "set_key")
-    placed = base.where("set_key is not null").join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    placed, empty = _placed(docs)
     lowest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     full = placed.join(lowest, "root").select("doc_id", "n_shingles", "set_key", "component_id")
-    empty = base.where("set_key is null").select("doc_id", "n_shingles", "set_key", F.col("doc_id").alias("component_id"))
-    return full.union(empty)
+    return full.union(empty.select("doc_id", "n_shingles", "set_key", F.col("doc_id").alias("component_id")))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each component: that of the smallest doc_id.
+
+    Nulls sort last; among rows of one doc_id the one of least text hash stays, and of equal rows one. Documents without
+    words link with nothing and all stay.
+    """
+    placed, empty = _placed(docs)
+    placed = stored(placed.select("doc_id", "text_hash", "root"), "placed")
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first"))
+    keep = stored(first.select("first.doc_id", "first.text_hash").union(empty.select("doc_id", "text_hash")).distinct(), "kept")
+    keep = keep.select(F.col("doc_id").alias("__jaccard_id"), F.col("text_hash").alias("__jaccard_hash"))
+    again = placed.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        F.col("doc_id").alias("__jaccard_id"), F.col("text_hash").alias("__jaccard_hash")
+    )
+    again = stored(again, "repeated-rows")
+    rows = docs.withColumn("__jaccard_row", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__jaccard_id")) & (F.col("__jaccard_row") == F.col("__jaccard_hash"))
+    kept = rows.join(F.broadcast(keep) if keep.count() <= BROADCAST_KEYS else keep, same, "left_semi")
+    if again.limit(1).count():
+        few = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
+        once = kept.join(few, same, "left_semi").dropDuplicates(["doc_id", "__jaccard_row"])
+        kept = kept.join(few, same, "left_anti").union(once)
+    return kept.drop("__jaccard_row")
 
 
 ORACLE = r"""
