@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from barloom.operators import patterns as pt
 from barloom.plans import shapes as sh
@@ -160,7 +161,7 @@ def support_resistance_levels(spark, sf):
     sql=with_(
         "feat",
         """SELECT l.symbol, l.date, e.event_date, date_diff('day', l.date, e.event_date) AS days_to_event, least(greatest(0, 30 - date_diff('day', l.date, e.event_date)) + CASE WHEN close > sma_20 THEN 20 ELSE 0 END + CASE WHEN close > sma_50 THEN 20 ELSE 0 END + CASE WHEN volume_to_avg20 < 0.8 THEN 15 ELSE 0 END + 10.5, 100) AS watch_score
- FROM (SELECT * FROM feat WHERE date = DATE '2001-01-01') l JOIN (SELECT symbol, min(date) AS event_date FROM bars WHERE volume >= 90 AND date > DATE '2001-01-01' GROUP BY symbol) e USING (symbol)""",
+ FROM (SELECT * FROM feat WHERE date <= DATE '2001-01-01' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1) l JOIN (SELECT symbol, min(date) AS event_date FROM bars WHERE volume >= 90 AND date > DATE '2001-01-01' GROUP BY symbol) e USING (symbol)""",
     ),
 )
 def upcoming_event_watch(spark, sf):
@@ -168,6 +169,8 @@ def upcoming_event_watch(spark, sf):
 
     bars = sh.bars(spark, sf)
     f = ft.add_trend(bars, pt.S, (20, 50)).withColumn("volume_to_avg20", ft.ratio("volume", pt.S.mean("volume", 20)))
-    latest = f.where(C("date") == F.lit("2001-01-01").cast("date"))
-    ev = bars.where(C("volume") >= 90).select("symbol", C("date").alias("event_date"), F.lit(3).alias("priority"))
+    as_of = F.lit("2001-01-01").cast("date")
+    last = Window.partitionBy("symbol").orderBy(C("date").desc())
+    latest = f.where(C("date") <= as_of).withColumn("_r", F.row_number().over(last)).where(C("_r") == 1).drop("_r")
+    ev = bars.where((C("volume") >= 90) & (C("date") > as_of)).select("symbol", C("date").alias("event_date"), F.lit(3).alias("priority"))
     return pt.upcoming_event_watch(latest, ev)
