@@ -33,6 +33,8 @@ from barloom.llm.common import Forest, connected_components, partitions, stored
 WORDS, NUM, DEN = 5, 80, 100
 BLOCK_DOCS = 1000
 BLOCK_MEMBERS = 2048
+#: Sizes from here on are packed as this one, and then do not rule a pair out by its sketch.
+WIDE_SIZE = 65535
 #: Rows of the table of candidate sets that may be broadcast (24 bytes each); a larger table is joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 MAX_REMEMBERED = 400_000
@@ -80,6 +82,11 @@ def set_key(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
+def _short(key: bytes) -> int:
+    """The first half of a set key. Sets that share it are compared as if each were meant; verification tells them apart."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
 class Bands:
     """Size bands, differences and segment counts for the threshold ``num / den``."""
 
@@ -140,16 +147,16 @@ def sketch(h: np.ndarray) -> np.ndarray:
 
 
 def _signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed rows by bucket: signatures (sigs u64, owner u16, keys 16 bytes, sizes i32, folds 16 bytes), and the same
-    documents' own rows (``base``: doc_id, n_shingles, set_key, text_hash, sketch), which travel along to be read once."""
+    """Packed rows by bucket: signatures (sigs u64, owner u16, and of each owner short key i64, size u16, fold u64), and
+    the same documents' own rows (``base``: doc_id, n_shingles, set_key, short, text_hash, sketch), read once this way."""
 
     def block(sets: list[np.ndarray], bands: Bands, empty: pa.Array) -> Iterator[pa.RecordBatch]:
         unique = {set_key(h): h for h in sets if len(h)}
         if not unique:
             return
-        keys = np.frombuffer(b"".join(unique), dtype="V16")
-        sizes = np.array([len(h) for h in unique.values()], np.int32)
-        folds = np.array([np.bitwise_xor.reduce(sketch(h).reshape(16, 2)) for h in unique.values()])
+        keys = np.array([_short(k) for k in unique], np.int64)
+        sizes = np.array([min(len(h), WIDE_SIZE) for h in unique.values()], np.uint16)
+        folds = np.array([np.bitwise_xor.reduce(sketch(h)) for h in unique.values()])
         each = [signatures(h, bands) for h in unique.values()]
         sigs = np.concatenate(each)
         owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
@@ -183,11 +190,12 @@ def _signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                     [
                         b.column(0).slice(lo, hi - lo),
                         pa.array([len(h) for h in sets], pa.int64()),
-                        pa.array([set_key(h) if len(h) else None for h in sets], pa.binary()),
+                        pa.array(named := [set_key(h) if len(h) else None for h in sets], pa.binary()),
+                        pa.array([None if k is None else _short(k) for k in named], pa.int64()),
                         b.column(2).slice(lo, hi - lo),
                         pa.array([sketch(h).tobytes() for h in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "text_hash", "sketch"],
+                    names=["doc_id", "n_shingles", "set_key", "short", "text_hash", "sketch"],
                 )
                 none = pa.nulls(hi - lo, pa.binary())
                 spread = pa.array(np.arange(lo, hi) % buckets, pa.int64())
@@ -198,7 +206,7 @@ def _signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 lo = hi
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    base = f"struct<doc_id:{kind},n_shingles:bigint,set_key:binary,text_hash:bigint,sketch:binary>"
+    base = f"struct<doc_id:{kind},n_shingles:bigint,set_key:binary,short:bigint,text_hash:bigint,sketch:binary>"
     schema = f"bucket long, sigs binary, owner binary, keys binary, sizes binary, folds binary, base {base}"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
@@ -207,6 +215,7 @@ def _alike(sizes: np.ndarray, folds: np.ndarray, a: np.ndarray, b: np.ndarray, n
     """Whether sizes and folded sketches leave it possible that sets ``a`` and ``b`` reach the threshold."""
     x, y = sizes[a], sizes[b]
     differ = np.bitwise_count(folds[a] ^ folds[b]).sum(axis=-1, dtype=np.int64)
+    differ = np.where(np.maximum(x, y) >= WIDE_SIZE, 0, differ)  # sizes from WIDE_SIZE on are not told apart everywhere
     return (np.minimum(x, y) * den >= num * np.maximum(x, y)) & (differ * (den + num) <= (x + y) * (den - num))
 
 
@@ -233,15 +242,15 @@ def _groups(blocks: DataFrame, buckets: int, num: int = NUM, den: int = DEN) ->
             own = b.column("sigs").is_null()
             rows = b.filter(own).column("base")
             if len(rows):
-                blank = [pa.nulls(len(rows), t) for t in (pa.binary(), pa.bool_(), pa.list_(pa.binary()))]
+                blank = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.bool_(), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([rows, *blank], names=columns)
             packed = b.filter(b.column("sigs").is_valid())
             for s, o, k, z, f in zip(*(packed.column(c).to_pylist() for c in ("sigs", "owner", "keys", "sizes", "folds")), strict=True):
                 sigs.append(np.frombuffer(s, U))
                 owner.append(np.frombuffer(o, np.uint16).astype(np.int64) + count)
-                keys.append(np.frombuffer(k, "V16"))
-                sizes.append(np.frombuffer(z, np.int32))
-                folds.append(np.frombuffer(f, U).reshape(-1, 2))
+                keys.append(np.frombuffer(k, np.int64))
+                sizes.append(np.frombuffer(z, np.uint16))
+                folds.append(np.frombuffer(f, U).reshape(-1, 1))
                 count += len(sizes[-1])
         if not sigs:
             return
@@ -290,19 +299,19 @@ def _groups(blocks: DataFrame, buckets: int, num: int = NUM, den: int = DEN) ->
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.nulls(len(part), base_type),
-                    pa.array([names[h].tobytes() for h, _, _ in part], pa.binary()),
+                    pa.array([names[h] for h, _, _ in part], pa.int64()),
                     pa.array([w for _, w, _ in part], pa.bool_()),
-                    pa.array([[x.tobytes() for x in names[m]] for _, _, m in part], pa.list_(pa.binary())),
+                    pa.array([names[m] for _, _, m in part], pa.list_(pa.int64())),
                 ],
                 names=columns,
             )
 
     base = blocks.schema["base"].dataType.simpleString()
-    return blocks.repartition(buckets, "bucket").mapInArrow(run, f"base {base}, hub binary, wide boolean, members array<binary>")
+    return blocks.repartition(buckets, "bucket").mapInArrow(run, f"base {base}, hub long, wide boolean, members array<long>")
 
 
 def _possible(pairs: DataFrame, info: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The (a, b) rows that sizes and whole sketches leave possible."""
+    """Set keys (a, b), in order, of the pairs of short keys that sizes and whole sketches leave possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -312,9 +321,10 @@ def _possible(pairs: DataFrame, info: DataFrame, num: int = NUM, den: int = DEN)
             mask = pa.array(_alike(sizes, bits, np.arange(n), np.arange(n, 2 * n), num, den))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
 
-    left = info.select(F.col("set_key").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    right = info.select(F.col("set_key").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
+    left = info.select(F.col("short").alias("hub"), F.col("set_key").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+    right = info.select(F.col("short").alias("member"), F.col("set_key").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    both = pairs.join(left, "hub").join(right, "member").where("a != b")
+    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb", "sa", "sb")
     return both.mapInArrow(run, "a binary, b binary")
 
 
@@ -365,11 +375,12 @@ def _sets_of(keys: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
     few = wanted.count() <= BROADCAST_KEYS
     texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(wanted) if few else wanted, "text_hash", "left_semi")
     found = texts.select("text").mapInArrow(run, "set_key binary, hashes binary")
-    return stored(found.groupBy("set_key").agg(F.min("hashes").alias("hashes")), "candidate-sets")
+    return found.groupBy("set_key").agg(F.min("hashes").alias("hashes"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+def _verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """The (a, b) rows of ``pairs`` (distinct set keys) that reach the threshold, by whole sets."""
+    sets = _sets_of(pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct(), info, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -397,26 +408,23 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = stored(_groups(_signature_blocks(docs, buckets), buckets), "signature-groups")
     base, groups = found.where("base is not null").select("base.*"), found.where("hub is not null")
     one = base.where("set_key is not null").groupBy("set_key")
-    info = stored(one.agg(*(F.min(c).alias(c) for c in ("n_shingles", "text_hash", "sketch"))), "sets")
-    first = groups.select(F.col("hub").alias("a"), F.explode("members").alias("b")).distinct()
-    first = stored(_possible(first, info), "pairs")
-    wide = stored(groups.where("wide").select("hub", F.explode("members").alias("member")).distinct(), "wide-groups")
-    ends = first.select(F.col("a").alias("set_key")).union(first.select("b"))
-    ends = ends.union(wide.select("hub")).union(wide.select("member")).distinct()
-    sets = _sets_of(ends, info, docs)
-    links = stored(_verified(first, sets), "links")
+    info = stored(one.agg(*(F.min(c).alias(c) for c in ("short", "n_shingles", "text_hash", "sketch"))), "sets")
+    first = groups.select("hub", F.explode("members").alias("member")).distinct()
+    first = stored(_possible(first, info).distinct(), "pairs")
+    links = stored(_verified(first, info, docs), "links")
     roots = connected_components(links)
-    placed = wide.join(roots.select(F.col("vertex").alias("member"), F.col("root").alias("m_root")), "member", "left")
-    placed = placed.join(roots.select(F.col("vertex").alias("hub"), F.col("root").alias("h_root")), "hub", "left")
-    placed = placed.select("hub", "member", F.coalesce("m_root", "member").alias("m_root"), F.coalesce("h_root", "hub").alias("h_root"))
-    several = placed.where("m_root != h_root").groupBy("hub").agg(F.first("h_root").alias("h_root"))
-    sizes = wide.groupBy("hub").agg((F.count(F.lit(1)) + 1).alias("size"))
-    several = stored(several.join(sizes, "hub"), "open-groups")
-    mates = placed.join(several.select("hub", "size"), "hub").select(F.col("hub").alias("gid"), "size", "member", F.col("m_root").alias("root"))
-    mates = mates.union(several.select("hub", "size", "hub", "h_root"))
+    names = info.select("short", "set_key")
+    wide = groups.where("wide").select("hub", F.explode("members").alias("member")).distinct()
+    wide = wide.join(names.select(F.col("short").alias("member"), F.col("set_key").alias("key")), "member").select("hub", "key")
+    own = wide.select("hub").distinct().join(names.select(F.col("short").alias("hub"), F.col("set_key").alias("key")), "hub")
+    placed = wide.union(own.select("hub", "key")).join(roots.withColumnRenamed("vertex", "key"), "key", "left")
+    placed = stored(placed.select("hub", "key", F.coalesce("root", "key").alias("root")), "wide-groups")
+    several = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mates = placed.join(several.where("low != high").select("hub", "size"), "hub")
+    mates = mates.select(F.col("hub").alias("gid"), "size", F.col("key").alias("member"), "root")
     mates = mates.join(info.select(F.col("set_key").alias("member"), "n_shingles", "sketch"), "member")
-    pairs = stored(_across(mates).distinct(), "pairs").join(first, ["a", "b"], "left_anti")
-    links = links.union(stored(_verified(pairs, sets), "links"))
+    pairs = stored(_across(mates).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(stored(_verified(pairs, info, docs), "links"))
     return base.select("doc_id", "n_shingles", "set_key", "text_hash"), links
 
 
