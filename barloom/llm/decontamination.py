@@ -193,7 +193,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> D
     key = "__decontamination_row"
     rows = docs.select(F.struct(*docs.columns).alias(key), F.col("text"))
     found = contamination(rows.select(F.col(key).alias("doc_id"), "text"), benchmark, n)
-    return found.where("not contaminated").select("doc_id.*")
+    # the row number keeps the filter above the window hashes: pushed below, it would repeat them in its condition
+    found = found.select("doc_id", "contaminated", F.monotonically_increasing_id().alias("row"))
+    return found.where((F.col("row") >= 0) & ~F.col("contaminated")).select("doc_id.*")
 
 
 def digest(found: DataFrame) -> DataFrame:
