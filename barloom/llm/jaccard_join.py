@@ -141,39 +141,38 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """2048 parities of the shingles by their leading bits: two sets differ in at least as many shingles as in bits."""
-    odd = np.bincount((h >> U(53)).astype(np.int64), minlength=2048) & 1
+    """1024 parities of the shingles by their leading bits: two sets differ in at least as many shingles as in bits."""
+    odd = np.bincount((h >> U(54)).astype(np.int64), minlength=1024) & 1
     return np.packbits(odd.astype(np.uint8)).view(U)
 
 
 def _signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed rows by bucket: signatures (sigs u64, owner u16, and of each owner short key i64, size u16, fold u64), and
-    the same documents' own rows (``base``: doc_id, n_shingles, set_key, short, text_hash, sketch), read once this way."""
+    """Packed rows by bucket: signatures (sigs u64, and of the set of each its short key i64, size u16, fold u32), and the
+    same documents' own rows (``base``: doc_id, n_shingles, set_key, short, text_hash, sketch), read once this way.
+
+    A signature carries what its set needs to be compared, so its size does not depend on the number of buckets.
+    """
 
     def block(sets: list[np.ndarray], bands: Bands, empty: pa.Array) -> Iterator[pa.RecordBatch]:
         unique = {set_key(h): h for h in sets if len(h)}
         if not unique:
             return
-        keys = np.array([_short(k) for k in unique], np.int64)
-        sizes = np.array([min(len(h), WIDE_SIZE) for h in unique.values()], np.uint16)
-        folds = np.array([np.bitwise_xor.reduce(sketch(h)) for h in unique.values()])
         each = [signatures(h, bands) for h in unique.values()]
-        sigs = np.concatenate(each)
         owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
+        sigs = np.concatenate(each)
         bucket = (sigs >> U(16)) % U(buckets)
         order = np.argsort(bucket, kind="stable")
         sigs, owner, bucket = sigs[order], owner[order], bucket[order]
-        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        rows = []
-        for lo, hi in zip(cut, [*cut[1:], len(sigs)], strict=True):
-            present, local = np.unique(owner[lo:hi], return_inverse=True)
-            packed = (sigs[lo:hi], local.astype(np.uint16), keys[present], sizes[present], folds[present])
-            rows.append((int(bucket[lo]), *(x.tobytes() for x in packed)))
+        shorts = np.array([_short(k) for k in unique], np.int64)[owner]
+        sizes = np.array([min(len(h), WIDE_SIZE) for h in unique.values()], np.uint16)[owner]
+        folds = np.array([np.bitwise_xor.reduce(sketch(h).view(np.uint32)) for h in unique.values()])[owner]
+        cut = [*np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(sigs)]
+        rows = [(int(bucket[lo]), *(x[lo:hi].tobytes() for x in (sigs, shorts, sizes, folds))) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
         number, *rest = zip(*rows, strict=True)
         base = pa.nulls(len(rows), empty.type)
         yield pa.RecordBatch.from_arrays(
             [pa.array(number, pa.int64()), *(pa.array(x, pa.binary()) for x in rest), base],
-            names=["bucket", "sigs", "owner", "keys", "sizes", "folds", "base"],
+            names=["bucket", "sigs", "shorts", "sizes", "folds", "base"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,14 +199,14 @@ def _signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 none = pa.nulls(hi - lo, pa.binary())
                 spread = pa.array(np.arange(lo, hi) % buckets, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [spread, none, none, none, none, none, base], names=["bucket", "sigs", "owner", "keys", "sizes", "folds", "base"]
+                    [spread, none, none, none, none, base], names=["bucket", "sigs", "shorts", "sizes", "folds", "base"]
                 )
                 yield from block(sets, bands, base)
                 lo = hi
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = f"struct<doc_id:{kind},n_shingles:bigint,set_key:binary,short:bigint,text_hash:bigint,sketch:binary>"
-    schema = f"bucket long, sigs binary, owner binary, keys binary, sizes binary, folds binary, base {base}"
+    schema = f"bucket long, sigs binary, shorts binary, sizes binary, folds binary, base {base}"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
 
@@ -235,7 +234,8 @@ def _groups(blocks: DataFrame, buckets: int, num: int = NUM, den: int = DEN) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ["base", "hub", "wide", "members"]
-        sigs, owner, keys, sizes, folds, count = [], [], [], [], [], 0
+        kinds = {"sigs": U, "shorts": np.int64, "sizes": np.uint16, "folds": np.uint32}
+        held: dict[str, list[np.ndarray]] = {c: [] for c in kinds}
         base_type = None
         for b in batches:
             base_type = b.schema.field("base").type
@@ -245,27 +245,19 @@ def _groups(blocks: DataFrame, buckets: int, num: int = NUM, den: int = DEN) ->
                 blank = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.bool_(), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([rows, *blank], names=columns)
             packed = b.filter(b.column("sigs").is_valid())
-            for s, o, k, z, f in zip(*(packed.column(c).to_pylist() for c in ("sigs", "owner", "keys", "sizes", "folds")), strict=True):
-                sigs.append(np.frombuffer(s, U))
-                owner.append(np.frombuffer(o, np.uint16).astype(np.int64) + count)
-                keys.append(np.frombuffer(k, np.int64))
-                sizes.append(np.frombuffer(z, np.uint16))
-                folds.append(np.frombuffer(f, U).reshape(-1, 1))
-                count += len(sizes[-1])
-        if not sigs:
+            for c, kind in kinds.items():
+                held[c] += [np.frombuffer(x, kind) for x in packed.column(c).to_pylist()]
+        if not held["sigs"]:
             return
-        sigs, owner = np.concatenate(sigs), np.concatenate(owner)
+        sigs, shorts, sizes, folds = (np.concatenate(held.pop(c)) for c in kinds)
         order = np.argsort(sigs)
-        sigs, owner = sigs[order], owner[order]
-        same = sigs[1:] == sigs[:-1]
-        shared = np.r_[same, False] | np.r_[False, same]
-        sigs, owner = sigs[shared], owner[shared]
-        if not len(sigs):
+        same = sigs[order[1:]] == sigs[order[:-1]]
+        order = order[np.r_[same, False] | np.r_[False, same]]  # places of signatures that stand more than once
+        if not len(order):
             return
-        used, owner = np.unique(owner, return_inverse=True)
-        names, first, ident = np.unique(np.concatenate(keys)[used], return_index=True, return_inverse=True)
-        sizes, folds = np.concatenate(sizes)[used][first].astype(np.int64), np.concatenate(folds)[used][first]
-        who = ident[owner]
+        sigs = sigs[order]
+        names, first, who = np.unique(shorts[order], return_index=True, return_inverse=True)
+        sizes, folds = sizes[order][first].astype(np.int64), folds[order][first].reshape(-1, 1)
         cut = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]])
         long = np.diff(np.r_[cut, len(sigs)])
         a, b = who[cut[long == 2]], who[cut[long == 2] + 1]
