@@ -279,6 +279,21 @@ def test_html_repeats_on_a_host(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_copies_on_a_host_keep_their_text(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
+    frame, article, long_frame = words(9), words(160), words(60)
+    other = article.split()
+    other[70] = "changed"
+    texts = [article, " ".join(other), article + " more", *(words(50) for _ in range(5))]
+    html = [f"<body><div>{frame}</div><p>{t}</p><div>{long_frame}</div></body>" for t in texts]
+    rows = [(k, f"http://copies.com/{k}", h) for k, h in enumerate(html)]
+    rows += [(20 + k, f"http://two.com/{k}", f"<body><p>{t}</p></body>") for k, t in enumerate(texts[:2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got == dict(enumerate(texts)) | {20: texts[0], 21: texts[1]}
+
+
 # --- urls
 
 
