@@ -8,7 +8,9 @@ fills no more than H segments adds the one-deletion neighbourhoods of its larger
 and only where even these do not add up the signatures of its empty segments, which are long lists.
 
 Signatures travel in packed blocks, by bucket. Copies with equal sets count once. Documents of one signature form a
-group, which sizes and parity sketches (a lower bound on the difference) divide further. Each member is first verified
+group, which sizes and parity sketches (a lower bound on the difference) divide further. A signature that ``HOT`` sets of a
+block share sends on only the least of them; the others stand in rows of their own, spread over all tasks, and meet the
+group's least member by a join, so no task sees a whole group of any share of the rows. Each member is first verified
 against its group's smallest member, and only pairs that are then still in different components are verified further,
 so a large group of near copies costs links, not pairs. Verification compares the whole
 shingle sets. Components of verified links give the result. Nothing is capped or sampled.
@@ -33,6 +35,8 @@ from barloom.llm.common import Forest, connected_components, partitions, stored
 WORDS, NUM, DEN = 5, 80, 100
 BLOCK_DOCS = 1000
 BLOCK_MEMBERS = 2048
+#: From so many sets of one block on, a signature's group is put together by a join.
+HOT = 16
 #: Sizes from here on are packed as this one, and then do not rule a pair out by its sketch.
 WIDE_SIZE = 65535
 #: Rows of the table of candidate sets that may be broadcast (24 bytes each); a larger table is joined by shuffle.
@@ -148,32 +152,54 @@ def sketch(h: np.ndarray) -> np.ndarray:
 
 def _signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed rows by bucket: signatures (sigs u64, and of the set of each its short key i64, size u16, fold u32), and the
-    same documents' own rows (``base``: doc_id, n_shingles, set_key, short, text_hash, sketch), read once this way.
+    same documents' own rows (``base``: doc_id, n_shingles, set_key, short, text_hash, sketch), read once this way. ``hots``
+    are the signatures that are hot in the block, packed with the least of their sets only; the others (``mates``) are rows
+    by ``hot``.
 
     A signature carries what its set needs to be compared, so its size does not depend on the number of buckets.
     """
 
-    def block(sets: list[np.ndarray], bands: Bands, empty: pa.Array) -> Iterator[pa.RecordBatch]:
+    columns = ["bucket", "sigs", "shorts", "sizes", "folds", "hots", "base", "hot", "mates"]
+
+    def block(sets: list[np.ndarray], bands: Bands, at: int, empty: pa.Array) -> Iterator[pa.RecordBatch]:
         unique = {set_key(h): h for h in sets if len(h)}
         if not unique:
             return
         each = [signatures(h, bands) for h in unique.values()]
         owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
         sigs = np.concatenate(each)
+        shorts = np.array([_short(k) for k in unique], np.int64)
+        order = np.lexsort((shorts[owner], sigs))
+        sigs, owner = sigs[order], owner[order]
+        first = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]])
+        count = np.diff(np.r_[first, len(sigs)])
+        hot = count >= HOT
+        found = [(sigs[lo : lo + 1].view(np.int64)[0], shorts[owner[lo + 1 : lo + n]]) for lo, n in zip(first[hot], count[hot], strict=True)]
+        if found:
+            none = pa.nulls(len(found), pa.binary())
+            spread = pa.array(np.arange(at, at + len(found)) % buckets, pa.int64())
+            name, mates = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [spread, *[none] * 5, pa.nulls(len(found), empty.type), pa.array(name, pa.int64()), pa.array(mates, pa.list_(pa.int64()))], names=columns
+            )
+        least = np.zeros(len(sigs), bool)
+        least[first] = True
+        hot = np.repeat(hot, count)
+        sigs, owner, hot = (x[least | ~hot] for x in (sigs, owner, hot))
         bucket = (sigs >> U(16)) % U(buckets)
         order = np.argsort(bucket, kind="stable")
-        sigs, owner, bucket = sigs[order], owner[order], bucket[order]
-        shorts = np.array([_short(k) for k in unique], np.int64)[owner]
+        sigs, owner, bucket, hot = sigs[order], owner[order], bucket[order], hot[order]
         sizes = np.array([min(len(h), WIDE_SIZE) for h in unique.values()], np.uint16)[owner]
         folds = np.array([np.bitwise_xor.reduce(sketch(h).view(np.uint32)) for h in unique.values()])[owner]
+        shorts = shorts[owner]
         cut = [*np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(sigs)]
-        rows = [(int(bucket[lo]), *(x[lo:hi].tobytes() for x in (sigs, shorts, sizes, folds))) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+        rows = [
+            (int(bucket[lo]), *(x[lo:hi].tobytes() for x in (sigs, shorts, sizes, folds)), sigs[lo:hi][hot[lo:hi]].tobytes())
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True)
+        ]
         number, *rest = zip(*rows, strict=True)
-        base = pa.nulls(len(rows), empty.type)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(number, pa.int64()), *(pa.array(x, pa.binary()) for x in rest), base],
-            names=["bucket", "sigs", "shorts", "sizes", "folds", "base"],
-        )
+        blank = [pa.nulls(len(rows), t) for t in (empty.type, pa.int64(), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), *(pa.array(x, pa.binary()) for x in rest), *blank], names=columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bands = Shingler(), Bands()
@@ -198,15 +224,14 @@ def _signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 )
                 none = pa.nulls(hi - lo, pa.binary())
                 spread = pa.array(np.arange(lo, hi) % buckets, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [spread, none, none, none, none, base], names=["bucket", "sigs", "shorts", "sizes", "folds", "base"]
-                )
-                yield from block(sets, bands, base)
+                blank = [pa.nulls(hi - lo, t) for t in (pa.int64(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([spread, *[none] * 5, base, *blank], names=columns)
+                yield from block(sets, bands, lo, base)
                 lo = hi
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = f"struct<doc_id:{kind},n_shingles:bigint,set_key:binary,short:bigint,text_hash:bigint,sketch:binary>"
-    schema = f"bucket long, sigs binary, shorts binary, sizes binary, folds binary, base {base}"
+    schema = f"bucket long, sigs binary, shorts binary, sizes binary, folds binary, hots binary, base {base}, hot long, mates array<long>"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
 
@@ -220,7 +245,7 @@ def _alike(sizes: np.ndarray, folds: np.ndarray, a: np.ndarray, b: np.ndarray, n
 
 def _groups(blocks: DataFrame, buckets: int, num: int = NUM, den: int = DEN) -> DataFrame:
     """Documents that share a signature and may be similar: hub (the least), members (the others; ``wide``: groups of more
-    than two, joined by hub); and base."""
+    than two, joined by hub), ``sig`` where it is hot; rows of hot signatures without hub; and base."""
 
     def parts(members: np.ndarray, sizes: np.ndarray, folds: np.ndarray) -> Iterator[np.ndarray]:
         forest = Forest(len(members))
@@ -233,26 +258,32 @@ def _groups(blocks: DataFrame, buckets: int, num: int = NUM, den: int = DEN) ->
             yield members[forest.root == root]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ["base", "hub", "wide", "members"]
-        kinds = {"sigs": U, "shorts": np.int64, "sizes": np.uint16, "folds": np.uint32}
+        columns = ["base", "hub", "wide", "members", "sig"]
+        kinds = {"sigs": U, "shorts": np.int64, "sizes": np.uint16, "folds": np.uint32, "hots": U}
         held: dict[str, list[np.ndarray]] = {c: [] for c in kinds}
         base_type = None
         for b in batches:
             base_type = b.schema.field("base").type
-            own = b.column("sigs").is_null()
-            rows = b.filter(own).column("base")
-            if len(rows):
-                blank = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.bool_(), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([rows, *blank], names=columns)
+            own = b.filter(b.column("base").is_valid()).column("base")
+            if len(own):
+                blank = [pa.nulls(len(own), t) for t in (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int64())]
+                yield pa.RecordBatch.from_arrays([own, *blank], names=columns)
+            apart = b.filter(b.column("hot").is_valid())
+            if apart.num_rows:
+                blank = [pa.nulls(apart.num_rows, t) for t in (base_type, pa.int64(), pa.bool_())]
+                mates = apart.column("mates").cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*blank, mates, apart.column("hot")], names=columns)
             packed = b.filter(b.column("sigs").is_valid())
             for c, kind in kinds.items():
                 held[c] += [np.frombuffer(x, kind) for x in packed.column(c).to_pylist()]
         if not held["sigs"]:
             return
-        sigs, shorts, sizes, folds = (np.concatenate(held.pop(c)) for c in kinds)
+        sigs, shorts, sizes, folds, hots = (np.concatenate(held.pop(c)) for c in kinds)
+        hots = np.unique(hots)
         order = np.argsort(sigs)
         same = sigs[order[1:]] == sigs[order[:-1]]
-        order = order[np.r_[same, False] | np.r_[False, same]]  # places of signatures that stand more than once
+        # places of signatures that stand more than once, or are hot
+        order = order[np.r_[same, False] | np.r_[False, same] | np.isin(sigs[order], hots)]
         if not len(order):
             return
         sigs = sigs[order]
@@ -260,19 +291,27 @@ def _groups(blocks: DataFrame, buckets: int, num: int = NUM, den: int = DEN) ->
         sizes, folds = sizes[order][first].astype(np.int64), folds[order][first].reshape(-1, 1)
         cut = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]])
         long = np.diff(np.r_[cut, len(sigs)])
-        a, b = who[cut[long == 2]], who[cut[long == 2] + 1]
+        hot = np.isin(sigs[cut], hots)
+        two = (long == 2) & ~hot
+        a, b = who[cut[two]], who[cut[two] + 1]
         a, b = np.minimum(a, b), np.maximum(a, b)
         good = (a != b) & _alike(sizes, folds, a, b, num, den)
         pairs = np.unique(a[good] * len(names) + b[good])
         seen: set[bytes] = set()
         wide: list[np.ndarray] = []
         more: list[int] = []
-        for lo, n in zip(cut[long > 2], long[long > 2], strict=True):
+        named: list[tuple[int, int]] = []
+        for lo, n, apart in zip(*(x[(long > 2) | hot] for x in (cut, long, hot)), strict=True):
             members = np.unique(who[lo : lo + n])
+            if apart:
+                named.append((int(members[0]), int(sigs[lo : lo + 1].view(np.int64)[0])))
             tag = hashlib.blake2b(members.tobytes(), digest_size=16).digest()
             if len(members) < 2 or tag in seen:
                 continue
             seen.add(tag)
+            if apart or len(members) > BLOCK_MEMBERS:
+                wide.append(members)
+                continue
             for part in parts(members, sizes, folds):
                 if len(part) == 2:
                     more.append(int(part[0]) * len(names) + int(part[1]))
@@ -281,25 +320,29 @@ def _groups(blocks: DataFrame, buckets: int, num: int = NUM, den: int = DEN) ->
         pairs = np.union1d(pairs, np.array(more, np.int64))
         hubs = pairs // len(names)
         cut = [*np.flatnonzero(np.r_[True, hubs[1:] != hubs[:-1]]), len(pairs)] if len(pairs) else []
-        rows = [(int(hubs[lo]), False, pairs[lo:hi] % len(names)) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+        rows = [(int(hubs[lo]), False, pairs[lo:hi] % len(names), None) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
         by_hub: dict[int, list[np.ndarray]] = {}
         for part in wide:
             by_hub.setdefault(int(part[0]), []).append(part[1:])
-        rows += [(hub, True, np.unique(np.concatenate(members))) for hub, members in by_hub.items()]
+        for hub, parted in by_hub.items():
+            members = np.unique(np.concatenate(parted))
+            rows += [(hub, True, members[at : at + BLOCK_DOCS], None) for at in range(0, len(members), BLOCK_DOCS)]
+        rows += [(hub, True, np.empty(0, np.int64), sig) for hub, sig in named]
         for at in range(0, len(rows), 1000):
             part = rows[at : at + 1000]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.nulls(len(part), base_type),
-                    pa.array([names[h] for h, _, _ in part], pa.int64()),
-                    pa.array([w for _, w, _ in part], pa.bool_()),
-                    pa.array([names[m] for _, _, m in part], pa.list_(pa.int64())),
+                    pa.array([names[h] for h, _, _, _ in part], pa.int64()),
+                    pa.array([w for _, w, _, _ in part], pa.bool_()),
+                    pa.array([names[m] for _, _, m, _ in part], pa.list_(pa.int64())),
+                    pa.array([x for _, _, _, x in part], pa.int64()),
                 ],
                 names=columns,
             )
 
     base = blocks.schema["base"].dataType.simpleString()
-    return blocks.repartition(buckets, "bucket").mapInArrow(run, f"base {base}, hub long, wide boolean, members array<long>")
+    return blocks.repartition(buckets, "bucket").mapInArrow(run, f"base {base}, hub long, wide boolean, members array<long>, sig long")
 
 
 def _possible(pairs: DataFrame, info: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -321,10 +364,12 @@ def _possible(pairs: DataFrame, info: DataFrame, num: int = NUM, den: int = DEN)
 
 
 def _across(members: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Possible pairs (a, b) inside groups between different components, of rows gid, size, member, root, n_shingles, sketch.
+    """Possible pairs (a, b) inside groups between different components, of rows gid, size, main, most, member, root,
+    n_shingles, sketch.
 
     A group is compared in blocks of ``BLOCK_MEMBERS``, each pair of blocks a task of its own; only pairs that sizes and
-    whole sketches leave possible come out.
+    whole sketches leave possible come out. The ``most`` members of the largest component (``main``) have blocks of their
+    own, which are not compared with each other.
     """
 
     def compare(unit: pd.DataFrame) -> pd.DataFrame:
@@ -343,9 +388,12 @@ def _across(members: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
             out += [(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in zip(u[ok], v[ok], strict=True)]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
-    df = members.withColumn("block", F.pmod(F.xxhash64("member"), blocks).cast("int"))
-    units = F.transform(F.sequence(F.lit(0), blocks - 1), lambda y: F.struct(F.least("block", y).alias("x"), F.greatest("block", y).alias("y")))
+    number = lambda n: F.ceil(n / BLOCK_MEMBERS).cast("int")
+    own, rest, inside = number(F.col("most")), number(F.col("size") - F.col("most")), F.col("root") == F.col("main")
+    place = F.xxhash64("member")
+    df = members.withColumn("block", F.when(inside, F.pmod(place, own)).otherwise(own + F.pmod(place, rest)).cast("int"))
+    others = F.sequence(F.when(inside, own).otherwise(F.lit(0)), own + rest - 1)
+    units = F.transform(others, lambda y: F.struct(F.least("block", y).alias("x"), F.greatest("block", y).alias("y")))
     df = df.withColumn("unit", F.explode(units)).select("gid", "unit.x", "unit.y", "block", "member", "root", "n_shingles", "sketch")
     return df.groupBy("gid", "x", "y").applyInPandas(lambda unit: compare(unit), "a binary, b binary")
 
@@ -401,19 +449,24 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     base, groups = found.where("base is not null").select("base.*"), found.where("hub is not null")
     one = base.where("set_key is not null").groupBy("set_key")
     info = stored(one.agg(*(F.min(c).alias(c) for c in ("short", "n_shingles", "text_hash", "sketch"))), "sets")
-    first = groups.select("hub", F.explode("members").alias("member")).distinct()
+    named = stored(groups.where("sig is not null").select("sig", "hub"), "hot-signatures")
+    apart = found.where("hub is null and sig is not null").select("sig", "members")
+    apart = apart.join(F.broadcast(named) if named.count() <= BROADCAST_KEYS else named, "sig")
+    apart = stored(apart.select("hub", F.explode("members").alias("member")).where("hub != member").distinct(), "hot-groups")
+    first = groups.select("hub", F.explode("members").alias("member")).union(apart).distinct()
     first = stored(_possible(first, info).distinct(), "pairs")
     links = stored(_verified(first, info, docs), "links")
     roots = connected_components(links)
     names = info.select("short", "set_key")
-    wide = groups.where("wide").select("hub", F.explode("members").alias("member")).distinct()
+    wide = groups.where("wide").select("hub", F.explode("members").alias("member")).union(apart).distinct()
     wide = wide.join(names.select(F.col("short").alias("member"), F.col("set_key").alias("key")), "member").select("hub", "key")
     own = wide.select("hub").distinct().join(names.select(F.col("short").alias("hub"), F.col("set_key").alias("key")), "hub")
     placed = wide.union(own.select("hub", "key")).join(roots.withColumnRenamed("vertex", "key"), "key", "left")
     placed = stored(placed.select("hub", "key", F.coalesce("root", "key").alias("root")), "wide-groups")
-    several = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mates = placed.join(several.where("low != high").select("hub", "size"), "hub")
-    mates = mates.select(F.col("hub").alias("gid"), "size", F.col("key").alias("member"), "root")
+    several = placed.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("hub")
+    several = several.agg(F.sum("n").alias("size"), F.max(F.struct(F.col("n").alias("most"), F.col("root").alias("main"))).alias("of"))
+    mates = placed.join(several.select("hub", "size", "of.*").where("most < size"), "hub")
+    mates = mates.select(F.col("hub").alias("gid"), "size", "main", "most", F.col("key").alias("member"), "root")
     mates = mates.join(info.select(F.col("set_key").alias("member"), "n_shingles", "sketch"), "member")
     pairs = stored(_across(mates).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.union(stored(_verified(pairs, info, docs), "links"))

@@ -54,6 +54,33 @@ def test_jaccard_join_large_group_of_near_copies(spark):
     _check(spark, rows)
 
 
+def _hot_group(n):
+    """Near copies of one text, pairs of which are similar to each other only, and unlike texts with a passage of it."""
+    rng = random.Random(8)
+    base = [f"v{k}" for k in range(100)]
+    rows = []
+    for k in range(n):
+        words = list(base)
+        for _ in range(k % 5):
+            words[rng.randrange(100)] = f"z{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words if k % 7 else words[:60] + [f"y{k // 14}-{i}" for i in range(40)] + [f"e{k}"]), None))
+    return rows
+
+
+def test_jaccard_join_hot_group_by_a_join(spark):
+    rows = _hot_group(300)
+    docs = documents(spark, rows).coalesce(2)
+    got = sorted(tuple(r) for r in jaccard_join.components(docs).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == sorted(jaccard([r[:2] for r in rows]))
+
+
+def test_jaccard_join_no_task_gets_a_hot_group(spark):
+    docs = documents(spark, _hot_group(300)).coalesce(2).select("doc_id", "text")
+    packed = jaccard_join._signature_blocks(docs, 4).where("sigs is not null").select("sigs").collect()
+    _, count = np.unique(np.concatenate([np.frombuffer(r.sigs, np.uint64) for r in packed]), return_counts=True)
+    assert count.max() < 32
+
+
 def test_jaccard_join_empty_table(spark):
     assert jaccard_join.components(documents(spark, [])).count() == 0
     assert jaccard_join.deduplicate(documents(spark, [])).columns == documents(spark, []).columns
