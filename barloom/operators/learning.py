@@ -112,6 +112,11 @@ def feature_labels(importance: DataFrame) -> DataFrame:
     ).drop("_lo", "_hi")
 
 
+def evaluable_folds(df: DataFrame) -> list[int]:
+    """The folds of ``df`` (yearly numbers) that have earlier rows to train on."""
+    return sorted(r["fold"] for r in df.select("fold").where("fold is not null").distinct().collect())[1:]
+
+
 def walk_forward_grid(df: DataFrame, features: Sequence[str], folds: Sequence[int], grid: Mapping[str, dict]) -> DataFrame:
     """One fit per (parameter set, fold): train on earlier folds, score the fold."""
     out = None

@@ -73,6 +73,7 @@ def bootstrap_interval(spark, sf):
 
 
 PLAN = rs.Plan()
+PATHS, PORTFOLIOS = 2000, 1000  # the reference's numbers of draws
 _HIT = """CASE WHEN o <= 0.9 THEN 'STOP' WHEN o >= 1.15 THEN 'TARGET' WHEN l <= 0.9 THEN 'STOP' WHEN h >= 1.15 THEN 'TARGET' END"""
 _PX = "CASE WHEN o <= 0.9 THEN o WHEN o >= 1.15 THEN 1.15 WHEN l <= 0.9 THEN 0.9 WHEN h >= 1.15 THEN 1.15 END"
 
@@ -103,7 +104,7 @@ def simulated_plan_outcomes(spark, sf):
 
 @query("symbol:s target_share stop_share neither_share net_mean net_median", covers="BT-17")
 def simulated_plan_frequencies(spark, sf):
-    return rs.plan_frequencies(rs.simulate_plan(sh.bars(spark, sf).withColumn("segment", F.lit(0)), PLAN))
+    return rs.plan_frequencies(rs.simulate_plan(sh.bars(spark, sf).withColumn("segment", F.lit(0)), rs.Plan(paths=PATHS)))
 
 
 @query(
@@ -128,7 +129,7 @@ def random_portfolio_baseline(spark, sf):
     elig = data.join(sched.select(C("signal_date").alias("date")), "date", "left_semi").where(
         C("is_tradable") & (C("avg_traded_value_20d") >= cfg.min_traded_value)
     ).select(C("date").alias("signal_date"), "symbol", "sector", "volatility")
-    w = bt.weights(rs.random_picks(elig, 20, cfg.top_n), cfg, ["signal_date", "variant"])
+    w = bt.weights(rs.random_picks(elig, PORTFOLIOS, cfg.top_n), cfg, ["signal_date", "variant"])
     trades = stage(bt.simulate(w, data, bt.period_sessions(sched, bench), cfg, ["variant"]), "random-trades")
     return pf.performance(stage(bt.periods(trades, sched, bench, ["variant"]), "random-periods"), trades, ["variant"])
 
@@ -172,7 +173,7 @@ def permutation_importance(spark, sf):
 @query("trial:s fold:i rows:i pr_auc:f4 roc_auc:f4", covers="BT-25")
 def walk_forward_trials(spark, sf):
     df = stage(scored(spark, sf).drop("p"), "trial-rows")
-    return ln.walk_forward_grid(df, FEATURES, (5, 6), {"shallow": {"maxDepth": 3, "numTrees": 10}, "deep": {"maxDepth": 6, "numTrees": 10}})
+    return ln.walk_forward_grid(df, FEATURES, ln.evaluable_folds(df), {"shallow": {"maxDepth": 3, "numTrees": 10}, "deep": {"maxDepth": 6, "numTrees": 10}})
 
 
 @query(

@@ -81,3 +81,18 @@ def test_corrected_moments_match_pandas(spark):
     n = F.lit(40.0)
     r = df.agg(pf.sample_skew(F.skewness("v"), n).alias("s"), pf.sample_excess_kurtosis(F.kurtosis("v"), n).alias("k")).first()
     assert np.isclose(r["s"], pd.Series(x).skew()) and np.isclose(r["k"], pd.Series(x).kurtosis())
+
+
+def test_folds_to_score_come_from_the_data(spark):
+    from barloom.operators.learning import evaluable_folds
+
+    rows = spark.createDataFrame([(4,), (2,), (2,), (9,), (None,)], "fold int")
+    assert evaluable_folds(rows) == [4, 9] and evaluable_folds(rows.limit(0)) == []
+
+
+def test_plan_frequencies_come_from_2000_paths(spark):
+    from barloom.plans.catalog import REGISTRY
+
+    shares = [r.target_share for r in REGISTRY["simulated_plan_frequencies"].run(spark, "/root/testdata/sf0.001").collect()]
+    whole = lambda n: all(abs(n * x - round(n * x)) < 1e-6 for x in shares)
+    assert shares and whole(2000) and not whole(20)
