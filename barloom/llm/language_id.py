@@ -1,7 +1,7 @@
 """Language identification by unigram pieces with all segmentations summed.
 
-Every language has a probability for each piece of a fixed public vocabulary (letters only, at most ``MAX_PIECE`` of
-them, with or without the word-start mark). The probability of a word is the sum over all its segmentations, by a forward
+Every language has a probability for each piece of a fixed public vocabulary (letters only, as lower-casing
+leaves them, with or without the word-start mark). The probability of a word is the sum over all its segmentations, by a forward
 pass over its characters; a text scores the sum of its words' logarithms. The piece probabilities come from expectation
 maximisation (forward-backward) over word counts of a bounded hash sample of labelled documents; a text's scores cover
 all its words. Distinct words are scored once per task, for all languages at once.
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-MAX_PIECE = 8
 #: Documents per language (in expectation) whose whole texts are counted to fit the model.
 FIT_DOCS = 500
 MAX_LANGUAGES = 1000
@@ -36,12 +35,12 @@ WORDS = regex.compile(r"\p{L}+")
 
 @functools.lru_cache(maxsize=2)
 def pieces_of(path: str) -> tuple[str, ...]:
-    """Letter pieces of a sentencepiece vocabulary, and every single letter among them with and without mark."""
+    """Letter pieces of a sentencepiece vocabulary that lower-casing leaves unchanged, of any script and length."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i) for i in range(model.get_piece_size())}
-    keep = {p for p in found if len(p) <= MAX_PIECE and regex.fullmatch(f"{MARK}?\\p{{Ll}}+|{MARK}", p)}
+    keep = {p for p in found if p == p.lower() and regex.fullmatch(f"{MARK}?\\p{{L}}+|{MARK}", p)}
     return tuple(sorted(keep))
 
 
@@ -65,6 +64,7 @@ class Lattice:
         self.ids = np.append(order, len(pieces))
         self.unknown = len(pieces)  # a single letter outside the vocabulary
         self.none = len(pieces) + 1  # no piece
+        self.longest = max(map(len, pieces), default=1)
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids[word, start, length - 1] with the mark as first character, and the words' lengths with it."""
@@ -72,9 +72,9 @@ class Lattice:
         width = int(sizes.max())
         text = "".join((MARK + w).ljust(width, "\0") for w in words)
         cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), width).astype(np.uint64)
-        ids = np.full((len(words), width, MAX_PIECE), self.none, dtype=np.int32)
+        ids = np.full((len(words), width, self.longest), self.none, dtype=np.int32)
         h = np.zeros_like(cp)
-        for size in range(1, min(MAX_PIECE, width) + 1):
+        for size in range(1, min(self.longest, width) + 1):
             n = width - size + 1
             h = h[:, :n] * BASE + cp[:, size - 1 :]
             at = np.searchsorted(self.keys, h)
@@ -89,7 +89,7 @@ class Lattice:
         alpha = np.zeros((n, width + 1, p.shape[1]))
         alpha[:, 0] = 1
         for i in range(width):
-            for k in range(min(MAX_PIECE, width - i)):
+            for k in range(min(self.longest, width - i)):
                 alpha[:, i + k + 1] += alpha[:, i] * p[ids[:, i, k]]
         return alpha
 
@@ -116,15 +116,15 @@ class Lattice:
 
     def _long(self, word: str, p: np.ndarray) -> np.ndarray:
         """The same for a word of any length, in bounded memory: a window of alphas, rescaled at every step."""
-        window = [np.ones(p.shape[1])] + [np.zeros(p.shape[1]) for _ in range(MAX_PIECE)]
+        window = [np.ones(p.shape[1])] + [np.zeros(p.shape[1]) for _ in range(self.longest)]
         total = np.zeros(p.shape[1])
         step = 4096
         for lo in range(0, len(word) + 1, step):
-            # the chunk carries MAX_PIECE further characters, whose own starts belong to the next chunk
-            chunk = (MARK + word)[lo : lo + step + MAX_PIECE]
+            # the chunk carries ``longest`` further characters, whose own starts belong to the next chunk
+            chunk = (MARK + word)[lo : lo + step + self.longest]
             ids = self._chunk_arcs(chunk)
             for i in range(min(step, len(word) + 1 - lo)):
-                for k in range(MAX_PIECE):
+                for k in range(self.longest):
                     if ids[i, k] != self.none:
                         window[k + 1] = window[k + 1] + window[0] * p[ids[i, k]]
                 window = window[1:] + [np.zeros(p.shape[1])]
@@ -135,9 +135,9 @@ class Lattice:
 
     def _chunk_arcs(self, chunk: str) -> np.ndarray:
         cp = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        ids = np.full((len(cp), MAX_PIECE), self.none, dtype=np.int64)
+        ids = np.full((len(cp), self.longest), self.none, dtype=np.int64)
         h = np.zeros_like(cp)
-        for size in range(1, min(MAX_PIECE, len(cp)) + 1):
+        for size in range(1, min(self.longest, len(cp)) + 1):
             n = len(cp) - size + 1
             h = h[:n] * BASE + cp[size - 1 :]
             at = np.searchsorted(self.keys, h)
@@ -153,11 +153,11 @@ class Lattice:
             ids, sizes = self.arcs([words[i] for i in part])
             n, width, _ = ids.shape
             alpha = self.forward(ids, sizes, p[:, None])[:, :, 0]
-            beta = np.zeros((n, width + 1 + MAX_PIECE))
+            beta = np.zeros((n, width + 1 + self.longest))
             beta[np.arange(n), sizes] = 1
             weight = counts[part] / alpha[np.arange(n), sizes]
             for i in reversed(range(width)):
-                for k in range(min(MAX_PIECE, width - i)):
+                for k in range(min(self.longest, width - i)):
                     arc = p[ids[:, i, k]] * beta[:, i + k + 1]
                     beta[:, i] += arc
                     total += np.bincount(ids[:, i, k], weights=weight * alpha[:, i] * arc, minlength=self.none + 1)

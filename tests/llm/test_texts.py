@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from barloom.llm import bpe, chat, decontamination, html_text, language_id, suffix_dedup, toxicity, url_filter
@@ -184,6 +185,18 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, want) and np.allclose([lattice._long(w, model.table) for w in words], want)
 
 
+def test_vocabulary_holds_long_pieces_and_letters_without_case():
+    pieces = language_id.vocabulary()
+    assert max(map(len, pieces)) > 9 and {"一", "ا"} & set(pieces) and all(p == p.lower() for p in pieces)
+    texts = {"x": "一人大中", "y": "の人はに"}
+    model = language_id.fit_counts({k: {w: 5 for w in t} for k, t in texts.items()}, pieces)
+    assert language_id.Scorer(model).predict(["大中一", "はのに"])[0] == ["x", "y"]
+    long = max(pieces, key=len).lstrip(language_id.MARK)
+    lattice = language_id.Lattice((*sorted({*long, language_id.MARK + long, language_id.MARK}),))
+    table = np.array([[0.01] * len(lattice.ids[:-1]) + [1e-7, 0.0]]).T
+    assert np.allclose(lattice.word_logs([long], table), np.log(0.01 + 0.01 ** (len(long) + 1)))
+
+
 def test_language_edge_cases(spark):
     rows = [(k, t * 5, g) for k, (t, g) in enumerate([("the cat and the dog ", "en"), ("le chat et la souris ", "fr")] * 20)]
     rows += [(100, None, "en"), (101, "", "en"), (102, "12 34 ... _", "fr"), (103, "the " * 20000, None), (104, "a" * 5000, None), (None, "the dog and", "en"), (103, "the " * 20000, None)]
