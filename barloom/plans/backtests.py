@@ -284,7 +284,7 @@ def walk_forward_periods(spark, sf):
     return bt.assign_folds(periods, bt.walk_forward_folds(bench, 2, 6, 20))
 
 
-@query("variant:s periods:i trades:i total_return sharpe max_drawdown", covers="BT-13 BT-26")
+@query("variant:s periods:i trades:i total_return sharpe max_drawdown", covers="BT-13")
 def parameter_sensitivity(spark, sf):
     grid = [(f"top{k}_stop{s}", k, s) for k in (8, 10, 12) for s in (0.20, 0.25, 0.30)]
     bench = sh.benchmark(spark, sf)
