@@ -1,16 +1,19 @@
 """Removal of every byte covered by a string of ``LENGTH`` bytes that starts anywhere else.
 
 Prefix doubling: the name of 2^k bytes at a position is made from the names of two halves at offset 2^(k-1), for offsets
-1, 2, 4 ... 128; a longer string is the pair of the 256-byte names at its start and at its end. Names are 64-bit hashes
-of such pairs, so the doubling itself needs no sort; Spark's aggregates then rank positions by name, and whatever is
-unique drops out, at growing depth:
+1, 2, 4 ... up to the widest name that fits (256 bytes for LENGTH, see ``_width``); a longer string is named by those at its
+start, at every width inside and at its end. Names are 64-bit hashes of such pairs, so the doubling itself needs no sort;
+Spark's aggregates then rank positions by name, and whatever is unique drops out, at growing depth:
 
-1. Every window of LENGTH bytes is owned by the position in it whose 128-byte name is least (the leftmost of equals), so
-   equal windows have owners at equal places. Owners whose 128-byte name is unique in the corpus drop out.
+1. Every window of LENGTH bytes is owned by the position in it whose gram, a name of half that width, is least (the
+   leftmost of equals), so equal windows have owners at equal places. Owners whose gram is unique in the corpus drop out.
 2. The windows of an owner are treated in blocks of 64, then 8, then 1. If the bytes that all windows of a block share
    are unique, none of them repeats; if the bytes that any of them touches occur elsewhere, all of them do. Only blocks
    that are neither (they hold the edge of a repeat) are split, together with one block of each string they may meet.
 
+Equal names of unlike strings never drop a repeat; what is taken for a repeat agrees in two 64-bit names: those of the
+inner and the outer string of a block, and in the last step two of unlike seeds.
+
 A group of equal names is only ever counted and joined, never gathered, so a passage may stand in any share of the rows.
 """
 
@@ -27,7 +30,6 @@ from pyspark.sql import functions as F
 from barloom.llm.common import stored
 
 LENGTH = 400
-GRAM = 128
 STEPS = (64, 8, 1)
 #: Bytes of a text whose names a task holds at once (a memory bound; longer texts go piece by piece).
 PIECE = 2_000_000
@@ -36,26 +38,43 @@ BROADCAST_ROWS = 1_000_000
 U = np.uint64
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = a * U(0xD6E8FEB86659FD93) + (b ^ (b >> U(29))) * U(0xA24BAED4963EE407)
+#: Multipliers of the names, and of the second names of the last step.
+SEEDS = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407), (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25, 0x165667B19E3779F9))
+
+
+def _pair(a: np.ndarray, b: np.ndarray, seeds: tuple[int, int, int] = SEEDS[0]) -> np.ndarray:
+    h = a * U(seeds[1]) + (b ^ (b >> U(29))) * U(seeds[2])
     return h ^ (h >> U(32))
 
 
-def _names(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Names of GRAM and of 256 bytes at every position."""
-    h = np.frombuffer(data, np.uint8).astype(U) * U(0x9E3779B97F4A7C15) + U(0x1234567)
+def _width(length: int) -> int:
+    """Bytes of the widest names: a power of two that fits into what all windows of the first blocks share."""
+    return 1 << (length - STEPS[0] + 1).bit_length() - 1
+
+
+def _names(data: bytes, width: int, seeds: tuple[int, int, int] = SEEDS[0]) -> tuple[np.ndarray, np.ndarray]:
+    """Names of half of ``width`` and of ``width`` bytes at every position."""
+    h = np.frombuffer(data, np.uint8).astype(U) * U(seeds[0]) + U(0x1234567)
     offset, gram = 1, h
-    while offset < 256 and len(h) > offset:
-        h = _pair(h[:-offset], h[offset:])
+    while offset < width and len(h) > offset:
+        h = _pair(h[:-offset], h[offset:], seeds)
         offset *= 2
-        if offset == GRAM:
+        if offset == width // 2:
             gram = h
     return gram, h
 
 
+def _string(name: np.ndarray, at: np.ndarray, size: int, width: int, seeds: tuple[int, int, int] = SEEDS[0]) -> np.ndarray:
+    """Names of the strings of ``size`` bytes, more than ``width``, that start at ``at``."""
+    h = name[at]
+    for offset in [*range(width, size - width, width), size - width]:
+        h = _pair(h, name[at + offset], seeds)
+    return h
+
+
 def _owners(gram: np.ndarray, n: int, length: int) -> np.ndarray:
     """For each of the first ``n`` windows: the position of the leftmost least gram inside it."""
-    w = length - GRAM + 1
+    w = length - _width(length) // 2 + 1
     v = gram * U(0x9FB21C651E98DF25)
     v ^= v >> U(28)
     x = np.concatenate([v, np.full((-len(v)) % w, np.iinfo(U).max, U)]).reshape(-1, w)
@@ -87,12 +106,12 @@ def _block_rows(data: bytes, key: bytes, step: int, length: int, units: np.ndarr
     if len(data) < length:
         return
     salt = U(int.from_bytes(key[:8], "little"))
-    margin = length + step
+    margin, width = length + step, _width(length)
     for c in range(0, len(data), PIECE):
         lo, hi = max(0, c - margin), min(len(data), c + PIECE + margin)
         if hi - lo < length:
             continue
-        gram, name = _names(data[lo:hi])
+        gram, name = _names(data[lo:hi], width)
         if units is None:
             o, jlo, jhi = _runs(gram, hi - lo, length)
         else:
@@ -106,17 +125,15 @@ def _block_rows(data: bytes, key: bytes, step: int, length: int, units: np.ndarr
         o, jlo, jhi = (np.repeat(x, n) for x in (o, jlo, jhi))
         jlo, jhi = np.maximum(jlo, i * step), np.minimum(jhi, i * step + step - 1)
 
-        def string(at: np.ndarray, size: int, name: np.ndarray = name) -> np.ndarray:
-            return _pair(name[at], name[at + size - 256])
-
-        core = _pair(string(o - i * step, length - step + 1), i.astype(U))  # blocks at one distance from their owner
-        start = o - i * step - (step - 1)
-        whole = (start >= 0) & (start + length + step - 1 <= hi - lo)
-        full = _pair(core, (salt ^ (o + lo).astype(U)) * U(0x9E3779B97F4A7C15))  # a block at the edge of its text
+        core = _pair(_string(name, o - i * step, length - step + 1, width), i.astype(U))  # blocks at one distance from their owner
         if step == 1:
-            full = core
+            _, second = _names(data[lo:hi], width, SEEDS[1])
+            full = _pair(_string(second, o - i, length, width, SEEDS[1]), i.astype(U), SEEDS[1])
         else:
-            full[whole] = string(start[whole], length + step - 1)
+            start = o - i * step - (step - 1)
+            whole = (start >= 0) & (start + length + step - 1 <= hi - lo)
+            full = _pair(core, (salt ^ (o + lo).astype(U)) * U(0x9E3779B97F4A7C15))  # a block at the edge of its text
+            full[whole] = _string(name, start[whole], length + step - 1, width)
         yield [gram[o], o + lo, jlo, jhi, core, full]
 
 
@@ -169,7 +186,7 @@ def _grams(texts: DataFrame, length: int) -> DataFrame:
                 for c in range(0, len(data), PIECE):
                     lo, hi = max(0, c - length), min(len(data), c + PIECE + length)
                     if hi - lo >= length:
-                        gram, _ = _names(data[lo:hi])
+                        gram, _ = _names(data[lo:hi], _width(length))
                         o, _, _ = _runs(gram, hi - lo, length)
                         o = o[(o + lo >= c) & (o + lo < c + PIECE)]
                         if len(o):
@@ -190,8 +207,8 @@ def text_key(text: Column) -> Column:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per distinct text of ``docs`` (text) with repeats: text_key, spans array<struct<start, end>> in bytes, in order."""
-    if not 320 <= length <= 448:
-        raise ValueError("strings are pairs of 256-byte names: 320 to 448 bytes")
+    if length < 2 * STEPS[0]:
+        raise ValueError(f"strings have at least {2 * STEPS[0]} bytes")
     texts = docs.select(text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("data"))
     texts = texts.where(F.octet_length("data") >= length)
     grams = stored(_grams(texts, length).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
@@ -244,7 +261,9 @@ def _cut(data: bytes, spans: list[dict]) -> list[bytes]:
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, text.
+
+    ``n_kept`` counts the bytes left and ``text`` is what they spell, without characters of which a part was removed.
 
     A null text counts as empty: nothing to remove. Texts shorter than ``length`` keep all bytes. Copies and repeated rows
     are different places, so they lose whatever they share. An empty table gives no rows; other columns are not read.
@@ -255,19 +274,18 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out = []
             for r in range(b.num_rows):
                 data, spans = b.column(1)[r].as_py() or b"", b.column(2)[r].as_py() or []
-                digest = hashlib.sha256()
-                for piece in _cut(data, spans):
-                    digest.update(piece)
-                out.append((len(data), sum(s["end"] - s["start"] for s in spans), len(spans), digest.hexdigest()))
-            n, removed, count, sha = zip(*out, strict=True) if out else ((), (), (), ())
+                kept = b"".join(_cut(data, spans))
+                out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(kept), kept.decode(errors="ignore")))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+            columns = zip(*out, strict=True) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(sha, pa.string())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                [b.column(0), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "text"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _with_spans(docs, length, ["doc_id"]).mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, text string"
     )
 
 

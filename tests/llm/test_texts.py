@@ -36,7 +36,32 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, piece):
     data = [(t or "").encode() for t in texts]
     for k, (b, mask) in enumerate(zip(data, covered(data), strict=True)):
         spans = len(re.findall(b"\1+", mask))
-        assert got[k] == (len(b), sum(mask), spans, sha(cut(b, mask))), k
+        kept = cut(b, mask)
+        assert got[k] == (len(b), sum(mask), spans, sha(kept), len(kept), kept.decode(errors="ignore")), k
+
+
+@pytest.mark.parametrize("length", [128, 200, 256, 320, 600])
+def test_suffix_dedup_of_other_lengths_equals_brute_force(spark, length):
+    texts = [*_repeats(length), "a" * (length - 1), "b" * length, "de" * length]
+    kept = suffix_dedup.remove_repeats(documents(spark, [(k, t, None) for k, t in enumerate(texts)]), length)
+    data = [t.encode() for t in texts]
+    want = {k: cut(b, mask).decode(errors="ignore") for k, (b, mask) in enumerate(zip(data, covered(data, length), strict=True))}
+    assert {r.doc_id: r.text for r in kept.collect()} == want
+
+
+def test_last_step_needs_both_names(spark, monkeypatch):
+    """Unlike strings whose first names are all equal stay: the second names tell them apart."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab", k=500)) for _ in range(6)]
+    plain = suffix_dedup._pair
+
+    def blunt(a, b, seeds=suffix_dedup.SEEDS[0]):
+        return np.zeros_like(a) if seeds == suffix_dedup.SEEDS[0] else plain(a, b, seeds)
+
+    monkeypatch.setattr(suffix_dedup, "_pair", blunt)
+    parts = [p for t in texts for p in suffix_dedup._block_rows(t.encode(), b"k" * 16, 1, 400, None)]
+    assert len(set(np.concatenate([p[4] for p in parts]).tolist())) == 1
+    assert len(set(np.concatenate([p[5] for p in parts]).tolist())) == 6 * 101
 
 
 def test_suffix_dedup_text_and_empty_table(spark):
