@@ -1,6 +1,6 @@
-"""Bootstraps with integer-hash draws: reproducible, engine independent, no driver loops.
+"""Bootstraps with counter-based draws: reproducible, engine independent, no driver loops.
 
-A draw is a function of (seed, sample, position), so every path is built by a join on
+A draw is a function of (seed, sample, position), see ``functions/draws.py``, so every path is built by a join on
 the drawn index and windows per sample. The grids hold samples x periods rows, where the
 periods (or dates) are already aggregated.
 """
@@ -8,26 +8,15 @@ periods (or dates) are already aggregated.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.draws import draw, mixed, pick
 from barloom.functions.rolling import Series, ratio
 
 C = F.col
-MODULUS = 2147483647  # fixed: Lehmer generator modulus and multiplier
-MULTIPLIER = 48271
-
-
-def draw(seed: int, *parts: Column) -> Column:
-    """Integer in 0..MODULUS-1 mixed from the parts by repeated Lehmer steps."""
-    def mix(acc, p):
-        return ((acc + p.cast("bigint")) * MULTIPLIER) % MODULUS
-
-    h = reduce(mix, parts, F.lit(seed).cast("bigint"))
-    return (h * MULTIPLIER) % MODULUS
 
 
 def _grid(one_row: DataFrame, samples: int, n: str) -> DataFrame:
@@ -44,7 +33,7 @@ def monte_carlo(returns: DataFrame, samples: int, seed: int = 42) -> DataFrame:
     one = Window.partitionBy(F.lit(0)).orderBy("signal_date")
     r = returns.select("net_return", F.row_number().over(one).alias("idx"))
     n = r.agg(F.count(F.lit(1)).alias("_n"))
-    g = _grid(n, samples, "_n").withColumn("idx", draw(seed, C("sample"), C("pos")) % C("_n") + 1)
+    g = _grid(n, samples, "_n").withColumn("idx", pick(C("_n"), seed, C("sample"), C("pos")))
     w = Window.partitionBy("sample").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     p = g.join(r, "idx").withColumn("_e", F.sum(F.log1p("net_return")).over(w))
     p = p.withColumn("_dd", F.exp(C("_e") - F.max("_e").over(w)) - 1)
@@ -61,7 +50,7 @@ def block_bootstrap(per_date: DataFrame, samples: int, seed: int = 7) -> DataFra
     one = Window.partitionBy(F.lit(0)).orderBy("date")
     d = per_date.withColumn("idx", F.row_number().over(one))
     n = d.agg(F.count(F.lit(1)).alias("_n"))
-    g = _grid(n, samples, "_n").withColumn("idx", draw(seed, C("sample"), C("pos")) % C("_n") + 1)
+    g = _grid(n, samples, "_n").withColumn("idx", pick(C("_n"), seed, C("sample"), C("pos")))
     s = g.join(d.drop("date"), "idx").groupBy("sample").agg(*[
         F.sum(c).alias(c) for c in ("a_hits", "a_n", "b_hits", "b_n")
     ])
@@ -87,7 +76,7 @@ class Plan:
     target: float = 1.15
     horizon: int = 10
     block: int = 5
-    paths: int = 20
+    paths: int = 2000
     cost_bps: float = 10.0
     slippage_bps: float = 5.0
 
@@ -110,11 +99,12 @@ def _outcome(path: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
     )
 
 
-def simulate_plan(panel: DataFrame, plan: Plan, seed: int = 11) -> DataFrame:
-    """Block-bootstrapped outcomes of a plan for every symbol (rows per symbol: paths x horizon).
+#: Intact blocks a history needs before it is resampled.
+MIN_BLOCKS = 20
 
-    ``panel`` carries ``segment``; a block never crosses a segment border.
-    """
+
+def _ratios(panel: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
+    """Bars relative to the previous close by row number, and the first rows of intact blocks, counted per symbol."""
     s = Series("symbol", "date")
     prev = s.lag("close")
     df = panel.withColumns(
@@ -125,22 +115,49 @@ def simulate_plan(panel: DataFrame, plan: Plan, seed: int = 11) -> DataFrame:
     df = df.withColumn("_okrow", same).withColumn(
         "_start", (F.sum("_okrow").over(block) == plan.block) & (F.min("segment").over(block) == F.max("segment").over(block)))
     w = Window.partitionBy("symbol").orderBy("_row")
-    starts = df.where(C("_start")).select("symbol", "_row", F.row_number().over(w).alias("_pick"))
-    n = starts.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
+    return df, df.where(C("_start")).select("symbol", "_row", F.row_number().over(w).alias("_pick"))
+
+
+def _paths(origins: DataFrame, keys: list[str], df: DataFrame, starts: DataFrame, plan: Plan, seed: int) -> DataFrame:
+    """Resampled bars relative to an entry of 1: keys, path, day, o, h, l, c.
+
+    ``origins``: symbol, other keys, ``_n`` (blocks to draw from, the first ones of the symbol's history).
+    """
     blocks = -(-plan.horizon // plan.block)
-    g = n.withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(plan.paths)))).withColumn(
+    g = origins.where(C("_n") >= MIN_BLOCKS).withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(plan.paths)))).withColumn(
         "_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    g = g.withColumn("_pick", (draw(seed, C("path"), C("_blk")) % C("_n") + 1).cast("int")).join(starts, ["symbol", "_pick"])
+    g = g.withColumn("_pick", pick(C("_n"), seed, C("path"), C("_blk")).cast("int")).join(starts, ["symbol", "_pick"])
     g = g.withColumn("_off", F.explode(F.sequence(F.lit(0), F.lit(plan.block - 1)))).withColumns(
         {"day": C("_blk") * plan.block + C("_off") + 1, "_row": C("_row") + C("_off")}).where(C("day") <= plan.horizon)
     p = g.join(df.select("symbol", "_row", "ro", "rh", "rl", "rc"), ["symbol", "_row"])
     first = C("day") == 1
     p = p.withColumns({k: F.when(first, ratio(k, "ro")).otherwise(C(k)) for k in ("rh", "rl", "rc")} | {
         "ro": F.when(first, 1.0).otherwise(C("ro"))})
-    before = Window.partitionBy("symbol", "path").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys, "path").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     base = F.exp(F.coalesce(F.sum(F.log("rc")).over(before), F.lit(0.0)))
     p = p.withColumn("_base", base).withColumns({k: C(f"r{k}") * C("_base") for k in ("o", "h", "l", "c")})
-    return _outcome(p, ["symbol", "path"], plan)
+    return p.select(*keys, "path", "day", "o", "h", "l", "c")
+
+
+def simulated_paths(panel: DataFrame, plan: Plan, seed: int = 11) -> DataFrame:
+    """Block-bootstrapped bars of every symbol relative to the entry (rows per symbol: paths x horizon).
+
+    ``panel`` carries ``segment``; a block never crosses a segment border.
+    """
+    df, starts = _ratios(panel, plan)
+    origins = starts.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
+    return _paths(origins, ["symbol"], df, starts, plan, seed)
+
+
+def simulate_plan(panel: DataFrame, plan: Plan, seed: int = 11) -> DataFrame:
+    """Outcome of the plan on every simulated path."""
+    return _outcome(simulated_paths(panel, plan, seed), ["symbol", "path"], plan)
+
+
+def plan_bands(paths: DataFrame) -> DataFrame:
+    """P10, median and P90 of the simulated closes per symbol and day, in units of the entry."""
+    names = (("p10", 0.1), ("median", 0.5), ("p90", 0.9))
+    return paths.groupBy("symbol", "day").agg(*[F.percentile("c", q).alias(n) for n, q in names])
 
 
 def plan_frequencies(outcomes: DataFrame) -> DataFrame:
@@ -163,11 +180,87 @@ def replay_plan(panel: DataFrame, plan: Plan, warmup: int = 252) -> DataFrame:
     return _outcome(p, ["symbol", "origin", "regime"], plan)
 
 
+def replay_calibration(panel: DataFrame, plan: Plan, warmup: int = 252, seed: int = 11) -> DataFrame:
+    """Per replay origin: the target frequency simulated from earlier bars only, beside what happened.
+
+    A block belongs to the past if it ends at the origin or before; the paths of an origin are ``plan.paths``.
+    """
+    df, starts = _ratios(panel, plan)
+    w = Window.partitionBy("symbol").orderBy("_row")
+    seen = F.count(F.when(C("_start"), 1)).over(w.rowsBetween(Window.unboundedPreceding, 1 - plan.block))
+    known = df.select("symbol", C("date").alias("origin"), C("_row").alias("train_rows"), seen.alias("_n"))
+    actual = replay_plan(panel, plan, warmup)
+    origins = actual.select("symbol", "origin").join(known, ["symbol", "origin"])
+    keys = ["symbol", "origin"]
+    simulated = _outcome(_paths(origins.select(*keys, "_n"), keys, df, starts, plan, seed), [*keys, "path"], plan)
+    expected = simulated.groupBy(*keys).agg(F.avg((C("outcome") == "TARGET").cast("double")).alias("target_frequency"))
+    out = actual.join(expected, keys).join(origins.drop("_n"), keys)
+    return out.withColumn("target_hit", (C("outcome") == "TARGET").cast("int"))
+
+
 def random_picks(eligible: DataFrame, samples: int, n: int, seed: int = 42) -> DataFrame:
-    """``n`` hash-random names per (sample, signal date); the limit prunes before the exchange."""
+    """``n`` random names per (sample, signal date), independent of each other; the limit prunes before the exchange.
+
+    ``eligible``: signal_date, symbol, key (a number of the symbol), further columns kept.
+    """
     from barloom.operators.cross_section import top_n
 
     g = eligible.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    g = g.withColumn("_u", F.xxhash64(F.lit(seed), "variant", "signal_date", "symbol"))
-    picks = top_n(g.drop("rank", "side") if "rank" in g.columns else g, ["variant", "signal_date"], "_u", n)
+    g = g.withColumn("_u", draw(seed, C("variant"), F.datediff("signal_date", F.lit("1970-01-01").cast("date")), C("key")))
+    picks = top_n(g.drop("rank", "side") if "rank" in g.columns else g, ["variant", "signal_date"], "_u", n, lowest=True)
     return picks.withColumn("side", F.lit(1)).drop("_u")
+
+
+def matched_picks(eligible: DataFrame, turnover: DataFrame, samples: int, n: int, seed: int = 42) -> DataFrame:
+    """Random portfolios that turn over as the strategy does: variant, signal_date, rank, symbol, kept, size, replace.
+
+    ``eligible``: signal_date, symbol, key (a number of the symbol); ``turnover``: signal_date, turnover (one-way share of the
+    strategy). At each date a portfolio of size m = min(n, eligible names) replaces r = m t / (1 - t) names, rounded half to
+    even and at most m, t the turnover clipped to 0 .. 0.5 (0.5 where unknown). It keeps m - r of its earlier names, drawn
+    from those still eligible, or all of them if fewer are; the rest is drawn from the names that were not kept.
+
+    The ``2 n`` names of least draw per sample and date always hold enough new ones, and each carries up to which date it
+    stays eligible without a break. So a sample is a fold over dates with the portfolio as state, in the JVM; an array of it
+    has calendar x 2 n entries, whatever the number of symbols.
+    """
+    one = Window.partitionBy(F.lit(0)).orderBy("signal_date")
+    dates = eligible.groupBy("signal_date").agg(F.count(F.lit(1)).alias("names"))
+    dates = dates.join(turnover.select("signal_date", "turnover"), "signal_date", "left").withColumn("t", F.row_number().over(one))
+    share = F.least(F.greatest(F.coalesce(C("turnover"), F.lit(0.5)), F.lit(0.0)), F.lit(0.5))
+    size = F.least(C("names"), F.lit(n)).cast("int")
+    dates = dates.withColumn("size", size).withColumn(
+        "replace", F.least(C("size"), F.rint(share * C("size") / F.greatest(F.lit(1e-9), 1 - share)).cast("int")))
+    rows = eligible.select("signal_date", "symbol", C("key").cast("bigint").alias("key")).join(
+        dates.select("signal_date", "t", "size", "replace"), "signal_date")
+    island = C("t") - F.row_number().over(Window.partitionBy("symbol").orderBy("t"))
+    rows = rows.withColumn("_island", island).withColumn("until", F.max("t").over(Window.partitionBy("symbol", "_island")))
+    g = rows.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("u", draw(seed, C("variant"), C("t"), C("key")))
+    order = Window.partitionBy("variant", "t").orderBy("u", "symbol")
+    g = g.withColumn("_k", F.row_number().over(order)).where(C("_k") <= 2 * n)
+    per = g.groupBy("variant", "t", "signal_date", "size", "replace").agg(
+        F.sort_array(F.collect_list(F.struct("u", "symbol", "key", "until"))).alias("_c"))
+    bare = lambda x: F.struct(x["symbol"].alias("symbol"), x["key"].alias("key"), x["until"].alias("until"))
+    per = per.withColumn("_c", F.transform("_c", bare)).withColumn("salt", draw(seed + 1, C("variant"), C("t")))
+    steps = per.groupBy("variant").agg(F.sort_array(F.collect_list(F.struct("t", "signal_date", "size", "replace", "salt", "_c"))).alias("_s"))
+    names = "array<struct<symbol:string,key:bigint,until:int>>"
+    made = f"array<struct<signal_date:date,size:int,replace:int,kept:int,names:{names}>>"
+
+    def by_draw(xs, salt):
+        drawn = lambda x: F.struct(mixed(salt, x["key"]).alias("u"), x["symbol"].alias("symbol"), x["key"].alias("key"), x["until"].alias("until"))
+        return F.transform(F.array_sort(F.transform(xs, drawn)), bare)
+
+    def step(acc, p):
+        alive = F.filter(acc["held"], lambda x: x["until"] >= p["t"])
+        kept = F.slice(by_draw(alive, p["salt"]), 1, F.greatest(F.lit(0), p["size"] - p["replace"]))
+        return F.transform(F.array(kept), lambda k: portfolio(acc, p, k))[0]
+
+    def portfolio(acc, p, kept):
+        fresh = F.filter(p["_c"], lambda x: ~F.exists(kept, lambda k: k["symbol"] == x["symbol"]))
+        now = F.concat(kept, F.slice(fresh, 1, p["size"] - F.size(kept)))
+        entry = F.struct(p["signal_date"].alias("signal_date"), p["size"].alias("size"), p["replace"].alias("replace"), F.size(kept).alias("kept"), now.alias("names"))
+        return F.struct(now.cast(names).alias("held"), F.concat(acc["made"], F.array(entry)).cast(made).alias("made"))
+
+    start = F.struct(F.array().cast(names).alias("held"), F.array().cast(made).alias("made"))
+    out = steps.select("variant", F.explode(F.aggregate("_s", start, step, lambda a: a["made"])).alias("p"))
+    out = out.select("variant", "p.*", F.posexplode("p.names").alias("rank", "name"))
+    return out.select("variant", "signal_date", (C("rank") + 1).alias("rank"), "name.symbol", "kept", "size", "replace")
