@@ -145,11 +145,58 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """1024 parities of the shingles by their leading bits: two sets differ in at least as many shingles as in bits."""
-    odd = np.bincount((h >> U(54)).astype(np.int64), minlength=1024) & 1
+    """Parities of the shingles by some of their bits, a place for each shingle and 1024 at least (a power of two): two sets
+    differ in at least as many shingles as in bits. Longer sketches fold to shorter ones (``_folded``)."""
+    places = max(1024, 1 << max(len(h) - 1, 0).bit_length())
+    odd = np.bincount(((h >> U(8)) & U(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8)).view(U)
 
 
+def _folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of ``x``) folded to ``width`` bytes."""
+    while 8 * x.shape[1] > width:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
+
+
+class Sketches:
+    """Sketches of several widths: each is kept at its own and at every smaller width that occurs."""
+
+    def __init__(self, bits: list[bytes]):
+        self.widths = np.array([len(x) for x in bits], np.int64)
+        own = {}
+        for w in np.unique(self.widths):
+            at = np.flatnonzero(self.widths == w)
+            own[int(w)] = at, np.frombuffer(b"".join(bits[i] for i in at), U).reshape(len(at), -1)
+        self.row: dict[int, np.ndarray] = {}
+        self.bits: dict[int, np.ndarray] = {}
+        for w in own:
+            wider = [(at, _folded(x, w)) for v, (at, x) in own.items() if v >= w]
+            self.row[w] = np.full(len(bits), -1)
+            self.row[w][np.concatenate([at for at, _ in wider])] = np.arange(sum(len(at) for at, _ in wider))
+            self.bits[w] = np.concatenate([x for _, x in wider])
+
+    def folded(self, width: int) -> np.ndarray:
+        out = np.empty((len(self.widths), width // 8), U)
+        for w in np.unique(self.widths):
+            at = np.flatnonzero(self.widths == w)
+            out[at] = _folded(self.bits[int(w)][self.row[int(w)][at]], width)
+        return out
+
+    def differ(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of pairs differ, the wider folded to the narrower."""
+        widths = np.minimum(self.widths[u], self.widths[v])
+        out = np.zeros(len(u), np.int64)
+        for w in np.unique(widths):
+            pairs, row, bits = np.flatnonzero(widths == w), self.row[int(w)], self.bits[int(w)]
+            step = max(1, (1 << 22) // int(w))
+            for k in range(0, len(pairs), step):
+                at = pairs[k : k + step]
+                out[at] = np.bitwise_count(bits[row[u[at]]] ^ bits[row[v[at]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed rows by bucket: signatures (sigs u64, and of the set of each its short key i64, size u16, fold u32), and the
     same documents' own rows (``base``: doc_id, n_shingles, set_key, short, text_hash, sketch), read once this way. ``hots``
@@ -238,7 +285,11 @@ def _signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
 def _alike(sizes: np.ndarray, folds: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether sizes and folded sketches leave it possible that sets ``a`` and ``b`` reach the threshold."""
     x, y = sizes[a], sizes[b]
-    differ = np.bitwise_count(folds[a] ^ folds[b]).sum(axis=-1, dtype=np.int64)
+    return _within(x, y, np.bitwise_count(folds[a] ^ folds[b]).sum(axis=-1, dtype=np.int64), num, den)
+
+
+def _within(x: np.ndarray, y: np.ndarray, differ: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
+    """Whether sets of ``x`` and ``y`` shingles that differ in at least ``differ`` may reach the threshold."""
     differ = np.where(np.maximum(x, y) >= WIDE_SIZE, 0, differ)  # sizes from WIDE_SIZE on are not told apart everywhere
     return (np.minimum(x, y) * den >= num * np.maximum(x, y)) & (differ * (den + num) <= (x + y) * (den - num))
 
@@ -351,9 +402,8 @@ def _possible(pairs: DataFrame, info: DataFrame, num: int = NUM, den: int = DEN)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
-            sizes = np.concatenate([b.column("na").to_numpy(), b.column("nb").to_numpy()])
-            bits = np.frombuffer(b"".join([*b.column("sa").to_pylist(), *b.column("sb").to_pylist()]), U).reshape(2 * n, -1)
-            mask = pa.array(_alike(sizes, bits, np.arange(n), np.arange(n, 2 * n), num, den))
+            differ = Sketches(b.column("sa").to_pylist() + b.column("sb").to_pylist()).differ(np.arange(n), np.arange(n, 2 * n))
+            mask = pa.array(_within(b.column("na").to_numpy(), b.column("nb").to_numpy(), differ, num, den))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
 
     left = info.select(F.col("short").alias("hub"), F.col("set_key").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
@@ -368,13 +418,14 @@ def _across(members: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     n_shingles, sketch.
 
     A group is compared in blocks of ``BLOCK_MEMBERS``, each pair of blocks a task of its own; only pairs that sizes and
-    whole sketches leave possible come out. The ``most`` members of the largest component (``main``) have blocks of their
+    whole sketches leave possible come out (folded sketches first). The ``most`` members of the largest component (``main``) have blocks of their
     own, which are not compared with each other.
     """
 
     def compare(unit: pd.DataFrame) -> pd.DataFrame:
         sizes, block = unit["n_shingles"].to_numpy(), unit["block"].to_numpy()
-        bits = np.frombuffer(b"".join(map(bytes, unit["sketch"])), U).reshape(len(unit), -1)
+        whole = Sketches([bytes(x) for x in unit["sketch"]])
+        bits = whole.folded(128)
         keys = [bytes(k) for k in unit["member"]]
         root = np.unique([bytes(r).hex() for r in unit["root"]], return_inverse=True)[1]
         first, second = int(unit["x"].iloc[0]), int(unit["y"].iloc[0])
@@ -385,6 +436,8 @@ def _across(members: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
             apart = (root[u] != root[v]) & ((first != second) | (u < v))
             u, v = u[apart], v[apart]
             ok = np.concatenate([_alike(sizes, bits, u[k : k + 20_000], v[k : k + 20_000], num, den) for k in range(0, len(u), 20_000)] or [np.empty(0, bool)])
+            u, v = u[ok], v[ok]
+            ok = _within(sizes[u], sizes[v], whole.differ(u, v), num, den)
             out += [(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in zip(u[ok], v[ok], strict=True)]
         return pd.DataFrame(out, columns=["a", "b"])
 
@@ -453,12 +506,14 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     apart = found.where("hub is null and sig is not null").select("sig", "members")
     apart = apart.join(F.broadcast(named) if named.count() <= BROADCAST_KEYS else named, "sig")
     apart = stored(apart.select("hub", F.explode("members").alias("member")).where("hub != member").distinct(), "hot-groups")
-    first = groups.select("hub", F.explode("members").alias("member")).union(apart).distinct()
-    first = stored(_possible(first, info).distinct(), "pairs")
+    # a hub and a member meet in every bucket of a signature they share: one row from here on
+    met = groups.select("hub", F.explode("members").alias("member"), "wide").union(apart.select("hub", "member", F.lit(True)))
+    met = stored(met.groupBy("hub", "member").agg(F.max("wide").alias("wide")), "group-members")
+    first = stored(_possible(met.select("hub", "member"), info).distinct(), "pairs")
     links = stored(_verified(first, info, docs), "links")
     roots = connected_components(links)
     names = info.select("short", "set_key")
-    wide = groups.where("wide").select("hub", F.explode("members").alias("member")).union(apart).distinct()
+    wide = met.where("wide").select("hub", "member")
     wide = wide.join(names.select(F.col("short").alias("member"), F.col("set_key").alias("key")), "member").select("hub", "key")
     own = wide.select("hub").distinct().join(names.select(F.col("short").alias("hub"), F.col("set_key").alias("key")), "hub")
     placed = wide.union(own.select("hub", "key")).join(roots.withColumnRenamed("vertex", "key"), "key", "left")

@@ -81,6 +81,22 @@ def test_jaccard_join_no_task_gets_a_hot_group(spark):
     assert count.max() < 32
 
 
+def test_sketches_of_any_width_bound_the_difference():
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 2**63, 9000).astype(np.uint64))
+    for n, more in ((5, 3), (1000, 40), (1020, 300), (4000, 5000), (9000, 0)):
+        h, g = base[:n], np.unique(np.r_[base[n // 5 : n], rng.integers(0, 2**63, more).astype(np.uint64)])
+        x, y = jaccard_join.sketch(h).tobytes(), jaccard_join.sketch(g).tobytes()
+        exact = len(np.setxor1d(h, g))
+        both = jaccard_join.Sketches([x, y])
+        got, same = both.differ(np.array([0, 1]), np.array([1, 1])).tolist()
+        assert got <= exact and got % 2 == exact % 2 and same == 0
+        if n >= 1000:
+            assert got > exact / 4
+        short = both.folded(128)
+        assert int(np.bitwise_count(short[0] ^ short[1]).sum()) <= got
+
+
 def test_jaccard_join_empty_table(spark):
     assert jaccard_join.components(documents(spark, [])).count() == 0
     assert jaccard_join.deduplicate(documents(spark, [])).columns == documents(spark, []).columns
