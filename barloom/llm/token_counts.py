@@ -194,7 +194,7 @@ def token_counts(docs: DataFrame, cache: str | None = None, name: str = TOKENIZE
     fill(docs, cache, name)
     rows = docs.select("doc_id", F.octet_length(content(F.col("text"))).cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("digest"))
     have = cached(spark, cache, version_digest(name))
-    if have is None:
-        have = spark.createDataFrame([], ENTRY)
+    # stored: below a plain scan, adaptive execution may split the rows of a hot digest
+    have = spark.createDataFrame([], ENTRY) if have is None else stored(have, "token-counts-known")
     counted = rows.join(have, "digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("digest")).alias("content_sha256"))
