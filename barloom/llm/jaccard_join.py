@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Forest, connected_components, partitions, stored
+from barloom.llm.common import Forest, connected_components, give_back, partitions, stored
 
 WORDS, NUM, DEN = 5, 80, 100
 BLOCK_DOCS = 1000
@@ -41,7 +41,7 @@ HOT = 16
 WIDE_SIZE = 65535
 #: Rows of the table of candidate sets that may be broadcast (24 bytes each); a larger table is joined by shuffle.
 BROADCAST_KEYS = 1_000_000
-MAX_REMEMBERED = 400_000
+MAX_REMEMBERED = 200_000
 U = np.uint64
 
 
@@ -275,6 +275,7 @@ def _signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([spread, *[none] * 5, base, *blank], names=columns)
                 yield from block(sets, bands, lo, base)
                 lo = hi
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = f"struct<doc_id:{kind},n_shingles:bigint,set_key:binary,short:bigint,text_hash:bigint,sketch:binary>"
@@ -391,6 +392,7 @@ def _groups(blocks: DataFrame, buckets: int, num: int = NUM, den: int = DEN) ->
                 ],
                 names=columns,
             )
+        give_back()
 
     base = blocks.schema["base"].dataType.simpleString()
     return blocks.repartition(buckets, "bucket").mapInArrow(run, f"base {base}, hub long, wide boolean, members array<long>, sig long")
@@ -405,6 +407,7 @@ def _possible(pairs: DataFrame, info: DataFrame, num: int = NUM, den: int = DEN)
             differ = Sketches(b.column("sa").to_pylist() + b.column("sb").to_pylist()).differ(np.arange(n), np.arange(n, 2 * n))
             mask = pa.array(_within(b.column("na").to_numpy(), b.column("nb").to_numpy(), differ, num, den))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
+        give_back()
 
     left = info.select(F.col("short").alias("hub"), F.col("set_key").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
     right = info.select(F.col("short").alias("member"), F.col("set_key").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
@@ -463,6 +466,7 @@ def _sets_of(keys: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
                     [pa.array([set_key(h) if len(h) else None for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())],
                     names=["set_key", "hashes"],
                 )
+        give_back()
 
     wanted = stored(info.join(keys, "set_key", "left_semi").select("text_hash"), "candidate-texts")
     few = wanted.count() <= BROADCAST_KEYS
@@ -484,6 +488,7 @@ def _verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, num: int = NUM
                 ok.append(den * common >= num * (len(h) + len(g) - common))
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+        give_back()
 
     left = sets.select(F.col("set_key").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("set_key").alias("b"), F.col("hashes").alias("y"))

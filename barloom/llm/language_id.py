@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import give_back
+
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: Documents per language (in expectation) whose whole texts are counted to fit the model.
@@ -29,7 +31,7 @@ ROUNDS = 2
 FLOOR = 1e-7
 LONG_WORD = 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
-MAX_REMEMBERED = 400_000
+MAX_REMEMBERED = 200_000
 WORDS = regex.compile(r"\p{L}+")
 
 
@@ -258,6 +260,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     [*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                     schema=pa.schema([*[f for f in part.schema][:-1], pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]),
                 )
+        give_back()
 
     others = docs.drop("lang_pred", "score")
     rows = others.select("*", F.col(text).alias("__language_text"))

@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import stored
+from barloom.llm.common import give_back, stored
 
 LENGTH = 400
 STEPS = (64, 8, 1)
 #: Bytes of a text whose names a task holds at once (a memory bound; longer texts go piece by piece).
 PIECE = 2_000_000
+#: Block rows a task hands on at once.
+EMIT_ROWS = 25_000
 #: Rows of a table that may be broadcast (at most 64 bytes each); a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 U = np.uint64
@@ -167,11 +169,12 @@ def _rows(texts: DataFrame, step: int, length: int) -> DataFrame:
                     counts.append(len(part[0]))
                     parts.append(part)
                     held += len(part[0])
-                    if held > 100_000:
+                    if held > EMIT_ROWS:
                         yield _emit(keys, counts, parts, not split)
                         keys, counts, parts, held = [], [], [], 0
             if held:
                 yield _emit(keys, counts, parts, not split)
+        give_back()
 
     return texts.mapInArrow(run, COLUMNS + ("" if split else ", gram long"))
 
@@ -191,6 +194,7 @@ def _grams(texts: DataFrame, length: int) -> DataFrame:
                         o = o[(o + lo >= c) & (o + lo < c + PIECE)]
                         if len(o):
                             yield pa.RecordBatch.from_arrays([pa.array(gram[o].view(np.int64))], names=["gram"])
+        give_back()
 
     return texts.select("data").mapInArrow(run, "gram long")
 

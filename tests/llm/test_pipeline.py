@@ -48,7 +48,7 @@ def test_stages_on_given_documents(spark):
     assert sorted(r["doc_id"] for r in after) == sorted(want)
     before, after = kept["suffix_dedup"]
     data = [r["text"].encode() for r in before]
-    texts = {r["doc_id"]: cut(b, m).decode(errors="ignore") for r, b, m in zip(before, data, covered(data), strict=True)}
+    texts = {r["doc_id"]: cut(b, m).decode(errors="ignore") for r, b, m in zip(before, data, covered(data, corpus_pipeline.PASSAGE), strict=True)}
     assert {r["doc_id"]: r["text"] for r in after} == texts and all(r["n_chars"] == len(r["text"]) for r in after)
     before, after = kept["decontamination"]
     assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before if not _hit_words(r["text"], items)[-1]}
