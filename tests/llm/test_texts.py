@@ -303,6 +303,15 @@ def test_html_structure():
     assert html_text.blocks_of(None) == [] and html_text.blocks_of("") == [] and html_text.blocks_of("<") == [("<", "open")]
 
 
+def test_html_of_any_bytes_gives_blocks():
+    assert html_text.blocks_of("<article>a<![foo[b]]>c</article>")
+    assert html_text.blocks_of("<article>a <![ x]> c</article>")
+    rng = random.Random(12)
+    bits = ["<![", "<!", "<!--", "-->", "]]>", ">", "<", "CDATA[", "foo[", "if IE]", "<article>", "</article>", "<p", "</p>", " x ", "&#", "&amp", "[", "]", "\x00", "<?", "<script>", "DOCTYPE", "'", '"', "="]
+    for _ in range(20_000):
+        html_text.blocks_of("".join(rng.choices(bits, k=rng.randrange(1, 14))))
+
+
 def test_html_repeats_on_a_host(spark):
     frame = "<div>All rights reserved by the example company of this place</div>"
     rows = [(k, f"http://h.com/{k}", f"<html><body>{frame}<div>Unique words number {k} {'abc' * k} stand here for once</div></body></html>") for k in range(4)]
