@@ -37,6 +37,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch between the JVM and Python, where whole texts travel (a memory bound of both sides; results do not depend on it).
+BATCH_ROWS = 2000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to hand at most ``BATCH_ROWS`` rows at a time to Python; a smaller setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def give_back() -> None:
     """Return freed memory to the system, at the end of a task: idle Python workers keep what they hold otherwise."""
     pa.default_memory_pool().release_unused()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import give_back, stored
+from barloom.llm.common import give_back, in_small_batches, stored
 
 LENGTH = 400
 STEPS = (64, 8, 1)
@@ -163,7 +163,7 @@ def _rows(texts: DataFrame, step: int, length: int) -> DataFrame:
             keys, counts, parts, held = [], [], [], 0
             for r in range(b.num_rows):
                 key, data = b.column(0)[r].as_py(), b.column(1)[r].as_py()
-                units = np.array([tuple(u.values()) for u in b.column(2)[r].as_py()], np.int64) if split else None
+                units = np.stack([x.to_numpy().astype(np.int64) for x in b.column(2)[r].values.flatten()], axis=1) if split else None
                 for part in _block_rows(data, key, step, length, units):
                     keys.append(key)
                     counts.append(len(part[0]))
@@ -213,7 +213,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per distinct text of ``docs`` (text) with repeats: text_key, spans array<struct<start, end>> in bytes, in order."""
     if length < 2 * STEPS[0]:
         raise ValueError(f"strings have at least {2 * STEPS[0]} bytes")
-    texts = docs.select(text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("data"))
+    texts = in_small_batches(docs).select(text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("data"))
     texts = texts.where(F.octet_length("data") >= length)
     grams = stored(_grams(texts, length).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
     rows = _rows(texts, STEPS[0], length).join(_by_size(grams, grams.count()), "gram", "left_semi").drop("gram")
@@ -311,5 +311,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = dict(zip(others, b.columns[:n], strict=True)) | {"text": pa.array(texts, pa.string())}
             schema = pa.schema([b.schema.field(c) if c != "text" else pa.field("text", pa.string()) for c in order])
             yield pa.RecordBatch.from_arrays([columns[c] for c in order], schema=schema)
+        give_back()
 
     return _with_spans(docs, length, others).mapInArrow(run, docs.schema)
