@@ -192,16 +192,26 @@ def availability_master(resolved: DataFrame) -> DataFrame:
     )
 
 
-def value_matches(docs: DataFrame, facts: DataFrame) -> DataFrame:
+def value_matches(docs: DataFrame, facts: DataFrame, within_days: int | None = None) -> DataFrame:
     """Whether each expected value is found in each document of its symbol.
 
     ``docs``: symbol, reference, known_by, body. The document is normalised once before
-    the join and whole texts are searched.
+    the join and whole texts are searched. With ``within_days`` a document is only held
+    against periods that ended at most that many days before it was known: an equi-join on
+    symbol and period bucket, so work grows with the documents and not with a symbol's history.
     """
     d = docs.withColumn("_norm", tx.normalize_number_text(C("body"))).drop("body")
     f = facts.withColumn("_variants", tx.number_variants(C("value"), C("raw_value")))
     found = F.exists("_variants", lambda v: F.contains(C("_norm"), v))
-    return d.join(f, "symbol").select(
+    if within_days is None:
+        pairs = d.join(f, "symbol")
+    else:
+        bucket = lambda day: F.floor(F.unix_date(day) / (within_days + 1))
+        last = bucket(C("known_by"))
+        d = d.withColumn("_bucket", F.explode(F.array(last - 1, last)))
+        pairs = d.join(f.withColumn("_bucket", bucket(C("period_end"))), ["symbol", "_bucket"])
+        pairs = pairs.where(F.datediff("known_by", "period_end").between(0, within_days))
+    return pairs.select(
         "symbol", "period_end", "reference", "known_by", "field", found.alias("found")
     )
 

@@ -53,6 +53,9 @@ def test_document_values_need_two_matches(spark):
     m = pit.value_matches(docs, facts)
     assert {(r["reference"], r["field"]) for r in m.where("found").collect()} == {("d1", "sales"), ("d1", "eps")}
     assert [r["reference"] for r in pit.safe_late(m).collect()] == ["d1"]
+    near = {n: {(r["reference"], r["field"]) for r in pit.value_matches(docs, facts, n).collect()} for n in (91, 92, 122, 123, 5000)}
+    every = {(d, f) for d in ("d1", "d2") for f in ("sales", "eps", "tax")}
+    assert near == {91: set(), 92: {x for x in every if x[0] == "d1"}, 122: {x for x in every if x[0] == "d1"}, 123: every, 5000: every}
 
 
 def test_carried_ema_does_not_depend_on_batching(spark, tmp_path):
