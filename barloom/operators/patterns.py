@@ -2,14 +2,13 @@
 
 Window patterns use row frames. Swing patterns look at positions inside the last few
 dozen bars, held as one array per symbol (at most ``TAIL`` structs), and stay in the JVM.
-Only the ZigZag, a true recursion, runs as a grouped pandas function.
+The ZigZag, a true recursion, folds one array of closes per symbol; its length is that of the calendar.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -205,49 +204,146 @@ def visible(patterns: DataFrame, last_index: str, window: int = 3) -> DataFrame:
 
 # ZigZag and VCP ---------------------------------------------------------------
 
-_SWING_SCHEMA = "symbol string, date date, bars int, swings array<struct<at:int,kind:string,price:double>>"
-
-
-def _zigzag(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Alternating swing points with a reversal of max(2 ATR, 3 %)."""
-    pdf = pdf.sort_values("date")
-    price = pdf["close"].to_numpy()
-    band = (pdf["atr_14"] * 2).fillna(0.0).to_numpy()
-    points: list[dict] = []
-    side, at, top = 0, 0, price[0]
-    for i in range(1, len(price)):
-        x, need = price[i], max(band[i], top * 0.03)
-        if side == 0:
-            if abs(x - top) >= need:
-                side = 1 if x > top else -1
-                at, top = i, x
-        elif (x - top) * side >= 0:
-            at, top = i, x
-        elif (top - x) * side >= need:
-            points.append({"at": at, "kind": "high" if side > 0 else "low", "price": float(top)})
-            side, at, top = -side, i, x
-    if side:
-        points.append({"at": at, "kind": "high" if side > 0 else "low", "price": float(top)})
-    return pd.DataFrame(
-        {"symbol": [pdf["symbol"].iloc[0]], "date": [pdf["date"].iloc[-1]], "bars": [len(pdf)], "swings": [points]}
-    )
+_POINT = "struct<at:int,kind:string,price:double>"
+
+
+def _side_name(side: Column) -> Column:
+    return F.when(side > 0, "high").otherwise("low")
+
+
+def _point(at: Column, side: Column, price: Column) -> Column:
+    return F.array(F.struct(at.alias("at"), _side_name(side).alias("kind"), price.alias("price"))).cast(f"array<{_POINT}>")
+
+
+def zigzag_points(bars: Column, share: float = 0.03) -> Column:
+    """Swing points of an ordered array of ``(close, band)``: the last extreme before each reversal, then the open one.
+
+    A reversal is a move against the extreme of at least ``band`` and ``share`` of the extreme. Before the first one no
+    extreme is followed. A close that is null changes nothing, a band that is null counts as zero.
+    """
+    state = "struct<i:int,side:int,at:int,top:double,points:array<" + _POINT + ">>"
+    start = F.struct(
+        F.lit(0).alias("i"), F.lit(0).alias("side"), F.lit(0).alias("at"), F.lit(None).cast("double").alias("top"),
+        F.array().cast(f"array<{_POINT}>").alias("points")).cast(state)
+
+    def step(a, b):
+        x, side, top = b["close"], a["side"], a["top"]
+        need = F.greatest(F.coalesce(b["band"], F.lit(0.0)), top * share)
+        opens = (side == 0) & (F.abs(x - top) >= need)
+        on = (side != 0) & ((x - top) * side >= 0)
+        turns = (side != 0) & ~on & ((top - x) * side >= need)
+        first = top.isNull() & x.isNotNull()
+        moved = opens | on | turns | first
+        return F.struct(
+            (a["i"] + 1).alias("i"),
+            F.when(opens, F.when(x > top, 1).otherwise(-1)).when(turns, -side).otherwise(side).alias("side"),
+            F.when(moved, a["i"]).otherwise(a["at"]).alias("at"),
+            F.when(moved, x).otherwise(top).alias("top"),
+            F.when(turns, F.concat(a["points"], _point(a["at"], side, top))).otherwise(a["points"]).alias("points"),
+        ).cast(state)
+
+    def end(a):
+        return F.when(a["side"] != 0, F.concat(a["points"], _point(a["at"], a["side"], a["top"]))).otherwise(a["points"])
+
+    return F.aggregate(bars, start, step, end)
 
 
-def zigzag_swings(panel: DataFrame) -> DataFrame:
+def dedupe_swings(swings: Column) -> Column:
+    """Adjacent swings of one kind become the most extreme of them, the first one among equals."""
+
+    def step(acc, s):
+        last = F.try_element_at(acc, F.lit(-1))
+        better = F.when(s["kind"] == "high", s["price"] > last["price"]).otherwise(s["price"] < last["price"])
+        head = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when((F.size(acc) == 0) | (last["kind"] != s["kind"]), F.concat(acc, F.array(s))).when(
+            better, F.concat(head, F.array(s))).otherwise(acc)
+
+    return F.aggregate(swings, F.array().cast(f"array<{_POINT}>"), step)
+
+
+def local_extrema(closes: Column, radius: int = 2) -> Column:
+    """Closes that are the highest (else the lowest) of the ``radius`` closes on both sides, one per run of a kind.
+
+    A plateau counts as a high; the closes within ``radius`` of an end have no full neighbourhood. Fewer than 20 closes
+    have no extremes.
+    """
+    n = F.size(closes)
+    places = F.when(n >= 20, F.sequence(F.lit(radius), n - 1 - radius)).otherwise(F.array().cast("array<int>"))
+
+    def point(i):
+        near, x = F.slice(closes, i - radius + 1, F.lit(2 * radius + 1)), F.element_at(closes, i + 1)
+        kind = F.when(x == F.array_max(near), "high").when(x == F.array_min(near), "low")
+        return F.struct(i.alias("at"), kind.alias("kind"), x.alias("price")).cast(_POINT)
+
+    return dedupe_swings(F.filter(F.transform(places, point), lambda p: p["kind"].isNotNull()))
+
+
+def zigzag_swings(panel: DataFrame, lookback: int = 120) -> DataFrame:
+    """Alternating swings of every symbol with a reversal of max(2 ATR, 3 %), and the local extremes of its last closes.
+
+    One row per symbol: ``swings`` from the whole series, ``extrema`` from the last ``lookback`` closes. The closes of a
+    symbol meet in one array, so its length is bounded by the calendar, however many rows fed the bars.
+    """
     from barloom.operators.features import add_atr
 
     df = add_atr(panel, S, (14,)).select("symbol", "date", "close", "atr_14")
-    return df.groupBy("symbol").applyInPandas(_zigzag, _SWING_SCHEMA)
+    bars = F.array_sort(F.collect_list(F.struct("date", "close", (C("atr_14") * 2).alias("band"))))
+    df = df.groupBy("symbol").agg(F.max("date").alias("date"), bars.alias("_b"))
+    closes = F.transform(_take(C("_b"), lookback), lambda b: b["close"])
+    return df.select(
+        "symbol", "date", F.size("_b").alias("bars"), dedupe_swings(zigzag_points(C("_b"))).alias("swings"),
+        local_extrema(closes).alias("extrema"))
 
 
-def contractions(swings: Column) -> Column:
-    """High-to-low pullbacks of 2..45 % among the last twelve swings, at most five."""
-    recent = _take(swings, 12)
+def _pullbacks(swings: Column, least: float) -> Column:
+    """High-to-low moves between neighbours of ``least``..45 %, the last five."""
     pairs = F.filter(
-        F.arrays_zip(_part(recent, 0, F.size(recent) - 1).alias("a"), _part(recent, 1, F.size(recent)).alias("z")),
+        F.arrays_zip(_part(swings, 0, F.size(swings) - 1).alias("a"), _part(swings, 1, F.size(swings)).alias("z")),
         lambda p: (p["a"]["kind"] == "high") & (p["z"]["kind"] == "low") & (p["a"]["price"] > 0))
     pull = F.transform(pairs, lambda p: (p["a"]["price"] - p["z"]["price"]) / p["a"]["price"] * 100)
-    return _take(F.filter(pull, lambda v: (v >= 2) & (v <= 45)), 5)
+    return _take(F.filter(pull, lambda v: (v >= least) & (v <= 45)), 5)
+
+
+def contractions(swings: Column) -> Column:
+    """High-to-low pullbacks of 2..45 % among the last twelve swings, at most five."""
+    return _pullbacks(_take(swings, 12), 2)
+
+
+def local_contractions(extrema: Column) -> Column:
+    """Pullbacks of 1..45 % between local extremes, at most five: the fallback of a series with too few swings."""
+    return _pullbacks(extrema, 1)
+
+
+def contraction_sequence(swings: Column, extrema: Column) -> Column:
+    """Tightening pullbacks of the swings, or of the local extremes where the swings give fewer than two."""
+    zig = contractions(swings)
+    return tightening(F.when(F.size(zig) >= 2, zig).otherwise(local_contractions(extrema)))
+
+
+def with_contractions(swings: DataFrame) -> DataFrame:
+    """``sequence`` and its ``source``: swings, or local where these give fewer than two pullbacks."""
+    src = F.when(F.size(contractions(C("swings"))) >= 2, "swings").otherwise("local")
+    return swings.withColumns({"source": src, "sequence": contraction_sequence(C("swings"), C("extrema"))})
+
+
+def swing_pivot(swings: Column) -> Column:
+    """Highest of the last three highs among the last eight swings; NULL without one."""
+    return F.array_max(_take(F.transform(F.filter(_take(swings, 8), lambda x: x["kind"] == "high"), lambda x: x["price"]), 3))
+
+
+def recent_high(panel: DataFrame, rows: int = 20) -> DataFrame:
+    """Highest high of the last ``rows`` bars of every symbol that has so many."""
+    df = panel.withColumn("_h", S.max("high", rows))
+    return df.groupBy("symbol").agg(F.max_by("_h", "date").alias("recent_high"))
+
+
+def shrinks(values: Column) -> Column:
+    """Whether each pullback is at most 85 % of the one before."""
+    n = F.size(values)
+    return F.aggregate(
+        F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.coalesce(
+            F.try_element_at(values, i) <= F.try_element_at(values, i - 1) * 0.85, F.lit(True))),
+        F.lit(True), lambda a, x: a & x)
 
 
 def tightening(values: Column) -> Column:
@@ -299,20 +395,16 @@ def vcp_scan(panel: DataFrame, bench: DataFrame) -> DataFrame:
     keep = [c for c in df.columns if c not in ("symbol", "open")]
     latest = df.groupBy("symbol").agg(F.max(F.struct("date", *[c for c in keep if c != "date"])).alias("_x")).select(
         "symbol", "_x.*").where(C("history") >= 220)
-    sw = zigzag_swings(panel).select("symbol", "swings")
+    # the folds run once: written before later filters copy them
+    sw = stage(zigzag_swings(panel).select("symbol", "swings", "extrema"), "swings")
     j = latest.join(sw, "symbol")
-    j = stage(j.withColumn("contractions", tightening(contractions(C("swings")))), "vcp")
-    highs = _take(F.transform(F.filter(_take(C("swings"), 8), lambda x: x["kind"] == "high"), lambda x: x["price"]), 3)
+    j = stage(j.withColumn("contractions", contraction_sequence(C("swings"), C("extrema"))).drop("extrema"), "vcp")
     yes = lambda c: F.coalesce(c, F.lit(False))
-    n = F.size("contractions")
-    shrink = F.aggregate(
-        F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.coalesce(
-            F.try_element_at("contractions", i) <= F.try_element_at("contractions", i - 1) * 0.85, F.lit(True))),
-        F.lit(True), lambda a, x: a & x)
+    n, shrink = F.size("contractions"), shrinks(C("contractions"))
     c = C("close")
     j = j.withColumns(
         {
-            "pivot": F.coalesce(F.array_max(highs), C("_h20")),
+            "pivot": F.coalesce(swing_pivot(C("swings")), C("_h20")),
             "trend_ok": yes((c > C("_s50")) & (C("_s50") > C("_s150")) & (C("_s150") > C("_s200")) & (C("_s200") > C("_s200p"))),
             "near_high": yes(c >= C("_high52") * 0.90),
             "contractions_ok": (n >= 2) & (n <= 5) & shrink,

@@ -10,6 +10,7 @@ from barloom.plans import shapes as sh
 from barloom.plans.registry import query
 from barloom.plans.shapes import define_cte, with_
 from barloom.plans.sqlkit import chg, div, flag, lag, lead, over, roll
+from barloom.sources.staging import stage
 
 C = F.col
 
@@ -59,14 +60,69 @@ def visible_patterns(spark, sf):
     return pt.visible(d.withColumn("last_index", C("end_index")), "last_index")
 
 
-@query("symbol:s swings:i last_kind:s last_price contractions:s", covers="PAT-9 PAT-10 SCA-22")
+define_cte(
+    "zbars",
+    f"""SELECT symbol, close, i, n, coalesce(({roll('avg', 'tr', 14)}) * 2, 0) AS band FROM (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr,
+ row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT *, {lag('close')} AS pc FROM bars))""".replace("ORDER BY date ROWS", "ORDER BY i ROWS"),
+    "bars",
+)
+# one row per bar: side and extreme after it, and the swing that the bar ended
+define_cte(
+    "zig",
+    """/*recursive*/ SELECT symbol, i, n, 0 AS side, CAST(0 AS BIGINT) AS pos, close AS top, NULL::INTEGER AS done, NULL::BIGINT AS done_pos, NULL::DOUBLE AS done_top FROM zbars WHERE i = 0
+ UNION ALL SELECT symbol, i, n, CASE WHEN opens THEN CASE WHEN x > top THEN 1 ELSE -1 END WHEN turns THEN -side ELSE side END, CASE WHEN opens OR goes OR turns THEN i ELSE pos END, CASE WHEN opens OR goes OR turns THEN x ELSE top END,
+  CASE WHEN turns THEN side END, CASE WHEN turns THEN pos END, CASE WHEN turns THEN top END
+ FROM (SELECT *, side <> 0 AND NOT goes AND (top - x) * side >= need AS turns FROM (SELECT b.symbol, b.i, b.n, z.side, z.pos, z.top, b.close AS x, greatest(b.band, z.top * 0.03) AS need,
+   z.side = 0 AND abs(b.close - z.top) >= greatest(b.band, z.top * 0.03) AS opens, z.side <> 0 AND (b.close - z.top) * z.side >= 0 AS goes FROM zig z JOIN zbars b ON b.symbol = z.symbol AND b.i = z.i + 1))""",
+    "zbars",
+)
+define_cte(
+    "swing",
+    """SELECT symbol, pos, kind, price, row_number() OVER (PARTITION BY symbol ORDER BY pos) AS k, count(*) OVER (PARTITION BY symbol) AS m FROM (SELECT symbol, done_pos AS pos, CASE WHEN done > 0 THEN 'high' ELSE 'low' END AS kind, done_top AS price FROM zig WHERE done IS NOT NULL
+ UNION ALL SELECT symbol, pos, CASE WHEN side > 0 THEN 'high' ELSE 'low' END, top FROM zig WHERE i = n - 1 AND side <> 0)""",
+    "zig",
+)
+define_cte(
+    "pull",
+    """SELECT symbol, src, pos, v, row_number() OVER (PARTITION BY symbol, src ORDER BY pos DESC) AS back FROM (
+ SELECT symbol, 0 AS src, pos, (price - np) / nullif(price, 0) * 100 AS v, 2 AS least_v FROM (SELECT *, lead(kind) OVER w AS nk, lead(price) OVER w AS np FROM swing WINDOW w AS (PARTITION BY symbol ORDER BY pos)) WHERE m - k < 12 AND kind = 'high' AND nk = 'low' AND price > 0
+ UNION ALL SELECT symbol, 1, pos, (price - np) / nullif(price, 0) * 100, 1 FROM (SELECT *, lead(kind) OVER w AS nk, lead(price) OVER w AS np FROM (
+   SELECT symbol, g, kind, CASE WHEN kind = 'high' THEN max(close) ELSE min(close) END AS price, min(p) AS pos FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY p) AS g FROM (SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY symbol ORDER BY p) THEN 0 ELSE 1 END AS fresh FROM (
+     SELECT symbol, p, close, CASE WHEN close = hi THEN 'high' WHEN close = lo THEN 'low' END AS kind FROM (SELECT symbol, close, i - greatest(n - 120, 0) AS p, least(n, 120) AS sz, max(close) OVER f AS hi, min(close) OVER f AS lo FROM zbars WHERE i >= n - 120 WINDOW f AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) WHERE sz >= 20 AND p BETWEEN 2 AND sz - 3) WHERE kind IS NOT NULL)) GROUP BY symbol, g, kind) WINDOW w AS (PARTITION BY symbol ORDER BY pos)) WHERE kind = 'high' AND nk = 'low' AND price > 0) WHERE v >= least_v AND v <= 45""",
+    "swing",
+)
+define_cte(
+    "tight",
+    """/*recursive*/ SELECT symbol, vals, 0 AS used, src, CAST([] AS DOUBLE[]) AS seq FROM (SELECT s.symbol, CASE WHEN len(coalesce(a, [])) >= 2 THEN a ELSE coalesce(b, []) END AS vals, CASE WHEN len(coalesce(a, [])) >= 2 THEN 'swings' ELSE 'local' END AS src FROM (SELECT DISTINCT symbol FROM bars) s
+   LEFT JOIN (SELECT symbol, list(v ORDER BY pos) FILTER (src = 0) AS a, list(v ORDER BY pos) FILTER (src = 1) AS b FROM pull WHERE back <= 5 GROUP BY symbol) USING (symbol))
+ UNION ALL SELECT symbol, vals, used + 1, src, CASE WHEN len(seq) = 0 OR vals[used + 1] < seq[-1] THEN list_append(seq, vals[used + 1]) WHEN len(seq) >= 2 AND vals[used + 1] < seq[-2] THEN list_append(seq[1:len(seq) - 1], vals[used + 1]) ELSE seq END FROM tight WHERE used < len(vals)""",
+    "pull",
+)
+
+
+@query(
+    "symbol:s swings:i last_kind:s last_price contractions:s source:s shrinking:b pivot_price",
+    covers="PAT-9 PAT-10 SCA-22",
+    sql=with_(
+        "tight",
+        """SELECT t.symbol, coalesce(s.m, 0) AS swings, s.kind AS last_kind, s.price AS last_price, coalesce(list_aggregate(list_transform(seq, lambda v: printf('%.1f%%', v)), 'string_agg', ' -> '), '') AS contractions, src AS source,
+  len(seq) BETWEEN 2 AND 5 AND len(list_filter(range(2, len(seq) + 1), lambda q: seq[q] > seq[q - 1] * 0.85)) = 0 AS shrinking, coalesce(h.pv, b.pv) AS pivot_price
+ FROM (SELECT * FROM tight WHERE used = len(vals)) t LEFT JOIN (SELECT * FROM swing WHERE k = m) s USING (symbol)
+ LEFT JOIN (SELECT symbol, max(price) AS pv FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY k DESC) AS r FROM swing WHERE m - k < 8 AND kind = 'high') WHERE r <= 3 GROUP BY symbol) h USING (symbol)
+ LEFT JOIN (SELECT symbol, max(high) AS pv FROM (SELECT symbol, high, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS r, count(*) OVER (PARTITION BY symbol) AS n FROM bars) WHERE r <= 20 AND n >= 20 GROUP BY symbol) b USING (symbol)""",
+    ),
+)
 def zigzag_contractions(spark, sf):
-    z = pt.zigzag_swings(sh.bars(spark, sf))
-    seq = pt.tightening(pt.contractions(C("swings")))
+    bars = sh.bars(spark, sf)
+    z = stage(pt.with_contractions(pt.zigzag_swings(bars)), "swings")
     last = F.try_element_at("swings", F.lit(-1))
+    n = F.size("sequence")
+    z = z.join(pt.recent_high(bars), "symbol", "left")
     return z.select(
         "symbol", F.size("swings").alias("swings"), last["kind"].alias("last_kind"), last["price"].alias("last_price"),
-        F.array_join(F.transform(seq, lambda v: F.format_string("%.1f%%", v)), " -> ").alias("contractions"))
+        F.array_join(F.transform("sequence", lambda v: F.format_string("%.1f%%", v)), " -> ").alias("contractions"), "source",
+        ((n >= 2) & (n <= 5) & pt.shrinks(C("sequence"))).alias("shrinking"), F.coalesce(pt.swing_pivot(C("swings")), "recent_high").alias("pivot_price"))
 
 
 @query(

@@ -110,3 +110,90 @@ def test_streams_do_not_depend_on_files(spark, tmp_path):
         matches = jobs.run_available(jobs.filing_matches(r, f, 2), out("matches"))
         results.append([sorted(map(tuple, df.collect()), key=repr) for df in (bars, sessions, volume, history, matches)])
     assert results[0] == results[1] == results[2] and all(results[0])
+
+
+def _swings(closes, bands, share=0.03):
+    out, side, at, top = [], 0, 0, None
+    for i, x in enumerate(closes):
+        if x is None:
+            continue
+        if top is None:
+            at, top = i, x
+            continue
+        need = max(bands[i] or 0.0, top * share)
+        if side == 0:
+            if abs(x - top) >= need:
+                side, at, top = (1 if x > top else -1), i, x
+        elif (x - top) * side >= 0:
+            at, top = i, x
+        elif (top - x) * side >= need:
+            out.append((at, "high" if side > 0 else "low", top))
+            side, at, top = -side, i, x
+    return out + ([(at, "high" if side > 0 else "low", top)] if side else [])
+
+
+def _merged(points):
+    out = []
+    for p in points:
+        if out and out[-1][1] == p[1]:
+            if (p[2] > out[-1][2]) if p[1] == "high" else (p[2] < out[-1][2]):
+                out[-1] = p
+        else:
+            out.append(p)
+    return out
+
+
+def _extrema(closes, radius=2):
+    found = []
+    for i in range(radius, len(closes) - radius if len(closes) >= 20 else 0):
+        near = closes[i - radius:i + radius + 1]
+        if closes[i] == max(near):
+            found.append((i, "high", closes[i]))
+        elif closes[i] == min(near):
+            found.append((i, "low", closes[i]))
+    return _merged(found)
+
+
+def _falls(points, least):
+    pairs = zip(points, points[1:], strict=False)
+    v = [(a[2] - b[2]) / a[2] * 100 for a, b in pairs if (a[1], b[1]) == ("high", "low") and a[2] > 0]
+    return [x for x in v if least <= x <= 45][-5:]
+
+
+def test_swings_extremes_and_sequence_equal_plain_python(spark, panel):
+    import random
+
+    rng = random.Random(5)
+    flat = [(f"P{n}", dt.date(2021, 1, 1) + dt.timedelta(days=i), float(p)) for n in (1, 5, 19, 20, 26, 140) for i, p in enumerate(rng.choice((100, 101, 101, 102, 103)) for _ in range(n))]
+    extra = pd.DataFrame([(s, d, p, p, p, p, 10.0, "A") for s, d, p in flat], columns=["symbol", "date", "open", "high", "low", "close", "volume", "sector"])
+    both = pd.concat([panel, extra], ignore_index=True)
+    got = {r["symbol"]: r for r in pt.with_contractions(pt.zigzag_swings(spark.createDataFrame(both))).collect()}
+    assert set(got) == set(both["symbol"])
+    sources = set()
+    for symbol, g in both.sort_values("date").groupby("symbol"):
+        pc = g["close"].shift()
+        tr = pd.concat([g["high"] - g["low"], (g["high"] - pc).abs(), (g["low"] - pc).abs()], axis=1).max(axis=1)
+        bands = [None if pd.isna(v) else v * 2 for v in tr.rolling(14).mean()]
+        closes, r = list(g["close"]), got[symbol]
+        swings, extrema = _swings(closes, bands), _extrema(closes[-120:])
+        assert [(p["at"], p["kind"], p["price"]) for p in r["swings"]] == swings
+        assert [(p["at"], p["kind"], p["price"]) for p in r["extrema"]] == extrema
+        zig = _falls(swings[-12:], 2)
+        assert r["source"] == ("swings" if len(zig) >= 2 else "local")
+        assert r["sequence"] == _tight(zig if len(zig) >= 2 else _falls(extrema, 1))[-5:]
+        sources.add((r["source"], len(r["sequence"]) > 1))
+    assert {("swings", True), ("local", True)} <= sources
+
+
+def test_swings_merge_ties_nulls_and_short_series(spark):
+    cases = {
+        "empty": [], "null": [None, 100.0, None, 110.0, 90.0, None], "equal": [100.0] * 4, "one": [5.0],
+        "ties": [100.0, 110.0, 110.0, 100.0, 100.0, 110.0],
+    }
+    df = spark.createDataFrame([(k, [(x, None) for x in v]) for k, v in cases.items()], "k string, b array<struct<close:double,band:double>>")
+    for r in df.select("k", pt.dedupe_swings(pt.zigzag_points(F.col("b"))).alias("s")).collect():
+        v = cases[r["k"]]
+        assert [(p["at"], p["kind"], p["price"]) for p in r["s"]] == _merged(_swings(v, [None] * len(v)))
+    run = [(0, "high", 5.0), (1, "high", 7.0), (2, "high", 7.0), (3, "low", 2.0), (4, "low", 1.0), (5, "high", 3.0)]
+    df = spark.createDataFrame([(run,)], "s array<struct<at:int,kind:string,price:double>>")
+    assert [tuple(p) for p in df.select(pt.dedupe_swings(F.col("s")).alias("d")).first()["d"]] == [(1, "high", 7.0), (4, "low", 1.0), (5, "high", 3.0)]
