@@ -12,7 +12,7 @@ from barloom.plans.shapes import with_
 from barloom.sources import readers as rd
 from barloom.sources.staging import staging_root
 from barloom.sources.tables import read
-from barloom.streaming import jobs
+from barloom.streaming import jobs, stores
 
 C = F.col
 
@@ -85,11 +85,55 @@ def streamed_carried_ema(spark, sf):
     sql="SELECT r.user_id AS symbol, count(*) AS matches FROM (SELECT * FROM events WHERE event_type = 'signup') r JOIN (SELECT * FROM events WHERE event_type = 'error') f ON f.user_id = r.user_id AND f.ts BETWEEN r.ts AND r.ts + INTERVAL 2 DAY GROUP BY 1",
 )
 def streamed_filing_matches(spark, sf):
-    ev = lambda: jobs.stream_table(spark, sf, "events")
-    r = ev().where(C("event_type") == "signup").select(C("user_id").alias("symbol"), C("ts").alias("period_ts"))
-    f = ev().where(C("event_type") == "error").select(C("user_id").alias("symbol"), C("ts").alias("filed_ts"), C("event_id").alias("reference"))
-    m = jobs.run_available(jobs.filing_matches(r, f, 2), _out(spark))
-    return m.groupBy("symbol").agg(F.count(F.lit(1)).alias("matches"))
+    out = _out(spark)
+    side = F.when(C("event_type") == "signup", "left").when(C("event_type") == "error", "right")
+    ev = jobs.stream_table(spark, sf, "events").where(C("event_type").isin("signup", "error"))
+    rows = ev.select(side.alias("side"), C("user_id").alias("symbol"), C("ts").alias("at"), C("event_id").alias("reference"))
+    stores.run_store(rows, stores.interval_matches(out, 2), f"{out}/checkpoint")
+    return stores.read_matches(spark, out).groupBy("symbol").agg(F.count(F.lit(1)).alias("matches"))
+
+
+@query(
+    "symbol:i date:d close fetched:i",
+    covers="ST-1 SRC-6",
+    sql="""SELECT user_id AS symbol, d AS date, arg_max(value, (ts, event_id)) AS close, CASE WHEN d >= (SELECT max(CAST(ts AS DATE)) FROM events WHERE CAST(ts AS DATE) <= (SELECT max(CAST(ts AS DATE)) FROM events) - 10) - 5 THEN 2 ELSE 1 END AS fetched
+ FROM (SELECT *, CAST(ts AS DATE) AS d FROM events) GROUP BY user_id, d""",
+)
+def streamed_bar_upsert(spark, sf):
+    """Closes up to ten days before the end, then a second query that fetches again from five days before the last close."""
+    out, day = _out(spark), F.to_date("ts")
+    rows = "symbol bigint, date date, close double, fetched int, ts timestamp, event_id bigint"
+
+    def fetch(number, wanted):
+        ticks = jobs.stream_table(spark, sf, "events").where(wanted).select(
+            C("user_id").alias("symbol"), day.alias("date"), C("value").alias("close"), F.lit(number).alias("fetched"), "ts", "event_id")
+        merge = stores.merge_by_month(f"{out}/bars", ["symbol", "date"], ["fetched", "ts", "event_id"], f"fetch{number}")
+        stores.run_store(ticks, merge, f"{out}/checkpoint{number}")
+        return stores.read_merged(spark, f"{out}/bars", rows)
+
+    end = read(spark, sf, "events").agg(F.date_sub(F.max(day), 10)).first()[0]
+    if end is None:
+        return spark.createDataFrame([], rows)
+    last = fetch(1, day <= F.lit(end)).agg(F.max("date")).first()[0]
+    return fetch(2, F.lit(True) if last is None else day >= F.date_sub(F.lit(last), 5))
+
+
+@query(
+    "symbol:i bar_start:s ema:f4 stop:f4 exits:i swings:i last_swing:f4",
+    covers="ST-4",
+    sql="""WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_start) AS rn FROM (SELECT user_id AS symbol, time_bucket(INTERVAL 6 HOUR, ts) AS bar_start, min(value) AS low, arg_max(value, (ts, event_id)) AS x FROM events GROUP BY ALL)),
+ e AS (SELECT symbol, rn, bar_start, x AS ema, x AS peak, CAST(0 AS BIGINT) AS exits, 0 AS side, x AS ext, CAST(0 AS BIGINT) AS swings, NULL::DOUBLE AS last_swing FROM b WHERE rn = 1
+ UNION ALL SELECT symbol, rn, bar_start, ema + 2.0 / 21 * (x - ema), CASE WHEN hit THEN x ELSE greatest(peak, x) END, exits + CAST(hit AS BIGINT), CASE WHEN opens THEN CASE WHEN x > ext THEN 1 ELSE -1 END WHEN turns THEN -side ELSE side END,
+  CASE WHEN opens OR goes OR turns THEN x ELSE ext END, swings + CAST(turns AS BIGINT), CASE WHEN turns THEN ext ELSE last_swing END
+ FROM (SELECT *, side <> 0 AND NOT goes AND (ext - x) * side >= ext * 0.03 AS turns FROM (SELECT b.symbol, b.rn, b.bar_start, b.x, e.ema, e.peak, e.exits, e.side, e.ext, e.swings, e.last_swing, b.low <= e.peak * (1 - 0.08::DOUBLE) AS hit,
+  e.side = 0 AND abs(b.x - e.ext) >= e.ext * 0.03 AS opens, e.side <> 0 AND (b.x - e.ext) * e.side >= 0 AS goes FROM e JOIN b ON b.symbol = e.symbol AND b.rn = e.rn + 1)))
+ SELECT symbol, CAST(bar_start AS VARCHAR) AS bar_start, ema, peak * (1 - 0.08::DOUBLE) AS stop, exits, swings, last_swing FROM e""",
+)
+def streamed_carried_indicators(spark, sf):
+    out = _out(spark)
+    ticks = jobs.stream_table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
+    stores.run_store(ticks, stores.carry_indicators(out), f"{out}/checkpoint")
+    return stores.read_carried(spark, out)
 
 
 @query(

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barloom.operators.quality import append_incremental
-
 C = F.col
 
 
@@ -121,22 +119,6 @@ def unique_history(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*")
 
 
-def upsert_bars(table: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body: merge refetched bars into ``table``; the newest batch wins.
-
-    Each batch writes a new version folder and moves a pointer last, so a replayed batch
-    rewrites the same version and readers never see half a merge.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prev = f"{table}/v{batch_id - 1}"
-        merged = batch if batch_id == 0 else append_incremental(spark.read.parquet(prev), batch)
-        merged.write.mode("overwrite").parquet(f"{table}/v{batch_id}")
-
-    return write
-
-
 def alert_batches(rules: Callable[[DataFrame], DataFrame], watchlist: DataFrame, out: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: alerts of watched symbols, one folder per batch id (replay safe)."""
 
