@@ -25,6 +25,14 @@ def ladder(v: Column, steps: list[tuple[float, float]], rest: float) -> Column:
     return out.otherwise(rest)
 
 
+def ladder_first(*cases: tuple[Column, float]) -> Column:
+    """Value of the first case that holds; NULL where none does."""
+    out = F
+    for cond, value in cases:
+        out = out.when(cond, value)
+    return out
+
+
 def mean_present(scores: list[Column]) -> Column:
     known = F.array_compact(F.array(*scores))
     return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)).otherwise(0.0)

@@ -100,7 +100,7 @@ define_cte(
 
 @query(
     "symbol:i fii_latest institutional_score",
-    covers="RUL-3 SCA-18 SCA-19",
+    covers="RUL-3 SCA-18",
     sql=with_(
         "hold",
         """SELECT symbol, f[-1] AS fii_latest, round(least(greatest(12 * CAST(f[-1] > f[-2] AS INTEGER) + 8 * CAST(f[-1] > f[-2] AND f[-2] > f[-3] AS INTEGER) + 12 * CAST(d[-1] > d[-2] AS INTEGER) + 8 * CAST(d[-1] > d[-2] AND d[-2] > d[-3] AS INTEGER) + 15 * CAST(b[-1] > b[-2] AS INTEGER)
