@@ -150,6 +150,9 @@ class Lattice:
         """Expected uses of each piece (and of unknown letters) over all segmentations, for one model."""
         total = np.zeros(self.none + 1)
         order = sorted((i for i in range(len(words)) if len(words[i]) <= LONG_WORD), key=lambda i: len(words[i]))
+        for i, w in enumerate(words):
+            if len(w) > LONG_WORD:
+                total += counts[i] * self._long_expected(w, p)
         for lo in range(0, len(order), 8192):
             part = order[lo : lo + 8192]
             ids, sizes = self.arcs([words[i] for i in part])
@@ -165,6 +168,32 @@ class Lattice:
                     total += np.bincount(ids[:, i, k], weights=weight * alpha[:, i] * arc, minlength=self.none + 1)
         return total
 
+    def _long_expected(self, word: str, p: np.ndarray) -> np.ndarray:
+        """The same for one word of any length: sums in logarithms, arcs of a stretch of positions at a time."""
+        total, text, step = np.zeros(self.none + 1), MARK + word, 4096
+        n = len(text)
+        log_p = np.log(p, out=np.full(len(p), -np.inf), where=p > 0)
+        stretch = lambda lo: self._chunk_arcs(text[lo : lo + step + self.longest - 1])
+        ahead = np.full(n + 1, -np.inf)  # of reaching a position
+        ahead[0] = 0
+        for lo in range(0, n, step):
+            arcs = log_p[stretch(lo)]
+            for i in range(lo, min(lo + step, n)):
+                k = min(self.longest, n - i)
+                ahead[i + 1 : i + 1 + k] = np.logaddexp(ahead[i + 1 : i + 1 + k], ahead[i] + arcs[i - lo, :k])
+        back = np.full(n + 1 + self.longest, -np.inf)  # of the rest from a position
+        back[n] = 0
+        for lo in reversed(range(0, n, step)):
+            ids = stretch(lo)
+            arcs = log_p[ids]
+            hi = min(lo + step, n)
+            for i in reversed(range(lo, hi)):
+                back[i] = np.logaddexp.reduce(arcs[i - lo] + back[i + 1 : i + 1 + self.longest])
+            rest = np.lib.stride_tricks.sliding_window_view(back[lo + 1 : hi + self.longest], self.longest)
+            uses = np.exp(ahead[lo:hi, None] + arcs[: hi - lo] + rest - ahead[n])
+            total += np.bincount(ids[: hi - lo].ravel(), weights=uses.ravel(), minlength=self.none + 1)
+        return total
+
 
 @dataclass(frozen=True)
 class Model:

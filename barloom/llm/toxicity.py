@@ -209,14 +209,17 @@ def fit_texts(rows: Iterator[tuple[str | None, int]], rounds: int = ROUNDS) -> M
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     """The model of documents (doc_id, text) with labels (doc_id, toxic): a hash sample of about ``fit_docs`` of them.
 
-    Rows without doc_id or label are not used; a doc_id with several labels is toxic if any of them is.
+    Rows without doc_id or label are not used; a doc_id with several labels is toxic if any of them is, and one with
+    several texts gives the one of least hash, so the driver sees one text per sampled doc_id, whatever its rows.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = known.where(draw < fit_docs / max(total, 1))
     few = sample.count() <= MAX_FIT_ROWS
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample) if few else sample, "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample) if few else sample, "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text"), "text")).alias("one"))
+    rows = rows.select("doc_id", "one.text", "toxic")
     ordered = sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"] or ""))
     return fit_texts((r["text"], r["toxic"]) for r in ordered)
 
@@ -266,8 +269,16 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """
 
     def found(text: str | None, p: np.ndarray) -> list[dict]:
-        at = [m.span() for m in TOKEN.finditer((text or "").lower()) if m[0] not in BREAKS]
-        return [{"start": s, "end": e, "marginal": float(q)} for (s, e), q in zip(at, p, strict=True) if q > 0.5]
+        if not (p > 0.5).any():
+            return []
+        lower = text.lower()
+        at = [m.span() for m in TOKEN.finditer(lower) if m[0] not in BREAKS]
+        spans = [(s, e, float(q)) for (s, e), q in zip(at, p, strict=True) if q > 0.5]
+        if len(lower) != len(text):  # some letters lower-case to two code points
+            ends = np.cumsum([len(ch.lower()) for ch in text])
+            place = lambda i: int(np.searchsorted(ends, i, "right"))
+            spans = [(place(s), place(e - 1) + 1, q) for s, e, q in spans]
+        return [{"start": s, "end": e, "marginal": q} for s, e, q in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -290,8 +301,9 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 
 
 def predict(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, score, predicted; labels of the held-out fold are never read."""
+    """Per row of ``docs``: doc_id, held_out, score, predicted, and spans: start, end (code points of the text) and
+    marginal of every toxic word. Labels of the held-out fold are never read."""
     fold = held_out(F.col("doc_id"), 4, 2)
     model = fit(docs.where(~fold), labels.where(~fold), fit_docs)
-    scored = score(docs, model)
-    return scored.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = score(docs, model, spans=True)
+    return scored.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")

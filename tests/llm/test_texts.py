@@ -222,6 +222,27 @@ def test_vocabulary_holds_long_pieces_and_letters_without_case():
     assert np.allclose(lattice.word_logs([long], table), np.log(0.01 + 0.01 ** (len(long) + 1)))
 
 
+def test_long_words_train_like_short_ones(monkeypatch):
+    rng = random.Random(8)
+    pieces = ("a", "b", "ab", "ba", "aab", "abab", language_id.MARK, language_id.MARK + "a")
+    p = np.array([rng.random() for _ in pieces] + [1e-3, 0.0])
+    p /= p.sum()
+    lattice = language_id.Lattice(pieces)
+    words = ["".join(rng.choice("abx") for _ in range(n)) for n in (1, 5, 32, 33, 40, 64)]
+    counts = np.array([3.0, 1, 2, 5, 1, 7])
+    mixed = lattice.expected(words, counts, p)
+    monkeypatch.setattr(language_id, "LONG_WORD", 64)
+    assert np.allclose(mixed, lattice.expected(words, counts, p))
+    # every letter and the mark are used once, also across stretches and where a probability has no double
+    word = "".join(rng.choice("abx") for _ in range(9000))
+    uses = lattice.expected([word], np.array([2.0]), p)
+    letters = uses[:-2] @ np.array([len(x) for x in pieces]) + uses[lattice.unknown]
+    assert abs(letters - 2 * 9001) < 1e-4 and uses[lattice.none] == 0
+    # a language whose text is one long run is learned
+    model = language_id.fit_counts({"x": {"ab" * 40: 1}, "y": {"ba" * 3 + "b" * 60: 1}}, pieces)
+    assert language_id.Scorer(model).predict(["abababab", "bbbbbb"])[0] == ["x", "y"]
+
+
 def test_language_edge_cases(spark):
     rows = [(k, t * 5, g) for k, (t, g) in enumerate([("the cat and the dog ", "en"), ("le chat et la souris ", "fr")] * 20)]
     rows += [(100, None, "en"), (101, "", "en"), (102, "12 34 ... _", "fr"), (103, "the " * 20000, None), (104, "a" * 5000, None), (None, "the dog and", "en"), (103, "the " * 20000, None)]
@@ -265,6 +286,26 @@ def test_toxicity_learns_and_marks_spans(spark):
     assert {r.predicted for r in toxicity.predict(docs, known.limit(0)).collect()} <= {0, 1}
 
 
+def test_toxicity_takes_one_text_of_a_hot_document(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_texts", lambda rows: seen.extend(rows))
+    docs = documents(spark, [(1, f"text {k}", None) for k in range(50)] + [(2, None, None), (3, "", None)])
+    toxicity.fit(docs, spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1)], "doc_id bigint, toxic int"))
+    assert sorted((t is None, y) for t, y in seen) == [(False, 1), (False, 1), (True, 0)]
+
+
+def test_toxicity_spans_are_places_in_the_text(spark):
+    rng = random.Random(6)
+    texts = [rng.choices(["tree", "house", "river", "stone", "cloud", "green", "walks"], k=30) for _ in range(240)]
+    for k in range(0, 240, 4):
+        texts[k][3] = texts[k][20] = "awfulword"
+    model = toxicity.fit(documents(spark, [(k, " ".join(w) + ".", None) for k, w in enumerate(texts)]), spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(240)], "doc_id bigint, toxic int"))
+    text = "\u0130\u0130 I\u0130 awfulword \u0130 tree, AWFULWORD"
+    got = toxicity.score(documents(spark, [(1, text, None), (2, None, None)]), model, spans=True).orderBy("doc_id").collect()
+    assert {text[s.start:s.end].lower() for s in got[0].spans} == {"awfulword"} and len(got[0].spans) == 2
+    assert got[1].spans == []
+
+
 def test_marginals_equal_enumeration():
     import itertools
 
