@@ -234,7 +234,7 @@ def signal_recommendations(spark, sf):
 
 @query(
     "symbol:s decision:s confidence weighted_score positive_stack:i vetoes:i",
-    covers="RUL-10 RUL-20",
+    covers="RUL-10",
     sql=with_(
         "uni",
         """SELECT *, CASE WHEN vetoes > 0 THEN 'REJECT' WHEN tech < -0.25 AND ps >= 2 THEN 'WATCH' WHEN (risk < -0.25 OR sec < -0.25) AND ps >= 2 THEN 'WATCH' WHEN ps >= 3 AND risk > -0.25 THEN 'BUY' WHEN bear >= 3 THEN 'EXIT' ELSE 'WATCH' END AS decision,
