@@ -8,6 +8,7 @@ by its leading bits; the bias is at most the range over 2^32.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,3 +67,21 @@ def draw_int(seed: int, *counters: int) -> int:
             x = (x * factor) & MASK
             x = x ^ (x >> shift) if shift else x
     return x
+
+
+def mixed_array(state: np.ndarray, counter: np.ndarray) -> np.ndarray:
+    """``mixed`` of two integer arrays (broadcast) as uint32, whose products wrap where the columns mask."""
+    x = state.astype(np.uint32) ^ ((counter.astype(np.uint64) & np.uint64(MASK)) * np.uint64(SPREAD)).astype(np.uint32)
+    for factor, shift in zip(FACTORS, (15, 16, 0), strict=True):
+        x *= np.uint32(factor)
+        if shift:
+            x ^= x >> np.uint32(shift)
+    return x
+
+
+def draw_array(seed: int, *counters: np.ndarray) -> np.ndarray:
+    """The same draws of integer arrays (broadcast)."""
+    x = np.array(seed, np.uint32)
+    for c in counters:
+        x = mixed_array(x, np.asarray(c))
+    return x

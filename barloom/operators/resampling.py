@@ -7,13 +7,16 @@ periods (or dates) are already aggregated.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.draws import draw, mixed, pick
+from barloom.functions.draws import draw, draw_array, mixed, pick
 from barloom.functions.rolling import Series, ratio
 
 C = F.col
@@ -103,8 +106,8 @@ def _outcome(path: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
 MIN_BLOCKS = 20
 
 
-def _ratios(panel: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
-    """Bars relative to the previous close by row number, and the first rows of intact blocks, counted per symbol."""
+def _ratios(panel: DataFrame, plan: Plan) -> DataFrame:
+    """Bars relative to the previous close by row number; ``_start`` marks the first rows of intact blocks."""
     s = Series("symbol", "date")
     prev = s.lag("close")
     df = panel.withColumns(
@@ -112,55 +115,173 @@ def _ratios(panel: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
         | {"_row": s.position(), "_seg0": s.lag("segment")})
     block = s.w.rowsBetween(0, plan.block - 1)
     same = F.coalesce(C("_seg0") == C("segment"), F.lit(False)).cast("int")
-    df = df.withColumn("_okrow", same).withColumn(
+    return df.withColumn("_okrow", same).withColumn(
         "_start", (F.sum("_okrow").over(block) == plan.block) & (F.min("segment").over(block) == F.max("segment").over(block)))
-    w = Window.partitionBy("symbol").orderBy("_row")
-    return df, df.where(C("_start")).select("symbol", "_row", F.row_number().over(w).alias("_pick"))
 
 
-def _paths(origins: DataFrame, keys: list[str], df: DataFrame, starts: DataFrame, plan: Plan, seed: int) -> DataFrame:
-    """Resampled bars relative to an entry of 1: keys, path, day, o, h, l, c.
+#: Simulated paths x days that one batch of a task holds.
+BATCH_CELLS = 400_000
+
+
+def _histories(df: DataFrame) -> DataFrame:
+    """One row per symbol: its ratios by row and the marks of block starts, as arrays bounded by the calendar."""
+    cols = ("ro", "rh", "rl", "rc", "_start")
+    pluck = lambda c: F.transform("_h", lambda x: x[c].cast("double")).alias(c)
+    per = df.where(C("symbol").isNotNull()).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("_row", *cols))).alias("_h"))
+    return per.select("symbol", *[pluck(c) for c in cols])
+
+
+def _one_path_set(ratios: list[np.ndarray], starts: np.ndarray, n: int, drawn: np.ndarray, plan: Plan) -> list[np.ndarray]:
+    """Resampled o, h, l, c of all paths (paths x days); unknown values are NaN."""
+    first = starts[(drawn.astype(np.int64) * n) >> 32]
+    at = (first[:, :, None] + np.arange(plan.block)).reshape(len(drawn), -1)[:, : plan.horizon]
+    ro, rh, rl, rc = (r[at] for r in ratios)
+    entry = np.where(ro[:, 0] == 0, np.nan, ro[:, 0])
+    for r in (rh, rl, rc):
+        r[:, 0] /= entry
+    ro[:, 0] = 1.0
+    known = rc > 0
+    logs = np.where(known, np.log(np.where(known, rc, 1.0)), 0.0)
+    base = np.exp(np.cumsum(logs, axis=1))
+    base = np.column_stack([np.ones(len(base)), base[:, :-1]])
+    return [r * base for r in (ro, rh, rl, rc)]
+
+
+def _path_outcomes(path: list[np.ndarray], plan: Plan) -> list[np.ndarray]:
+    """Outcome (place in ``OUTCOMES``), exit day, gross and net return per path, by the rules of ``_outcome``."""
+    o, h, low, c = path
+    rules = [o <= plan.stop, o >= plan.target, low <= plan.stop, h >= plan.target]
+    kind = np.select(rules, [0, 1, 0, 1], 2)
+    price = np.select(rules, [o, np.full_like(o, plan.target), np.full_like(o, plan.stop), np.full_like(o, plan.target)], np.nan)
+    hit = kind < 2
+    some, rows = hit.any(axis=1), np.arange(len(o))
+    day = np.where(some, hit.argmax(axis=1), o.shape[1] - 1)
+    exit_ = np.where(some, price[rows, day], c[:, -1])
+    fee, slip = plan.cost_bps / 1e4, plan.slippage_bps / 1e4
+    net = exit_ * (1 - slip) * (1 - fee) / ((1 + slip) * (1 + fee)) - 1
+    return [np.where(some, kind[rows, day], 2).astype(np.int32), (day + 1).astype(np.int32), exit_ - 1, net]
 
-    ``origins``: symbol, other keys, ``_n`` (blocks to draw from, the first ones of the symbol's history).
-    """
-    blocks = -(-plan.horizon // plan.block)
-    g = origins.where(C("_n") >= MIN_BLOCKS).withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(plan.paths)))).withColumn(
-        "_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    g = g.withColumn("_pick", pick(C("_n"), seed, C("path"), C("_blk")).cast("int")).join(starts, ["symbol", "_pick"])
-    g = g.withColumn("_off", F.explode(F.sequence(F.lit(0), F.lit(plan.block - 1)))).withColumns(
-        {"day": C("_blk") * plan.block + C("_off") + 1, "_row": C("_row") + C("_off")}).where(C("day") <= plan.horizon)
-    p = g.join(df.select("symbol", "_row", "ro", "rh", "rl", "rc"), ["symbol", "_row"])
-    first = C("day") == 1
-    p = p.withColumns({k: F.when(first, ratio(k, "ro")).otherwise(C(k)) for k in ("rh", "rl", "rc")} | {
-        "ro": F.when(first, 1.0).otherwise(C("ro"))})
-    before = Window.partitionBy(*keys, "path").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.exp(F.coalesce(F.sum(F.log("rc")).over(before), F.lit(0.0)))
-    p = p.withColumn("_base", base).withColumns({k: C(f"r{k}") * C("_base") for k in ("o", "h", "l", "c")})
-    return p.select(*keys, "path", "day", "o", "h", "l", "c")
 
+OUTCOMES = ("STOP", "TARGET", "NEITHER")
+
+
+def _lists(parts: list[np.ndarray], width: int) -> pa.Array:
+    flat = np.concatenate([np.ravel(p) for p in parts])
+    values = pa.array(flat, mask=np.isnan(flat)) if flat.dtype.kind == "f" else pa.array(flat)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width), pa.int32()), values)
 
-def simulated_paths(panel: DataFrame, plan: Plan, seed: int = 11) -> DataFrame:
-    """Block-bootstrapped bars of every symbol relative to the entry (rows per symbol: paths x horizon).
+
+def _simulated(origins: DataFrame, keys: list[str], df: DataFrame, plan: Plan, seed: int, columns: Sequence[str] | None) -> DataFrame:
+    """Per row of ``origins``, arrays by path: outcome, exit_day, gross_return, net_return, or ``columns`` of the bars per day.
+
+    ``origins``: symbol, other keys, ``_n`` (blocks to draw from, the first ones of the symbol's history). Drawn bars are
+    looked up in the arrays of the symbol's row, so paths meet no join, sort or shuffle.
+    """
+    rows = origins.where(C("_n") >= MIN_BLOCKS).join(_histories(df), "symbol")
+    rows = rows.select(*keys, C("_n").cast("int").alias("_n"), "ro", "rh", "rl", "rc", "_start")
+    types = dict(rows.dtypes)
+    out = [f"{c} array<double>" for c in columns] if columns else [
+        "outcome array<int>", "exit_day array<int>", "gross_return array<double>", "net_return array<double>"]
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + (["day int"] if columns else []) + out)
+    blocks = -(-plan.horizon // plan.block)
+    chosen = [("o", "h", "l", "c").index(c) for c in columns or ()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = draw_array(seed, np.arange(1, plan.paths + 1)[:, None], np.arange(blocks)[None, :])
+        step = max(1, BATCH_CELLS // (plan.paths * plan.horizon))
+        for b in batches:
+            for i in range(0, b.num_rows, step):
+                part = b.slice(i, step)
+                made = []
+                for k in range(part.num_rows):
+                    ratios = [part.column(c)[k].values.to_numpy(zero_copy_only=False).astype(float) for c in ("ro", "rh", "rl", "rc")]
+                    starts = np.flatnonzero(part.column("_start")[k].values.to_numpy(zero_copy_only=False) == 1)
+                    with np.errstate(all="ignore"):
+                        path = _one_path_set(ratios, starts, part.column("_n")[k].as_py(), drawn, plan)
+                        made.append(path if columns else _path_outcomes(path, plan))
+                if columns:
+                    days = np.tile(np.arange(1, plan.horizon + 1, dtype=np.int32), part.num_rows)
+                    rep = pa.array(np.repeat(np.arange(part.num_rows), plan.horizon))
+                    cells = [pa.array(days), *[_lists([m[c].T for m in made], plan.paths) for c in chosen]]
+                    head = [part.column(k).take(rep) for k in keys]
+                else:
+                    cells, head = [_lists([m[c] for m in made], plan.paths) for c in range(4)], [part.column(k) for k in keys]
+                yield pa.RecordBatch.from_arrays([*head, *cells], names=[f.split(" ")[0] for f in schema.split(", ")])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _block_counts(df: DataFrame) -> DataFrame:
+    return df.where(C("_start")).groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def path_arrays(panel: DataFrame, plan: Plan, seed: int = 11, columns: Sequence[str] = ("o", "h", "l", "c")) -> DataFrame:
+    """Block-bootstrapped bars of every symbol relative to the entry: symbol, day and ``columns`` as arrays by path.
 
     ``panel`` carries ``segment``; a block never crosses a segment border.
     """
-    df, starts = _ratios(panel, plan)
-    origins = starts.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
-    return _paths(origins, ["symbol"], df, starts, plan, seed)
+    df = _ratios(panel, plan)
+    return _simulated(_block_counts(df), ["symbol"], df, plan, seed, columns)
+
+
+def outcome_arrays(panel: DataFrame, plan: Plan, seed: int = 11) -> DataFrame:
+    """Outcome of the plan on every simulated path: one row per symbol with arrays by path."""
+    df = _ratios(panel, plan)
+    return _simulated(_block_counts(df), ["symbol"], df, plan, seed, None).withColumn("outcome", _named("outcome"))
+
+
+def _named(codes: str) -> Column:
+    return F.transform(codes, lambda k: F.get(F.array(*[F.lit(o) for o in OUTCOMES]), k))
+
+
+def _by_path(arrays: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """One row per path from arrays by path."""
+    rows = arrays.select(*keys, F.posexplode(F.arrays_zip(*values)).alias("_p", "_v"))
+    return rows.select(keys[0], (C("_p") + 1).alias("path"), *keys[1:], *[C(f"_v.{v}").alias(v) for v in values])
+
+
+def simulated_paths(panel: DataFrame, plan: Plan, seed: int = 11) -> DataFrame:
+    """Block-bootstrapped bars of every symbol relative to the entry (rows per symbol: paths x horizon)."""
+    return _by_path(path_arrays(panel, plan, seed), ["symbol", "day"], ["o", "h", "l", "c"])
 
 
 def simulate_plan(panel: DataFrame, plan: Plan, seed: int = 11) -> DataFrame:
     """Outcome of the plan on every simulated path."""
-    return _outcome(simulated_paths(panel, plan, seed), ["symbol", "path"], plan)
+    return _by_path(outcome_arrays(panel, plan, seed), ["symbol"], ["outcome", "exit_day", "gross_return", "net_return"])
+
+
+def _array_percentile(xs: Column, q: float) -> Column:
+    """``percentile`` of a sorted array."""
+    at = (F.size(xs) - 1) * F.lit(q)
+    low, high = F.get(xs, F.floor(at).cast("int")), F.get(xs, F.ceil(at).cast("int"))
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+
+def _packed(df: DataFrame, column: str) -> bool:
+    return dict(df.dtypes)[column].startswith("array")
 
 
 def plan_bands(paths: DataFrame) -> DataFrame:
-    """P10, median and P90 of the simulated closes per symbol and day, in units of the entry."""
+    """P10, median and P90 of the simulated closes per symbol and day, in units of the entry.
+
+    ``paths``: one row per path (``simulated_paths``) or arrays by path (``path_arrays``).
+    """
     names = (("p10", 0.1), ("median", 0.5), ("p90", 0.9))
+    if _packed(paths, "c"):
+        xs = paths.select("symbol", "day", F.sort_array(F.array_compact("c")).alias("c"))
+        return xs.select("symbol", "day", *[_array_percentile(C("c"), q).alias(n) for n, q in names])
     return paths.groupBy("symbol", "day").agg(*[F.percentile("c", q).alias(n) for n, q in names])
 
 
 def plan_frequencies(outcomes: DataFrame) -> DataFrame:
+    """Shares of the outcomes, mean and median net return per symbol, from rows or arrays by path."""
+    if _packed(outcomes, "outcome"):
+        xs = outcomes.select("symbol", "outcome", F.sort_array(F.array_compact("net_return")).alias("_net"))
+        part = lambda k: F.size(F.filter("outcome", lambda x: x == k)) / F.size("outcome")
+        total = F.aggregate("_net", F.lit(0.0), lambda a, x: a + x)
+        return xs.select(
+            "symbol", part("TARGET").alias("target_share"), part("STOP").alias("stop_share"), part("NEITHER").alias("neither_share"),
+            F.when(F.size("_net") > 0, total / F.size("_net")).alias("net_mean"), _array_percentile(C("_net"), 0.5).alias("net_median"))
     share = lambda k: F.avg((C("outcome") == k).cast("double"))
     return outcomes.groupBy("symbol").agg(
         share("TARGET").alias("target_share"), share("STOP").alias("stop_share"), share("NEITHER").alias("neither_share"),
@@ -185,15 +306,16 @@ def replay_calibration(panel: DataFrame, plan: Plan, warmup: int = 252, seed: in
 
     A block belongs to the past if it ends at the origin or before; the paths of an origin are ``plan.paths``.
     """
-    df, starts = _ratios(panel, plan)
+    df = _ratios(panel, plan)
     w = Window.partitionBy("symbol").orderBy("_row")
     seen = F.count(F.when(C("_start"), 1)).over(w.rowsBetween(Window.unboundedPreceding, 1 - plan.block))
     known = df.select("symbol", C("date").alias("origin"), C("_row").alias("train_rows"), seen.alias("_n"))
     actual = replay_plan(panel, plan, warmup)
     origins = actual.select("symbol", "origin").join(known, ["symbol", "origin"])
     keys = ["symbol", "origin"]
-    simulated = _outcome(_paths(origins.select(*keys, "_n"), keys, df, starts, plan, seed), [*keys, "path"], plan)
-    expected = simulated.groupBy(*keys).agg(F.avg((C("outcome") == "TARGET").cast("double")).alias("target_frequency"))
+    simulated = _simulated(origins.select(*keys, "_n"), keys, df, plan, seed, None)
+    hits = F.size(F.filter("outcome", lambda k: k == OUTCOMES.index("TARGET")))
+    expected = simulated.select(*keys, (hits / F.size("outcome")).alias("target_frequency"))
     out = actual.join(expected, keys).join(origins.drop("_n"), keys)
     return out.withColumn("target_hit", (C("outcome") == "TARGET").cast("int"))
 

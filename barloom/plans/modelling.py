@@ -112,7 +112,7 @@ def simulated_plan_outcomes(spark, sf):
     ),
 )
 def simulated_plan_frequencies(spark, sf):
-    return rs.plan_frequencies(rs.simulate_plan(_segmented(spark, sf), PLAN))
+    return rs.plan_frequencies(rs.outcome_arrays(_segmented(spark, sf), PLAN))
 
 
 @query(
@@ -121,7 +121,7 @@ def simulated_plan_frequencies(spark, sf):
     sql=with_("simp", "SELECT symbol, day, quantile_cont(c, 0.1) AS p10, median(c) AS median, quantile_cont(c, 0.9) AS p90 FROM simp GROUP BY symbol, day"),
 )
 def simulated_plan_bands(spark, sf):
-    return rs.plan_bands(rs.simulated_paths(_segmented(spark, sf), PLAN))
+    return rs.plan_bands(rs.path_arrays(_segmented(spark, sf), PLAN, columns=("c",)))
 
 
 define_cte("ix", f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i, {lead('open', 1)} AS entry, {roll('avg', 'close', 200)} AS s200, {lead('close', 10)} AS fl FROM bars", "bars")
