@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.draws import draw, draw_array, mixed, pick
+from barloom.functions.draws import draw, draw_array, mixed, mixed_array, pick
 from barloom.functions.rolling import Series, ratio
 
 C = F.col
@@ -333,6 +333,44 @@ def random_picks(eligible: DataFrame, samples: int, n: int, seed: int = 42) -> D
     return picks.withColumn("side", F.lit(1)).drop("_u")
 
 
+#: Names of one date that a task draws for at a time, and draws held at once.
+CHUNK_NAMES, DRAW_CELLS = 32_768, 1_000_000
+
+
+def _least_draws(rows: DataFrame, samples: int, count: int, seed: int) -> DataFrame:
+    """variant, t, u, symbol, key, until: the ``count`` names of least draw per sample and chunk of a date, ties included.
+
+    Every name is drawn for every sample (t, symbol, key, until, ``names`` of the date); only the least of a chunk become rows.
+    """
+    chunk = F.pmod(F.xxhash64("symbol"), F.ceil(C("names") / CHUNK_NAMES)).cast("int")
+    fields = ("symbol", "key", "until")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        bare = np.asarray(table["key"].is_null())
+        keys = table["key"].fill_null(0).to_numpy()
+        t = np.array(table["t"][0].as_py())
+        out_v, out_u, out_i = [], [], []
+        step = max(1, DRAW_CELLS // len(keys))
+        for v in range(1, samples + 1, step):
+            variants = np.arange(v, min(v + step, samples + 1))
+            u = mixed_array(draw_array(seed, variants, t)[:, None], keys[None, :])
+            u[:, bare] = 0  # an unknown key has no draw and comes first
+            some = u <= np.partition(u, count - 1, axis=1)[:, count - 1 : count] if u.shape[1] > count else np.ones(u.shape, bool)
+            at, i = np.nonzero(some)
+            out_v.append(variants[at])
+            out_u.append(u[at, i])
+            out_i.append(i)
+        i = np.concatenate(out_i)
+        picked = table.select(fields).take(pa.array(i))
+        head = [pa.array(np.concatenate(out_v).astype(np.int32)), pa.array(np.full(len(i), t, np.int32)),
+                pa.array(np.concatenate(out_u).astype(np.int64), mask=bare[i])]
+        return pa.Table.from_arrays([*head, *picked.columns], names=["variant", "t", "u", *fields])
+
+    keyed = rows.select("t", chunk.alias("_chunk"), *fields)
+    return keyed.groupBy("t", "_chunk").applyInArrow(run, "variant int, t int, u bigint, symbol string, key bigint, until int")
+
+
 def matched_picks(eligible: DataFrame, turnover: DataFrame, samples: int, n: int, seed: int = 42) -> DataFrame:
     """Random portfolios that turn over as the strategy does: variant, signal_date, rank, symbol, kept, size, replace.
 
@@ -353,12 +391,13 @@ def matched_picks(eligible: DataFrame, turnover: DataFrame, samples: int, n: int
     dates = dates.withColumn("size", size).withColumn(
         "replace", F.least(C("size"), F.rint(share * C("size") / F.greatest(F.lit(1e-9), 1 - share)).cast("int")))
     rows = eligible.select("signal_date", "symbol", C("key").cast("bigint").alias("key")).join(
-        dates.select("signal_date", "t", "size", "replace"), "signal_date")
+        dates.select("signal_date", "t", "names"), "signal_date")
     island = C("t") - F.row_number().over(Window.partitionBy("symbol").orderBy("t"))
     rows = rows.withColumn("_island", island).withColumn("until", F.max("t").over(Window.partitionBy("symbol", "_island")))
-    g = rows.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("u", draw(seed, C("variant"), C("t"), C("key")))
+    least = _least_draws(rows.select("t", "symbol", "key", "until", "names"), samples, 2 * n, seed)
     order = Window.partitionBy("variant", "t").orderBy("u", "symbol")
-    g = g.withColumn("_k", F.row_number().over(order)).where(C("_k") <= 2 * n)
+    g = least.withColumn("_k", F.row_number().over(order)).where(C("_k") <= 2 * n).join(
+        F.broadcast(dates.select("t", "signal_date", "size", "replace")), "t")
     per = g.groupBy("variant", "t", "signal_date", "size", "replace").agg(
         F.sort_array(F.collect_list(F.struct("u", "symbol", "key", "until"))).alias("_c"))
     bare = lambda x: F.struct(x["symbol"].alias("symbol"), x["key"].alias("key"), x["until"].alias("until"))
