@@ -7,8 +7,10 @@ session, which bounds every window partition by the length of the calendar.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,25 +157,73 @@ def add_extremes(df: DataFrame, s: Series = S, year: int = 252) -> DataFrame:
     return df.withColumns(out).drop("_ph20", "_ph50", "_ph100", "_hi", "_lo")
 
 
+def _pair_columns(x: np.ndarray, y: np.ndarray, row: np.ndarray, betas: Sequence[int], corrs: Sequence[int]) -> dict[str, np.ndarray]:
+    """Slopes and correlations of ``x`` on ``y`` over full frames of known rows; ``row``: number of the row in its series."""
+    known = np.concatenate([[0], np.cumsum(np.isfinite(x) & np.isfinite(y))])
+    out = {f"beta_{n}": np.full(len(x), np.nan) for n in betas} | {f"corr_{n}": np.full(len(x), np.nan) for n in corrs}
+    for n in sorted({*betas, *corrs}):
+        if len(x) < n:
+            continue
+        at = np.arange(n - 1, len(x))
+        at = at[(row[at] >= n) & (known[at + 1] - known[at + 1 - n] == n)]
+        # less the frame's first value, so that a flat frame has no spread at all
+        a, b = (np.lib.stride_tricks.sliding_window_view(v, n)[at + 1 - n] for v in (x, y))
+        a, b = a - a[:, :1], b - b[:, :1]
+        a, b = a - a.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True)
+        ab, bb = np.einsum("ij,ij->i", a, b), np.einsum("ij,ij->i", b, b)
+        with np.errstate(all="ignore"):
+            if n in betas:
+                out[f"beta_{n}"][at] = np.where(bb > 0, ab / bb, np.nan)
+            if n in corrs:
+                spread = np.sqrt(np.einsum("ij,ij->i", a, a) * bb)
+                out[f"corr_{n}"][at] = np.where(spread > 0, ab / spread, np.nan)
+    return out
+
+
+def pair_windows(x: Column, y: Column, row: Column, betas: Sequence[int], corrs: Sequence[int]) -> Column:
+    """Struct of beta_n and corr_n of ``x`` on ``y`` over the last n rows of a series, null unless all are known.
+
+    ``row`` is the row number of a window over the series, which also puts its rows into one task, in order. A task keeps the
+    last rows of a batch for the next one. Rows out of order raise an error; as the function counts as nondeterministic,
+    no filter is moved below it.
+    """
+    longest = max(*betas, *corrs)
+    fields = [*[f"beta_{n}" for n in betas], *[f"corr_{n}" for n in corrs]]
+
+    @F.pandas_udf(", ".join(f"{f} double" for f in fields))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        xs, ys, rows = np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
+        for a, b, r in batches:
+            old = len(rows)
+            xs, ys = np.concatenate([xs, a.to_numpy(float)]), np.concatenate([ys, b.to_numpy(float)])
+            rows = np.concatenate([rows, r.to_numpy(np.int64)])
+            if not ((rows[1:] == 1) | (rows[1:] == rows[:-1] + 1)).all():
+                raise ValueError("rows of a series are not in order")
+            out = _pair_columns(xs, ys, rows, betas, corrs)
+            yield pd.DataFrame({f: out[f][old:] for f in fields})
+            xs, ys, rows = xs[-longest:], ys[-longest:], rows[-longest:]
+
+    return run.asNondeterministic()(x, y, row)
+
+
 def add_benchmark(df: DataFrame, bench: DataFrame, s: Series = S) -> DataFrame:
     """Relative strength, beta and correlation against a one-row-per-date benchmark."""
     b = bench.select("date", C("close").alias("bench_close"))
-    df = df.join(b, "date", "left")
-    df = df.withColumn("_br", s.change("bench_close"))
+    df = df.join(F.broadcast(b), "date", "left")
+    df = df.withColumns({"_br": s.change("bench_close"), "_row": s.position()})
     df = df.withColumns(
         {f"rs_vs_bench_{n}d": C(f"ret_{n}d") - s.change("bench_close", n) for n in (20, 60, 120, 252)}
     )
-    out = {
-        "relative_momentum_20d_change": s.diff("rs_vs_bench_20d", 20),
-        "relative_momentum_20d_vs_60d": C("rs_vs_bench_20d") - C("rs_vs_bench_60d"),
-    }
-    for n in (60, 120, 252):
-        out[f"beta_{n}d"] = ratio(
-            s.roll(F.covar_samp, "ret_1d", "_br", n=n), s.roll(F.var_samp, "_br", n=n)
-        )
-    for n in (20, 60, 120):
-        out[f"corr_bench_{n}d"] = s.roll(F.corr, "ret_1d", "_br", n=n)
-    return df.withColumns(out).drop("_br")
+    df = df.withColumns(
+        {
+            "relative_momentum_20d_change": s.diff("rs_vs_bench_20d", 20),
+            "relative_momentum_20d_vs_60d": C("rs_vs_bench_20d") - C("rs_vs_bench_60d"),
+        }
+    )
+    betas, corrs = (60, 120, 252), (20, 60, 120)
+    df = df.withColumn("_pair", pair_windows(C("ret_1d"), C("_br"), C("_row"), betas, corrs))
+    out = {f"beta_{n}d": C(f"_pair.beta_{n}") for n in betas} | {f"corr_bench_{n}d": C(f"_pair.corr_{n}") for n in corrs}
+    return df.withColumns(out).drop("_br", "_row", "_pair")
 
 
 def equal_weight_sectors(panel: DataFrame, s: Series = S) -> DataFrame:
@@ -219,7 +269,7 @@ def sector_series_features(sectors: DataFrame) -> DataFrame:
 
 def add_sector_relative(df: DataFrame, sector_features: DataFrame) -> DataFrame:
     """Thirteen differences between a symbol and its sector series."""
-    df = df.join(sector_features, ["date", "sector"], "left")
+    df = df.join(F.broadcast(sector_features), ["date", "sector"], "left")  # sectors x sessions
     out = {f"stock_vs_sector_ret_{n}d": C(f"ret_{n}d") - C(f"sector_ret_{n}d") for n in (20, 60, 120, 252)}
     for n in (20, 60):
         out[f"stock_volatility_relative_sector_{n}d"] = (
@@ -391,6 +441,20 @@ def add_stock_specific(df: DataFrame, s: Series = S) -> DataFrame:
     return df.withColumns(out).drop("_vchg", "_pc")
 
 
+def with_recursive(panel: DataFrame) -> DataFrame:
+    """``panel`` with the recursive columns, from the same grouped pass; rows without a date have none."""
+    types = dict(panel.dtypes)
+    made = [f.split(" ")[0] for f in RECURSIVE_SCHEMA.split(", ")][2:]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        return pdf.assign(**{c: v.where(pdf["date"].notna()) for c, v in _recursive_group(pdf)[made].items()})
+
+    schema = ", ".join([*[f"{c} {t}" for c, t in types.items()], *[f"{c} double" for c in made]])
+    out = panel.groupBy("symbol").applyInPandas(run, schema)
+    return out.withColumns({c: F.nanvl(C(c), F.lit(None).cast("double")) for c in made})
+
+
 BASE_FEATURES = [
     *[f"ret_{n}d" for n in RETURN_ROWS],
     *[f"sma_{n}" for n in SMA_ROWS],
@@ -442,19 +506,18 @@ def technical_features(panel: DataFrame, bench: DataFrame | None = None, s: Seri
     return df if bench is None else add_benchmark(df, bench, s)
 
 
-def feature_matrix(panel: DataFrame, bench: DataFrame, variant: str = "advanced") -> DataFrame:
+def feature_matrix(panel: DataFrame, bench: DataFrame, variant: str = "advanced", carry: Sequence[str] = ()) -> DataFrame:
     """Feature matrix keyed by (date, symbol); rows lacking a base feature are dropped.
 
-    ``panel`` carries a ``sector`` column. Sector and regime tables hold one row
-    per (date, sector) and per date, so their joins stay small.
+    ``panel`` carries a ``sector`` column; its columns ``carry`` stay. Sector and regime tables hold one row
+    per (date, sector) and per date; they are broadcast, so the wide rows are never shuffled.
     """
     if variant not in VARIANTS:
         raise ValueError(f"unknown feature variant {variant!r}")
     keep = VARIANTS[variant]
-    df = technical_features(panel, bench)
-    df = df.join(recursive_features(panel), ["symbol", "date"], "left")
+    df = technical_features(with_recursive(panel), bench)
     if variant != "baseline":
         df = add_sector_relative(df, sector_series_features(equal_weight_sectors(panel)))
     if variant in ("sector_regime", "advanced"):
-        df = df.join(market_regime_features(bench, breadth_by_date(panel)), "date", "left")
-    return df.select("date", "symbol", "close", *keep).dropna(subset=BASE_FEATURES)
+        df = df.join(F.broadcast(market_regime_features(bench, breadth_by_date(panel))), "date", "left")
+    return df.select("date", "symbol", "close", *keep, *carry).dropna(subset=BASE_FEATURES)

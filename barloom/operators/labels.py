@@ -40,7 +40,7 @@ def three_way(excess, band: float = CLASS_BAND):
 def excess_labels(panel: DataFrame, bench: DataFrame, horizon: int = HORIZON, s: Series = S) -> DataFrame:
     """Future return, benchmark return, their difference and its class; open horizons dropped."""
     df = panel.withColumn("future_stock_return", ratio(s.lead("close", horizon), "close") - 1.0)
-    df = df.join(forward_benchmark(bench, horizon), "date", "left")
+    df = df.join(F.broadcast(forward_benchmark(bench, horizon)), "date", "left")  # one row per session
     df = df.withColumn("excess_return", C("future_stock_return") - C("future_bench_return"))
     return df.withColumn("label", three_way(C("excess_return"))).where(
         C("excess_return").isNotNull()

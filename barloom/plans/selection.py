@@ -12,7 +12,8 @@ from barloom.operators import trials as tr
 from barloom.operators.evaluation import ranking_quality
 from barloom.operators.order_stats import with_percentiles
 from barloom.plans import features as fp
-from barloom.plans.evaluation import scored
+from barloom.plans import labels as lp
+from barloom.plans import shapes as sh
 from barloom.plans.registry import REGISTRY, query
 from barloom.plans.shapes import with_
 from barloom.sources.staging import stage, staging_root
@@ -40,9 +41,11 @@ def _groups() -> dict[str, list[str]]:
 
 def _rows(spark, sf):
     """All columns of the feature matrix with the target; folds are quarters, as the longest window leaves two years."""
-    fold = (F.year("date") - 1994) * 4 + F.quarter("date")
-    labels = scored(spark, sf).select("symbol", "date", "y", fold.alias("fold"))
-    return stage(REGISTRY["full_feature_matrix"].plan(spark, sf).join(labels, ["symbol", "date"]), "selection-rows")
+    labels = lp.predictions(spark, sf).select("symbol", "date", "y")
+    panel = sh.sector_bars(spark, sf)
+    # the target joins the narrow bars, so that the wide rows of the matrix meet no join of their size
+    matrix = ft.feature_matrix(panel.join(labels, ["symbol", "date"], "left"), sh.benchmark(spark, sf), carry=["y"])
+    return matrix.where("y IS NOT NULL").withColumn("fold", (F.year("date") - 1994) * 4 + F.quarter("date"))
 
 
 _SQL_ROWS = f"(SELECT * FROM ({REGISTRY['full_feature_matrix'].sql}) m JOIN ({with_('pp', 'SELECT symbol, date, y, (yr - 1994) * 4 + quarter(date) AS fold FROM pp')}) l USING (symbol, date))"
@@ -74,7 +77,7 @@ def feature_selection_steps(spark, sf):
 
 def _two_stages(spark, sf):
     """Candidates of the first stage with both out-of-fold scores and their mean percentile."""
-    rows = _rows(spark, sf)
+    rows = stage(_rows(spark, sf), "selection-rows")
     folds, _, chosen = _selected(rows)
     first = folds.score(rows, chosen, "stage1").where("stage1 IS NOT NULL")
     first = stage(with_percentiles(first, ["date"], {"percentile1": "stage1"}), "stage-one")
@@ -112,7 +115,6 @@ def logged_trials(spark, sf):
     """Parameter sets of every walk-forward fold, logged in overlapping batches: each stands in the log once."""
     from barloom.functions.frames import with_row
     from barloom.operators import backtest as bt
-    from barloom.plans import shapes as sh
 
     folds = bt.walk_forward_folds(sh.benchmark(spark, sf), 2, 6, 20).select("fold", "test_start", "embargo_end")
     grid = F.explode(F.array(*[F.struct(F.lit(k).alias("top_n"), F.lit(s).alias("stop_loss")) for k, s in GRID]))
