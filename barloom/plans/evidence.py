@@ -32,10 +32,14 @@ def shared_holder_links(spark, sf):
     """Companies (suppliers) linked by common holders (parts); a holding is the share of the part's quantity."""
     q = read(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("v"))
     total = q.groupBy("l_partkey").agg(F.sum("v").alias("total"))
-    name = lambda letter, key: F.format_string(f"{letter}%012d", C(key).cast("bigint"))
-    held = q.join(total, "l_partkey").select(
-        name("P", "l_partkey").alias("holder"), name("S", "l_suppkey").alias("company"), (100 * C("v") / C("total")).alias("percent"))
-    return ev.holder_links(held, HUB)
+    unknown = F.lit(-(2**63))  # stands for a null key and sorts first, as its name does
+    key = lambda c: F.coalesce(C(c).cast("bigint"), unknown)
+    held = q.withColumns({"holder": key("l_partkey"), "company": key("l_suppkey")})
+    held = held.join(total, "l_partkey").select(
+        "holder", "company", (100 * C("v") / C("total")).alias("percent"))
+    name = lambda letter, c: F.format_string(f"{letter}%012d", F.nullif(C(c), unknown))
+    links = ev.holder_links(held, HUB)  # on numbers; named when the pairs are counted
+    return links.withColumns({"source": F.when(C("relation") == "hub", name("P", "source")).otherwise(name("S", "source")), "target": name("S", "target")})
 
 
 ANNUAL = ("borrowings", "equity_capital", "reserves", "operating_cashflow", "free_cashflow")

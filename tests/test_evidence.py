@@ -118,3 +118,19 @@ def test_shapes_equal_pandas(spark, panel):
             rim, low, rim2, near = w.high[:30].max(), w.close[20:75].min(), w.high[60:90].max(), w.close[-12:].min()
             cups.append(bool(-0.35 <= low / rim - 1 <= -0.1 and rim2 >= 0.92 * rim and -0.12 <= near / rim2 - 1 <= -0.02 and w.close.iloc[-1] >= 0.95 * rim2))
         assert list(mine.cup_with_handle) == cups
+
+
+def test_pairs_of_a_holder_come_without_a_join(spark):
+    """The holdings are read once: the only join is that of the degrees; pairs are ordered and counted once."""
+    rows = [(h, c, 10.0 * c + h) for h in range(6) for c in range(h + 1)]
+    links = ev.holder_links(spark.createDataFrame(rows, "holder long, company long, percent double"), hub=4)
+    plan = links.where("relation = 'common'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    got = {(r.source, r.target): (r.holders, round(r.weight, 9), r.overlap) for r in links.where("relation = 'common'").collect()}
+    want = {}
+    for h in range(1, 4):
+        for a in range(h + 1):
+            for b in range(a + 1, h + 1):
+                n, w, o = want.get((a, b), (0, 0.0, 0.0))
+                want[a, b] = (n + 1, round(w + 1 / h, 9), o + 10.0 * a + h)
+    assert got == want
