@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from barloom.functions.rolling import Series, flag, ratio
 
@@ -515,7 +516,11 @@ def feature_matrix(panel: DataFrame, bench: DataFrame, variant: str = "advanced"
     if variant not in VARIANTS:
         raise ValueError(f"unknown feature variant {variant!r}")
     keep = VARIANTS[variant]
-    df = technical_features(with_recursive(panel), bench)
+    made = [f.split(" ")[0] for f in RECURSIVE_SCHEMA.split(", ")][2:]
+    # a date that a symbol has twice meets all of its recursive rows, as in a join on both keys
+    same = F.collect_list(F.struct(*made)).over(Window.partitionBy("symbol", "date"))
+    df = technical_features(with_recursive(panel)).withColumn("_same", same).drop(*made)
+    df = add_benchmark(df, bench).withColumn("_same", F.explode("_same")).select("*", "_same.*").drop("_same")
     if variant != "baseline":
         df = add_sector_relative(df, sector_series_features(equal_weight_sectors(panel)))
     if variant in ("sector_regime", "advanced"):

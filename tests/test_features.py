@@ -51,3 +51,52 @@ def test_rolling_needs_a_full_frame(spark):
     d = spark.createDataFrame([("A", i, float(i)) for i in range(5)], "symbol string, date int, close double")
     rows = d.withColumn("m", ft.S.mean("close", 3)).orderBy("date").collect()
     assert [r["m"] for r in rows] == [None, None, 1.0, 2.0, 3.0]
+
+
+def test_pair_windows_equal_plain_frames(spark, panel):
+    """Slopes and correlations are those of pandas, across batches and series; a flat series has none; no window frames."""
+    df = panel.copy()
+    df.loc[(df.symbol == "S1") & (df.index % 97 == 0), "close"] = None
+    df.loc[df.symbol == "S5", "close"] = 50.0
+    bench = panel.groupby("date", as_index=False).close.mean()
+    rows = spark.createDataFrame(df.astype({"close": object}).where(df.notna(), None), "symbol string, date date, open double, high double, low double, close double, volume double, sector string")
+    made = ft.add_benchmark(ft.add_returns(rows), spark.createDataFrame(bench))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "covar_samp" not in plan and "corr(" not in plan
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        got = made.toPandas().sort_values(["symbol", "date"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    x = df.sort_values(["symbol", "date"]).merge(bench.rename(columns={"close": "b"}), on="date").sort_values(["symbol", "date"])
+    x["r"] = x.groupby("symbol").close.pct_change(fill_method=None)
+    x["br"] = x.groupby("symbol").b.pct_change(fill_method=None)
+    for n in (60, 120, 252):
+        want = np.concatenate([(g.r.rolling(n).cov(g.br) / g.br.rolling(n).var()).to_numpy() for _, g in x.groupby("symbol")])
+        flat = np.repeat([s == "S5" for s in sorted(df.symbol.unique())], 300)
+        beta = got[f"beta_{n}d"].to_numpy(float)
+        assert np.allclose(beta[~flat], want[~flat], atol=1e-9, equal_nan=True)
+        assert np.nanmax(np.abs(beta[flat])) == 0
+    for n in (20, 60, 120):
+        want = np.concatenate([g.r.rolling(n).corr(g.br).to_numpy() for _, g in x.groupby("symbol")])
+        corr = got[f"corr_bench_{n}d"].to_numpy(float)
+        assert np.allclose(corr[~flat], want[~flat], atol=1e-9, equal_nan=True)
+        assert np.isnan(corr[flat]).all()
+
+
+def test_matrix_shuffles_no_wide_rows(spark, panel):
+    """Wide rows meet only broadcast tables; a repeated key meets all recursive rows of its date, as in a join."""
+    bars = spark.createDataFrame(panel)
+    bench = _bench(bars)
+    single = ft.feature_matrix(bars, bench)
+    plan = single._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+    wide = [line for line in single._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in line]
+    assert not wide
+    n = single.count()
+    assert n > 0
+    twice = bars.unionByName(bars.where("symbol = 'S2'"))
+    got = {r.symbol: r["count"] for r in ft.feature_matrix(twice, bench).groupBy("symbol").count().collect()}
+    one = {r.symbol: r["count"] for r in single.groupBy("symbol").count().collect()}
+    assert got["S1"] == one["S1"]
+    assert got["S2"] % 4 == 0 and got["S2"] > one["S2"]
