@@ -448,8 +448,8 @@ def with_recursive(panel: DataFrame) -> DataFrame:
     made = [f.split(" ")[0] for f in RECURSIVE_SCHEMA.split(", ")][2:]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        return pdf.assign(**{c: v.where(pdf["date"].notna()) for c, v in _recursive_group(pdf)[made].items()})
+        values = _recursive_group(pdf)[made]
+        return pd.concat([pdf, values.where(pdf["date"].notna(), axis=0) if pdf["date"].isna().any() else values], axis=1)
 
     schema = ", ".join([*[f"{c} {t}" for c, t in types.items()], *[f"{c} double" for c in made]])
     out = panel.groupBy("symbol").applyInPandas(run, schema)
