@@ -95,3 +95,35 @@ class Series:
 
     def position(self) -> Column:
         return F.row_number().over(self.w)
+
+
+class Tail:
+    """Aggregates over the rows before one row of a series, with the warm-up rule of :class:`Series`.
+
+    ``back`` counts the rows from the row that is asked for (0: that row). Where only one row of a series is wanted, one
+    grouped pass over its past takes the place of frames that slide over every row.
+    """
+
+    def __init__(self, back: Column | str = "_back_rows"):
+        self.back = col(back)
+
+    def at(self, c: Column | str, n: int = 0) -> Column:
+        """The value ``n`` rows back."""
+        return F.first(F.when(self.back == n, col(c)), ignorenulls=True)
+
+    def inside(self, c: Column | str, n: int, end: int = 0) -> Column:
+        """The value in the ``n`` rows ending ``-end`` rows back, NULL outside."""
+        return F.when(self.back.between(-end, n - end - 1), col(c))
+
+    def roll(self, fn: Callable[[Column], Column], c: Column | str, *, n: int, end: int = 0) -> Column:
+        x = self.inside(c, n, end)
+        return F.when(F.count(x) >= n, fn(x))
+
+    def mean(self, c, n, **kw) -> Column:
+        return self.roll(F.avg, c, n=n, **kw)
+
+    def max(self, c, n, **kw) -> Column:
+        return self.roll(F.max, c, n=n, **kw)
+
+    def min(self, c, n, **kw) -> Column:
+        return self.roll(F.min, c, n=n, **kw)

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.frames import with_row
-from barloom.functions.rolling import Series, ratio
+from barloom.functions.rolling import Series, Tail, ratio
 from barloom.sources.staging import stage
 from barloom.operators.order_stats import quantiles, with_ranks
 
 C = F.col
 S = Series("symbol", "date")
+#: Benchmark sessions before the as-of date that a snapshot compares.
+BACK = (0, 5, 20)
 
 
 @dataclass(frozen=True)
@@ -56,37 +58,33 @@ def _stage() -> Column:
     )
 
 
-def strength_records(bars: DataFrame, bench: DataFrame, cfg: StrengthConfig) -> DataFrame:
-    """One strength record per (symbol, date) with enough history, before ranking.
+def strength_records(bars: DataFrame, bench: DataFrame, cfg: StrengthConfig, picks: DataFrame) -> DataFrame:
+    """One strength record per symbol and date of ``picks`` (date, _back: 0, 5, 20), with enough history, before ranking.
 
-    The frames bound the work per row; the whole history enters them.
+    The record of a row is aggregated from the rows before it, so the work per symbol is three passes over its bars.
     """
+    t, whole = Tail(), Window.partitionBy("symbol")
     df = bars.withColumn("history", S.position())
     df = df.join(bench.select("date", C("close").alias("_b")), "date", "left")
-    df = df.withColumns({"_chg": S.diff("close"), "_ratio": ratio("close", "_b")})
-    df = df.withColumns(
-        {
-            "ret_1d": S.change("close"),
-            "ret_1m": S.change("close", 21),
-            **{f"ret_{n}": S.change("close", n) for n in cfg.return_rows},
-            **{f"sma{n}": S.mean("close", n) for n in (20, 50, 150, 200)},
-            "pivot": S.max("high", 20, end=-1),
-            "high52": S.max("high", 252),
-            "low52": S.min("low", 252),
-            "volume_ratio": ratio("volume", S.mean("volume", 20)),
-            "_dv": F.when(C("_chg") < 0, C("volume")),
-            "traded_value_20": S.mean(C("close") * C("volume"), 20),
-            "_rs_prior": F.max("_ratio").over(S.w.rowsBetween(-252, -1)),
-            "_rs_n": F.count("_ratio").over(S.w.rowsBetween(-252, 0)),
-        }
+    df = df.withColumns({"_chg": S.diff("close"), "_ratio": ratio("close", "_b"), "_place": S.position()})
+    df = with_row(df, picks.agg(*[F.max(F.when(C("_back") == k, C("date"))).alias(f"_d{k}") for k in BACK]))
+    rows = [F.max(F.when(C("date") == C(f"_d{k}"), C("_place"))).over(whole) - C("_place") for k in BACK]
+    df = df.withColumn("_o", F.array(*[F.struct(F.lit(k).alias("k"), r.alias("r")) for k, r in zip(BACK, rows, strict=True)]))
+    df = df.drop(*[f"_d{k}" for k in BACK]).withColumn("_o", F.explode("_o")).where(C("_o.r").between(0, 252))
+    df = df.withColumns({"_back": C("_o.k"), "_back_rows": C("_o.r"), "_dv": F.when(C("_chg") < 0, C("volume"))})
+    df = df.groupBy("symbol", "_back").agg(
+        *[t.at(c).alias(c) for c in bars.columns if c != "symbol"], t.at("history").alias("history"), t.at("_ratio").alias("_ratio"),
+        *[t.at("close", n).alias(f"_lag{n}") for n in dict.fromkeys((1, 21, *cfg.return_rows))],
+        *[t.mean("close", n).alias(f"sma{n}") for n in (20, 50, 150, 200)], t.mean("close", 200, end=-20).alias("sma200_prior"),
+        t.max("high", 20, end=-1).alias("pivot"), t.max("high", 252).alias("high52"), t.min("low", 252).alias("low52"),
+        t.mean("volume", 20).alias("_v20"), t.mean(C("close") * C("volume"), 20).alias("traded_value_20"),
+        F.max(t.inside("_ratio", 252, -1)).alias("_rs_prior"), F.count(t.inside("_ratio", 253)).alias("_rs_n"),
+        F.max(t.inside("_dv", 10, -1)).alias("_max_dv"), F.count(t.inside("_dv", 10, -1)).alias("_n_dv"),
     )
+    change = lambda n: ratio("close", f"_lag{n}") - 1.0
     df = df.withColumns(
-        {
-            "sma200_prior": S.lag("sma200", 20),
-            "_ten": F.count(F.lit(1)).over(S.frame(10, -1)),
-            "_max_dv": F.max("_dv").over(S.frame(10, -1)),
-            "_n_dv": F.count("_dv").over(S.frame(10, -1)),
-        }
+        {"ret_1d": change(1), "ret_1m": change(21), **{f"ret_{n}": change(n) for n in cfg.return_rows},
+         "volume_ratio": ratio("volume", "_v20")}
     )
     close, p200 = C("close"), C("sma200_prior")
     rising = F.coalesce(C("sma200") > p200, F.lit(False))
@@ -135,8 +133,8 @@ def strength_records(bars: DataFrame, bench: DataFrame, cfg: StrengthConfig) ->
         }
     )
     keep = (C("history") >= cfg.minimum_history) & C("rs_composite").isNotNull()
-    return df.where(keep).drop("_n", "_b", "_chg", "_ratio", "_dv", "_ten", "_max_dv", "_n_dv",
-                               "_rs_prior", "_rs_n")
+    return df.where(keep).drop("_ratio", "_max_dv", "_n_dv", "_v20", "_rs_prior", "_rs_n",
+                               *[c for c in df.columns if c.startswith("_lag")])
 
 
 def rate(records: DataFrame) -> DataFrame:
@@ -151,19 +149,21 @@ def rate(records: DataFrame) -> DataFrame:
 def strength_snapshot(
     bars: DataFrame, bench: DataFrame, universe: DataFrame, cfg: StrengthConfig | None = None
 ) -> DataFrame:
-    """Ratings at the common as-of date with those of 5 and 20 benchmark sessions before."""
+    """Ratings at the common as-of date with those of 5 and 20 benchmark sessions before.
+
+    ``bars`` and ``bench`` are read several times: give stored tables.
+    """
     cfg = cfg or StrengthConfig()
-    bars, bench = stage(bars, "bars"), stage(bench, "bench")
     as_of = common_as_of(bars, bench, cfg)
     one = Window.partitionBy("_k").orderBy(C("date").desc())
     picks = (
         with_row(bench.select("date").distinct(), as_of).withColumn("_k", F.lit(0))
         .where(C("date") <= C("as_of"))
         .withColumn("_back", F.row_number().over(one) - 1)
-        .where(C("_back").isin(0, 5, 20)).select("date", "_back")
+        .where(C("_back").isin(*BACK)).select("date", "_back")
     )
     # three dates of records: ranked and read by two branches, so each step is written once
-    records = strength_records(bars, bench, cfg).drop("_n").join(stage(picks, "as-of"), "date")
+    records = strength_records(bars, bench, cfg, stage(picks, "as-of"))
     rated = stage(rate(stage(records, "strength")), "rated")
     now = rated.where(C("_back") == 0).drop("_back")
     prior = rated.where(C("_back") > 0).groupBy("symbol").agg(

@@ -129,4 +129,5 @@ def fundamental_snapshot_gaps(spark, sf):
     ),
 )
 def web_pattern_flags(spark, sf):
-    return ev.pattern_flags(sh.bars(spark, sf), rp.snapshot(spark, sf))
+    stored = sh.stored_bars(spark, sf)
+    return ev.pattern_flags(stored[0], rp.snapshot(spark, sf, stored))

@@ -278,8 +278,9 @@ define_cte(
 )
 
 
-def snapshot(spark, sf):
-    return st.strength_snapshot(sh.bars(spark, sf), sh.benchmark(spark, sf), sh.universe(spark, sf))
+def snapshot(spark, sf, stored=None):
+    bars, bench = stored or sh.stored_bars(spark, sf)
+    return st.strength_snapshot(bars, bench, sh.universe(spark, sf))
 
 
 @query(
@@ -348,7 +349,8 @@ def breakout_candidates(spark, sf):
     ),
 )
 def snapshot_breadth_and_regime(spark, sf):
-    return st.participation_regime(sh.benchmark(spark, sf), stage(snapshot(spark, sf), "snapshot"))
+    stored = sh.stored_bars(spark, sf)
+    return st.participation_regime(stored[1], stage(snapshot(spark, sf, stored), "snapshot"))
 
 
 @query(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.sources.staging import stage
 from barloom.sources.tables import read
 
 
@@ -51,8 +52,13 @@ def bars(spark: SparkSession, sf: str, freq: str = "week") -> DataFrame:
 
 
 def benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    """Equal-weight index: average OHLC of all bars of a session, one row per date."""
-    return bars(spark, sf).groupBy("date").agg(
+    """Equal-weight index of all bars."""
+    return index_of(bars(spark, sf))
+
+
+def index_of(panel: DataFrame) -> DataFrame:
+    """Equal-weight index: average OHLC of the bars of a session, one row per date."""
+    return panel.groupBy("date").agg(
         F.avg("open").alias("open"),
         F.avg("high").alias("high"),
         F.avg("low").alias("low"),
@@ -61,6 +67,12 @@ def benchmark(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_bars(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Bars and their index, each written once, for plans that read them several times."""
+    panel = stage(bars(spark, sf), "bars")
+    return panel, stage(index_of(panel), "bench")
+
+
 def universe(spark: SparkSession, sf: str) -> DataFrame:
     s = read(spark, sf, "supplier")
     n = read(spark, sf, "nation")
@@ -78,11 +90,11 @@ def universe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def sector_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """Bars with sector and region; a missing dimension row becomes Unknown."""
+def sector_bars(spark: SparkSession, sf: str, panel: DataFrame | None = None) -> DataFrame:
+    """Bars (or ``panel``) with sector and region; a missing dimension row becomes Unknown."""
     u = universe(spark, sf).select("symbol", "sector", "region")
     return (
-        bars(spark, sf)
+        (bars(spark, sf) if panel is None else panel)
         .join(u, "symbol", "left")
         .fillna({"sector": "Unknown", "region": "Unknown"})
     )
