@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.rolling import Series, flag, ratio
+from barloom.functions.rolling import Series, Tail, flag, ratio
 from barloom.sources.staging import stage
 
 C = F.col
@@ -240,7 +240,7 @@ def zigzag_points(bars: Column, share: float = 0.03) -> Column:
             F.when(moved, a["i"]).otherwise(a["at"]).alias("at"),
             F.when(moved, x).otherwise(top).alias("top"),
             F.when(turns, F.concat(a["points"], _point(a["at"], side, top))).otherwise(a["points"]).alias("points"),
-        ).cast(state)
+        )  # of the type of the start: a cast would copy all points at every bar
 
     def end(a):
         return F.when(a["side"] != 0, F.concat(a["points"], _point(a["at"], a["side"], a["top"]))).otherwise(a["points"])
@@ -267,15 +267,20 @@ def local_extrema(closes: Column, radius: int = 2) -> Column:
     A plateau counts as a high; the closes within ``radius`` of an end have no full neighbourhood. Fewer than 20 closes
     have no extremes.
     """
-    n = F.size(closes)
-    places = F.when(n >= 20, F.sequence(F.lit(radius), n - 1 - radius)).otherwise(F.array().cast("array<int>"))
 
-    def point(i):
-        near, x = F.slice(closes, i - radius + 1, F.lit(2 * radius + 1)), F.element_at(closes, i + 1)
-        kind = F.when(x == F.array_max(near), "high").when(x == F.array_min(near), "low")
-        return F.struct(i.alias("at"), kind.alias("kind"), x.alias("price")).cast(_POINT)
+    def points(known: Column) -> Column:
+        n = F.size(known)
+        places = F.when(n >= 20, F.sequence(F.lit(radius), n - 1 - radius)).otherwise(F.array().cast("array<int>"))
 
-    return dedupe_swings(F.filter(F.transform(places, point), lambda p: p["kind"].isNotNull()))
+        def point(i):
+            near, x = F.slice(known, i - radius + 1, F.lit(2 * radius + 1)), F.element_at(known, i + 1)
+            kind = F.when(x == F.array_max(near), "high").when(x == F.array_min(near), "low")
+            return F.struct(i.alias("at"), kind.alias("kind"), x.alias("price")).cast(_POINT)
+
+        return F.filter(F.transform(places, point), lambda p: p["kind"].isNotNull())
+
+    # as the variable of a lambda the closes are made once, not again at every place
+    return dedupe_swings(F.flatten(F.transform(F.array(closes), points)))
 
 
 def zigzag_swings(panel: DataFrame, lookback: int = 120) -> DataFrame:
@@ -369,32 +374,31 @@ def vcp_scan(panel: DataFrame, bench: DataFrame) -> DataFrame:
 
     df = panel.join(bench.select("date", C("close").alias("_b")), "date", "left")
     df = add_atr(df, S, (14,)).withColumns(
-        {f"_s{n}": S.mean("close", n) for n in (50, 150, 200)}
-        | {"_mid": S.mean("close", 20), "_sd": S.std("close", 20), "_r": S.change("close"),
-           "_v20": S.mean("volume", 20), "_v5": S.mean("volume", 5), "history": S.position(),
-           "_high52": F.max("high").over(S.frame(252)), "_diff": S.diff("close")})
+        {"_mid": S.mean("close", 20), "_sd": S.std("close", 20), "_r": S.change("close"), "_v20": S.mean("volume", 20),
+         "history": S.position(), "_diff": S.diff("close"), "_rows": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
     df = df.withColumns(
         {
-            "_atrp": ratio("atr_14", "close") * 100, "_bbw": ratio(4 * C("_sd"), "_mid") * 100,
-            "_s200p": S.lag("_s200", 20), "_ratio": ratio("close", "_b"),
-            "_dist": flag((C("_r") < -0.02) & (C("volume") > C("_v20") * 1.5)),
+            "_atrp": ratio("atr_14", "close") * 100, "_bbw": ratio(4 * C("_sd"), "_mid") * 100, "_ratio": ratio("close", "_b"),
+            "_dist": flag((C("_r") < -0.02) & (C("volume") > C("_v20") * 1.5)), "_back_rows": C("_rows") - C("history"),
         }
     )
-    df = df.withColumns(
-        {
-            "_a1": S.mean("_atrp", 15), "_a0": S.roll(F.avg, "_atrp", n=15, end=-45),
-            "_w1": S.mean("_bbw", 15), "_w0": S.roll(F.avg, "_bbw", n=15, end=-45),
-            "_rng": ratio(S.max("high", 10) - S.min("low", 10), "close") * 100,
-            "_up": F.sum(F.when(C("_diff") > 0, C("volume")).otherwise(0.0)).over(S.frame(50)),
-            "_down": F.sum(F.when(C("_diff") < 0, C("volume")).otherwise(0.0)).over(S.frame(50)),
-            "_rs": ratio("close", S.lag("close", 62)) - ratio("_b", S.lag("_b", 62)),
-            "_rsmax": F.max("_ratio").over(S.frame(126)), "_ndist": F.sum("_dist").over(S.frame(10)),
-            "_h20": S.max("high", 20),
-        }
+    # only the last row of a symbol counts: one pass over the rows before it instead of long frames over every row
+    t = Tail()
+    keep = [*[c for c in panel.columns if c not in ("symbol", "open")], "prev_close", "tr", "atr_14", "history", "_b", "_v20", "_ratio"]
+    latest = df.where((C("_rows") >= 220) & (C("_back_rows") < 252)).groupBy("symbol").agg(
+        *[t.at(c).alias(c) for c in keep],
+        *[t.mean("close", n).alias(f"_s{n}") for n in (50, 150, 200)], t.mean("close", 200, end=-20).alias("_s200p"),
+        t.mean("volume", 5).alias("_v5"), F.max(t.inside("high", 252)).alias("_high52"),
+        t.mean("_atrp", 15).alias("_a1"), t.mean("_atrp", 15, end=-45).alias("_a0"),
+        t.mean("_bbw", 15).alias("_w1"), t.mean("_bbw", 15, end=-45).alias("_w0"),
+        t.max("high", 10).alias("_h10"), t.min("low", 10).alias("_l10"), t.max("high", 20).alias("_h20"),
+        F.sum(t.inside(F.when(C("_diff") > 0, C("volume")).otherwise(0.0), 50)).alias("_up"),
+        F.sum(t.inside(F.when(C("_diff") < 0, C("volume")).otherwise(0.0), 50)).alias("_down"),
+        t.at("close", 62).alias("_c62"), t.at("_b", 62).alias("_b62"),
+        F.max(t.inside("_ratio", 126)).alias("_rsmax"), F.sum(t.inside("_dist", 10)).alias("_ndist"),
     )
-    keep = [c for c in df.columns if c not in ("symbol", "open")]
-    latest = df.groupBy("symbol").agg(F.max(F.struct("date", *[c for c in keep if c != "date"])).alias("_x")).select(
-        "symbol", "_x.*").where(C("history") >= 220)
+    latest = latest.withColumns({
+        "_rng": ratio(C("_h10") - C("_l10"), "close") * 100, "_rs": ratio("close", "_c62") - ratio("_b", "_b62")})
     # the folds run once: written before later filters copy them
     sw = stage(zigzag_swings(panel).select("symbol", "swings", "extrema"), "swings")
     j = latest.join(sw, "symbol")

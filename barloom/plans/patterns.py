@@ -130,12 +130,12 @@ def zigzag_contractions(spark, sf):
     covers="PAT-8 PAT-11 TOP-5 WIN-37",
 )
 def vcp_scan(spark, sf):
-    return pt.vcp_scan(sh.bars(spark, sf), sh.benchmark(spark, sf)).orderBy(C("action_score").desc(), "symbol")
+    return pt.vcp_scan(*sh.stored_bars(spark, sf)).orderBy(C("action_score").desc(), "symbol")
 
 
 @query("symbol:s vcp_score institutional_component", covers="PAT-12 RUL-26")
 def vcp_with_shareholding(spark, sf):
-    scan = pt.vcp_scan(sh.bars(spark, sf), sh.benchmark(spark, sf))
+    scan = pt.vcp_scan(*sh.stored_bars(spark, sf))
     held = sh.universe(spark, sf).where(C("balance") > 0).select(
         "symbol", F.least(C("balance") / 100.0, F.lit(100.0)).alias("institutional_component"))
     return pt.vcp_adjusted(scan, held)
