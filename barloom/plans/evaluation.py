@@ -32,7 +32,8 @@ define_cte(
 def scored(spark, sf):
     """Predictions with same-date percentiles pa, pb, a probability and a yearly fold."""
     keep = ["symbol", "date", "sector", "yr", "score", "score_b", "y", "label", "excess_return", "future_stock_return"]
-    df = with_percentiles(lp.predictions(spark, sf).select(*keep), ["date"], {"pa": "score", "pb": "score_b"})
+    rows = stage(lp.predictions(spark, sf).select(*keep), "predictions")  # read by both ladders and the joins
+    df = with_percentiles(rows, ["date"], {"pa": "score", "pb": "score_b"})
     df = df.withColumns({"p": 1 / (1 + F.exp(-3 * C("score"))), "fold": C("yr") - 1994})
     return stage(df, "scored")
 

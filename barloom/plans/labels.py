@@ -56,19 +56,21 @@ define_cte(
 
 
 def labelled(spark, sf):
-    return lb.excess_labels(sh.sector_bars(spark, sf), sh.benchmark(spark, sf))
+    panel, bench = sh.stored_bars(spark, sf)
+    return lb.excess_labels(sh.sector_bars(spark, sf, panel), bench)
 
 
 def predictions(spark, sf):
     """Labelled rows with two deterministic scores: 26-4 week momentum and 3-week reversal."""
     s = lb.S
-    panel = sh.sector_bars(spark, sf).withColumns(
+    panel, bench = sh.stored_bars(spark, sf)
+    panel = sh.sector_bars(spark, sf, panel).withColumns(
         {
             "score": lb.ratio(s.lag("close", 4), s.lag("close", 26)) - 1.0,
             "score_b": -s.change("close", 3),
         }
     )
-    df = lb.excess_labels(panel, sh.benchmark(spark, sf))
+    df = lb.excess_labels(panel, bench)
     return df.where(C("score").isNotNull() & C("score_b").isNotNull()).withColumns(
         {"y": (C("label") == 1).cast("int"), "yr": F.year("date")}
     )
