@@ -357,59 +357,99 @@ def market_regime_features(bench: DataFrame, breadth: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of whole symbols that a task treats at once (a bound on its memory).
+RECURSIVE_ROWS = 50_000
 RECURSIVE_SCHEMA = (
     "symbol string, date date, ema_10 double, ema_20 double, ema_50 double, ema_200 double, "
     "macd double, macd_signal double, rsi_wilder_14 double, atr_wilder_14 double, adx_wilder_14 double"
 )
 
 
+def _smooth(x: np.ndarray, alpha: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Recursive means of the columns of ``x``, as ``ewm(alpha, adjust=False, min_periods=need).mean()`` gives them."""
+    out = np.empty_like(x)
+    mean, old, seen = np.full(x.shape[1], np.nan), np.ones(x.shape[1]), np.zeros(x.shape[1], np.int64)
+    for i, now in enumerate(x):
+        known, started = now == now, mean == mean
+        seen += known
+        old = np.where(started, old * (1 - alpha), old)  # a gap keeps the mean and loses weight
+        mixed = np.where(mean == now, mean, (old * mean + alpha * now) / (old + alpha))
+        mean = np.where(known, np.where(started, mixed, now), mean)
+        old = np.where(known, 1.0, old)
+        out[i] = np.where(seen >= need, mean, np.nan)
+    return out
+
+
+def _recursive_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Recursive averages of several symbols, whose rows stand together by date: one column per symbol and average."""
+    codes, names = pd.factorize(pdf["symbol"], use_na_sentinel=False)
+    place = pdf.groupby(codes).cumcount().to_numpy()
+    shape = (int(place.max(initial=-1)) + 1, len(names))
+    grid = {}
+    for c in ("close", "high", "low"):
+        grid[c] = np.full(shape, np.nan)
+        grid[c][place, codes] = pdf[c].to_numpy(float)
+    close, high, low = grid.values()
+
+    def before(x: np.ndarray) -> np.ndarray:
+        return np.vstack([np.full((1, shape[1]), np.nan), x[:-1]])[: shape[0]]
+
+    def smooth(series: dict[str, tuple[np.ndarray, float, int]]) -> dict[str, np.ndarray]:
+        x, alpha, need = zip(*series.values(), strict=True)
+        wide = _smooth(np.hstack(x), np.repeat(alpha, shape[1]), np.repeat(np.maximum(need, 1), shape[1]))
+        return dict(zip(series, np.hsplit(wide, len(series)), strict=True))
+
+    known = lambda x: np.where(x != 0, x, np.nan)
+    span = lambda n: 2 / (n + 1)
+    with np.errstate(all="ignore"):
+        prev = before(close)
+        move, up, down = close - prev, high - before(high), before(low) - low
+        tr = np.fmax(np.fmax(high - low, np.abs(high - prev)), np.abs(low - prev))
+        wilder = {"gain": np.clip(move, 0, None), "loss": -np.clip(move, None, 0), "tr": tr,
+                  "up": np.where((up > down) & (up > 0), up, 0.0), "down": np.where((down > up) & (down > 0), down, 0.0)}
+        m = smooth({f"ema_{n}": (close, span(n), 0) for n in (10, 12, 20, 26, 50, 200)} | {k: (v, 1 / 14, 14) for k, v in wilder.items()})
+        rsi = np.where((m["loss"] == 0) & (m["gain"] > 0), 100.0, 100 - 100 / (1 + m["gain"] / known(m["loss"])))
+        pdi, mdi = 100 * m["up"] / known(m["tr"]), 100 * m["down"] / known(m["tr"])
+        macd = m["ema_12"] - m["ema_26"]
+        late = smooth({"macd_signal": (macd, span(9), 0), "adx_wilder_14": (100 * np.abs(pdi - mdi) / known(pdi + mdi), 1 / 14, 14)})
+    made = {k: m[k] for k in ("ema_10", "ema_20", "ema_50", "ema_200")} | {
+        "macd": macd, "macd_signal": late["macd_signal"], "rsi_wilder_14": rsi, "atr_wilder_14": m["tr"], "adx_wilder_14": late["adx_wilder_14"]}
+    out = {k: v[place, codes] for k, v in made.items()}
+    return pd.DataFrame({"symbol": pdf["symbol"], "date": pdf["date"]} | out, index=pdf.index)
+
+
 def _recursive_group(pdf: pd.DataFrame) -> pd.DataFrame:
     """Recursive averages of one symbol (rows bounded by the calendar)."""
-    pdf = pdf.sort_values("date")
-    close, high, low = pdf["close"], pdf["high"], pdf["low"]
-
-    def smooth(x: pd.Series, need: int = 0, **kw) -> pd.Series:
-        return x.ewm(adjust=False, min_periods=need, **kw).mean()
-
-    def wilder(x: pd.Series) -> pd.Series:
-        return smooth(x, 14, alpha=1 / 14)
-
-    move = close.diff()
-    gain, loss = wilder(move.clip(lower=0)), wilder(-move.clip(upper=0))
-    rsi = 100 - 100 / (1 + gain / loss.where(loss != 0))
-    rsi = rsi.mask((loss == 0) & (gain > 0), 100.0)
-    prev = close.shift(1)
-    tr = pd.concat([high - low, (high - prev).abs(), (low - prev).abs()], axis=1).max(axis=1)
-    atr = wilder(tr)
-    up, down = high.diff(), -low.diff()
-    pdi = 100 * wilder(up.where((up > down) & (up > 0), 0.0)) / atr.where(atr != 0)
-    mdi = 100 * wilder(down.where((down > up) & (down > 0), 0.0)) / atr.where(atr != 0)
-    total = pdi + mdi
-    dx = 100 * (pdi - mdi).abs() / total.where(total != 0)
-    macd = smooth(close, span=12) - smooth(close, span=26)
-    return pd.DataFrame(
-        {
-            "symbol": pdf["symbol"],
-            "date": pdf["date"],
-            "ema_10": smooth(close, span=10),
-            "ema_20": smooth(close, span=20),
-            "ema_50": smooth(close, span=50),
-            "ema_200": smooth(close, span=200),
-            "macd": macd,
-            "macd_signal": smooth(macd, span=9),
-            "rsi_wilder_14": rsi,
-            "atr_wilder_14": atr,
-            "adx_wilder_14": wilder(dx),
-        }
-    )
+    return _recursive_block(pdf.sort_values("date"))
+
+
+def _recursive_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Recursive averages of rows sorted by symbol and date, some ``RECURSIVE_ROWS`` at a time; no symbol is cut."""
+    held: list[pd.DataFrame] = []
+    for pdf in frames:
+        held.append(pdf)
+        if sum(map(len, held)) < RECURSIVE_ROWS:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        codes, names = pd.factorize(rows["symbol"], use_na_sentinel=False)
+        cut = int((codes < len(names) - 1).sum())  # the last symbol may go on
+        if cut:
+            yield _recursive_block(rows.iloc[:cut])
+        held = [rows.iloc[cut:]]
+    if held:
+        yield _recursive_block(pd.concat(held, ignore_index=True))
 
 
 def recursive_features(panel: DataFrame) -> DataFrame:
-    """EMA, MACD and the Wilder RSI / ATR / ADX, all from one grouped pass per symbol."""
+    """EMA, MACD and the Wilder RSI / ATR / ADX, all from one sorted pass over the symbols.
+
+    Rows are sorted by symbol and date (no date: last) and go on many symbols at a time, so a symbol costs no call of its own.
+    """
     out = (
         panel.select("symbol", "date", "high", "low", "close")
-        .groupBy("symbol")
-        .applyInPandas(_recursive_group, RECURSIVE_SCHEMA)
+        .repartition("symbol")
+        .sortWithinPartitions("symbol", C("date").asc_nulls_last())
+        .mapInPandas(_recursive_rows, RECURSIVE_SCHEMA)
     )
     doubles = [f.name for f in T._parse_datatype_string(RECURSIVE_SCHEMA) if f.name not in ("symbol", "date")]
     return out.withColumns({c: F.nanvl(C(c), F.lit(None).cast("double")) for c in doubles})

@@ -199,12 +199,12 @@ def technical_setups(spark, sf):
 
 @query("symbol:s date:d right:s score:i underlying_stop:f4 underlying_target:f4 watch_reason:s ema20_direction:s", covers="RUL-11 RUL-13 WIN-57 SCA-16")
 def option_directions(spark, sf):
-    return ru.option_direction(ru.indicator_snapshot(sh.bars(spark, sf), sh.benchmark(spark, sf)))
+    return ru.option_direction(ru.indicator_snapshot(*sh.stored_bars(spark, sf)))
 
 
 @query("symbol:s expiry:d strike:f4 right:s reward_risk:f4 lots:i", covers="RUL-12 TOP-9 SCA-15")
 def best_option_contracts(spark, sf):
-    d = ru.option_direction(ru.indicator_snapshot(sh.bars(spark, sf), sh.benchmark(spark, sf)))
+    d = ru.option_direction(ru.indicator_snapshot(*sh.stored_bars(spark, sf)))
     last = d.groupBy("symbol").agg(F.max(F.struct("date", "close", "underlying_stop", "underlying_target", "right")).alias("x")).select("symbol", "x.*")
     li = read(spark, sf, "lineitem")
     k = C("l_orderkey")
