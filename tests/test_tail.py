@@ -86,3 +86,22 @@ def test_recursive_group_keeps_rows_with_gaps(panel):
     want = x["close"].ewm(span=20, adjust=False, min_periods=0).mean()
     pd.testing.assert_series_equal(got.sort_index()["ema_20"], want, check_names=False)
     assert got.sort_index()["atr_wilder_14"].notna().sum() == 300 - 13
+
+
+def test_only_spread_plans_size_their_shuffles(spark):
+    from barloom.session import SPREAD_CONF, tune
+
+    tune(spark, spread=True)
+    assert {k: spark.conf.get(k) for k in SPREAD_CONF} == SPREAD_CONF
+    tune(spark)
+    assert all(spark.conf.get(k, None) != v for k, v in SPREAD_CONF.items())
+
+
+def test_recursive_rows_cut_no_symbol(panel, monkeypatch):
+    monkeypatch.setattr(ft, "RECURSIVE_ROWS", 400)
+    rows = panel.sort_values(["symbol", "date"], ignore_index=True)
+    got = pd.concat(ft._recursive_rows(iter([rows.iloc[i : i + 70] for i in range(0, len(rows), 70)])), ignore_index=True)
+    want = pd.concat([ft._recursive_group(x) for _, x in rows.groupby("symbol")], ignore_index=True)
+    pd.testing.assert_frame_equal(got, want)
+    close = rows[rows["symbol"] == "S4"]["close"]
+    np.testing.assert_allclose(got[got["symbol"] == "S4"]["ema_50"], close.ewm(span=50, adjust=False).mean())
