@@ -88,12 +88,15 @@ def period_variants(period: Column) -> Column:
 
 
 def period_in_text(text: Column) -> Column:
-    """First period date named in a text, month-first or day-first."""
-    month_first = F.try_to_date(
-        F.concat_ws(" ", *[F.regexp_extract(text, MONTH_PATTERN, i) for i in (1, 2, 3)]), "MMMM d yyyy")
-    day_first = F.try_to_date(
-        F.concat_ws(" ", *[F.regexp_extract(text, DAY_FIRST_PATTERN, i) for i in (2, 1, 3)]), "MMMM d yyyy")
-    return F.coalesce(month_first, day_first)
+    """First period date named in a text, month-first or day-first.
+
+    Only a match is parsed: a date parser fails by exceptions, which cost more than the search.
+    """
+    def named(pattern: str, order: tuple[int, ...]) -> Column:
+        parts = F.concat_ws(" ", *[F.regexp_extract(text, pattern, i) for i in order])
+        return F.when(F.regexp_extract(text, pattern, 0) != "", F.try_to_date(parts, "MMMM d yyyy"))
+
+    return F.coalesce(named(MONTH_PATTERN, (1, 2, 3)), named(DAY_FIRST_PATTERN, (2, 1, 3)))
 
 
 RESULT_PATTERN = r"(?i)(financial results?|quarterly results?|quarter ended|year ended)"

@@ -13,6 +13,7 @@ from barloom.functions.frames import with_row
 from barloom.functions.rolling import Series, ratio
 from barloom.operators.asof import as_of, next_session
 from barloom.operators.order_stats import quantiles
+from barloom.sources.staging import stage
 
 C = F.col
 
@@ -137,27 +138,26 @@ def add_latest_annual(events: DataFrame, annual: DataFrame) -> DataFrame:
 def resolve_publications(periods: DataFrame, announcements: DataFrame, sessions: DataFrame) -> DataFrame:
     """Best-scoring announcement 0..90 (annual 0..120) days after each period end.
 
-    ``announcements``: symbol, ts, description, body, confidence, source. The score is
-    computed once per announcement side; the best match is a max of a struct, so a
-    symbol with very many announcements is combined map-side.
+    ``announcements``: symbol, ts, description, body, reference, confidence, source. The texts are scored once, before
+    any shuffle; repeated announcements are removed on the scored rows, and of different ones with one symbol, ts and
+    reference the best counts. The best match is a max of a struct, so a symbol with very many announcements is combined
+    map-side.
     """
-    ann = announcements.dropDuplicates(["symbol", "ts", "reference"]).withColumns(
-        {
-            "ann_date": F.to_date("ts"),
-            "named_period": tx.period_in_text(F.concat_ws(" ", "description", "body")),
-            "base_score": tx.announcement_score(C("description"), C("body")),
-        }
-    )
+    ann = announcements.select(
+        "symbol", "ts", "reference", "confidence", "source", F.to_date("ts").alias("ann_date"),
+        tx.period_in_text(F.concat_ws(" ", "description", "body")).alias("named_period"),
+        tx.announcement_score(C("description"), C("body")).alias("base_score"),
+    ).distinct()
     limit = F.when(C("result_type") == "ANNUAL", 120).otherwise(90)
     days = F.datediff("ann_date", "period_end")
     score = F.when(C("named_period").isNull(), C("base_score") + 10).when(
         C("named_period") == C("period_end"), C("base_score") + 50).otherwise(0)
-    # equi-join on (symbol, month distance) would not cut more: the range is at most four months
-    months = periods.withColumn(
-        "_m", F.explode(F.sequence(F.lit(0), F.lit(4)))
-    ).withColumn("_month", F.date_format(F.add_months(F.trunc("period_end", "MM"), C("_m")), "yyyy-MM"))
-    ann = ann.withColumn("_month", F.date_format("ann_date", "yyyy-MM"))
-    hits = months.join(ann, ["symbol", "_month"]).where((days >= 0) & (days <= limit))
+    # equi-join on (symbol, quarter): the range of a period covers two or three
+    quarter = lambda d: F.year(d) * 4 + F.quarter(d)
+    spans = periods.withColumn(
+        "_quarter", F.explode(F.sequence(quarter("period_end"), quarter(F.date_add("period_end", limit)))))
+    ann = ann.withColumn("_quarter", quarter("ann_date"))
+    hits = spans.join(ann, ["symbol", "_quarter"]).where((days >= 0) & (days <= limit))
     hits = hits.withColumns({"score": score, "days_after": days}).where(C("score") > 0)
     best = hits.groupBy("symbol", "period_end", "result_type").agg(
         F.min(F.struct((-C("score")).alias("neg"), "days_after", "ts", "reference", "confidence", "source")).alias("_b")
@@ -171,7 +171,8 @@ def resolve_publications(periods: DataFrame, announcements: DataFrame, sessions:
         F.coalesce("_b.source", F.lit("MISSING")).alias("source"),
         C("_b.reference").alias("reference"),
     )
-    return next_session(out, sessions, "publication_date", "effective_date")
+    # the calendar reads the dates of the matches and the result their rows: the search is done once
+    return next_session(stage(out, "publications"), sessions, "publication_date", "effective_date")
 
 
 def availability_master(resolved: DataFrame) -> DataFrame:
