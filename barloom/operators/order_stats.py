@@ -19,12 +19,14 @@ from pyspark.sql.window import Window
 from barloom.functions.rolling import col
 
 BUCKETS_PER_EFOLD = 64
+#: For a few groups that hold the whole table each: buckets stay small, and the totals of a group some ten thousand rows.
+WIDE_GROUPS = 1024
 
 
-def order_bucket(value: Column | str) -> Column:
+def order_bucket(value: Column | str, per_efold: int = BUCKETS_PER_EFOLD) -> Column:
     """Monotone bucket number of a double: log-spaced, fixed by the value alone."""
     v = col(value).cast("double")
-    size = F.floor(F.log1p(F.abs(v) * F.lit(1e9)) * F.lit(float(BUCKETS_PER_EFOLD)))
+    size = F.floor(F.log1p(F.abs(v) * F.lit(1e9)) * F.lit(float(per_efold)))
     return (F.signum(v) * size).cast("int")
 
 
@@ -35,6 +37,7 @@ def value_ladder(
     sums: Mapping[str, Column] | None = None,
     *,
     descending: bool = False,
+    per_efold: int = BUCKETS_PER_EFOLD,
 ) -> DataFrame:
     """One row per distinct value of each group with its place in the order.
 
@@ -49,7 +52,7 @@ def value_ladder(
         df.where(F.col(value).isNotNull())
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(n) for n, c in sums.items()])
-        .withColumn("_bucket", order_bucket(value))
+        .withColumn("_bucket", order_bucket(value, per_efold))
         .withColumn("_group", F.lit(0))
     )
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
@@ -166,10 +169,10 @@ def with_row_number(
 
 
 def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]
+    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], *, per_efold: int = BUCKETS_PER_EFOLD
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group (columns named by ``probs``)."""
-    ladder = value_ladder(df, by, value)
+    ladder = value_ladder(df, by, value, per_efold=per_efold)
     aggs = []
     for name, p in probs.items():
         pos = (F.col("total") - 1) * F.lit(float(p))

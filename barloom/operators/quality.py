@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from barloom.functions.frames import with_row
 from barloom.functions.rolling import Series, ratio
-from barloom.operators.order_stats import quantiles
+from barloom.operators.order_stats import WIDE_GROUPS, quantiles
 
 C = F.col
 S = Series("symbol", "date")
@@ -211,17 +211,20 @@ def unpivot(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataF
 
 
 def feature_quality(long: DataFrame) -> DataFrame:
-    """Missing share, moments, exact quantiles and outlier counts per feature (id rows unpivoted)."""
+    """Missing share, moments, exact quantiles and outlier counts per feature (id rows unpivoted).
+
+    Features are a fixed list, so their statistics are broadcast: a join on a few keys would make a task of each feature.
+    """
     probs = {"p01": 0.01, "p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99}
     moments = long.groupBy("feature").agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg(C("value").isNull().cast("double")).alias("missing_pct"),
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
     )
-    stats = moments.join(quantiles(long, ["feature"], "value", probs), "feature", "left")
+    stats = moments.join(quantiles(long, ["feature"], "value", probs, per_efold=WIDE_GROUPS), "feature", "left")
     iqr = C("q3") - C("q1")
     v = C("value")
-    outliers = long.join(stats, "feature").groupBy("feature").agg(
+    outliers = long.join(F.broadcast(stats), "feature").groupBy("feature").agg(
         F.count(F.when((iqr > 0) & ((v < C("q1") - 3 * iqr) | (v > C("q3") + 3 * iqr)), 1)).alias("iqr_outliers"),
         F.count(F.when((C("std") > 0) & (F.abs(v - C("mean")) > 5 * C("std")), 1)).alias("z_outliers"),
     )
@@ -233,7 +236,7 @@ def drift_report(long: DataFrame) -> DataFrame:
     splits = ("train", "validation", "final_test")
     per = long.groupBy("feature", "split").agg(
         F.avg("value").alias("mean"), F.avg(C("value").isNull().cast("double")).alias("missing")
-    ).join(quantiles(long, ["feature", "split"], "value", {"median": 0.5}), ["feature", "split"], "left")
+    ).join(quantiles(long, ["feature", "split"], "value", {"median": 0.5}, per_efold=WIDE_GROUPS), ["feature", "split"], "left")
     wide = per.groupBy("feature").agg(*[
         F.max(F.when(C("split") == s, C(m))).alias(f"{s}_{m}")
         for s in splits for m in ("mean", "median", "missing")
@@ -267,7 +270,7 @@ def label_distribution(labelled: DataFrame, scopes: Mapping[str, Column | None])
         share(0).alias("neutral_pct"), share(-1).alias("underperform_pct"),
         F.avg("excess_return").alias("mean_excess"),
     )
-    med = quantiles(x, ["scope", "scope_value"], "excess_return", {"median_excess": 0.5})
+    med = quantiles(x, ["scope", "scope_value"], "excess_return", {"median_excess": 0.5}, per_efold=WIDE_GROUPS)
     return stats.join(med, ["scope", "scope_value"], "left")
 
 

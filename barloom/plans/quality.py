@@ -11,6 +11,7 @@ from barloom.plans import shapes as sh
 from barloom.plans.registry import query
 from barloom.plans.shapes import define_cte, with_
 from barloom.plans.sqlkit import chg, div, lag, roll, rsi
+from barloom.sources.staging import stage
 
 C = F.col
 DOY = lambda: F.dayofyear("date")
@@ -205,7 +206,8 @@ sh._CTES["flong"] = (sh._CTES["flong"][0].replace("UNPIVOT INCLUDE NULLS (SELECT
 def feature_rows(spark, sf):
     df = ft.add_returns(sh.bars(spark, sf))
     df = ft.add_volume(ft.add_volatility(ft.add_rsi(df)))
-    return ql.unpivot(df, ["symbol", "date"], _FEATS)
+    # moments, quantiles and outliers read the rows: the windows run once
+    return ql.unpivot(stage(df.select("symbol", "date", *_FEATS), "features"), ["symbol", "date"], _FEATS)
 
 
 @query(
@@ -263,8 +265,9 @@ def feature_drift(spark, sf):
     ),
 )
 def label_distribution(spark, sf):
+    rows = lp.labelled(spark, sf).select("date", "sector", "label", "excess_return")
     return ql.label_distribution(
-        lp.labelled(spark, sf),
+        stage(rows, "labels"),
         {"overall": None, "by_year": F.year("date"), "by_sector": C("sector"), "by_split": split_name()},
     )
 
