@@ -385,6 +385,26 @@ def test_html_copies_on_a_host_keep_their_text(spark):
 # --- urls
 
 
+def test_html_notices_inside_articles_are_found_by_repeats(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
+    notice, short, passage, copied = words(9), words(5), words(40), [words(8) for _ in range(6)]
+    page = lambda *blocks: "<body><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article></body>"
+    texts = [(words(30), notice, words(20)) for _ in range(6)]
+    rows = [(k, f"http://notes.com/{k}", page(*t)) for k, t in enumerate(texts)]
+    rows += [(10, "http://notes.com/a", page(notice)), (11, "http://notes.com/b", page(words(9), notice[:-1]))]
+    # copies with other ends, and a passage on most pages of a host: kept whole
+    rows += [(20 + k, f"http://copies.com/{k}", page(words(30), *copied, passage)) for k in range(8)]
+    # fewer than half of the host's pages, and too few pages
+    rows += [(40 + k, f"http://some.com/{k}", page(words(30), short if k < 6 else words(5))) for k in range(13)]
+    rows += [(60 + k, f"http://few.com/{k}", page(words(30), notice)) for k in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    plain = {k: "\n\n".join(t for t, _ in html_text.blocks_of(h)) for k, _, h in rows}
+    assert all(got[k] == "\n\n".join(t[::2]) for k, t in enumerate(texts))
+    assert all(got[k] == plain[k] for k in plain if k >= 10)
+
+
 def test_url_rules_and_aliases(spark):
     link = lambda u: f'<html><head><link rel="canonical" href="{u}"></head>'
     rows = [
