@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -405,6 +406,52 @@ def test_html_notices_inside_articles_are_found_by_repeats(spark):
     assert all(got[k] == plain[k] for k in plain if k >= 10)
 
 
+def _articles_by_hand(pages):
+    """The rule for articles on whole streams: (host, texts of the blocks) by page, in plain Python."""
+    runs_of = lambda blocks: {tuple(t[i : i + 6]) for t in [" ".join(blocks).split()] for i in range(len(t) - 5)}
+    out = {}
+    for host in {h for h, _ in pages.values()}:
+        distinct = {blocks for h, blocks in pages.values() if h == host}
+        long = Counter(b for blocks in distinct for b in set(blocks) if len(b.split()) >= 24)
+        voters = [blocks for blocks in distinct if not any(long[b] > 1 for b in blocks)]
+        often = lambda seen: {x for x, n in Counter(seen).items() if n >= 5 and 2 * n > len(voters)}  # noqa: B023, E731
+        whole, runs = often(b for blocks in voters for b in set(blocks)), often(r for blocks in voters for r in runs_of(blocks))
+        for k, (h, blocks) in pages.items():
+            if h != host:
+                continue
+            tokens, covered, at, drop = " ".join(blocks).split(), set(), 0, []
+            for i in range(len(tokens)):
+                covered |= set(range(i, i + 6)) if tuple(tokens[i : i + 6]) in runs else set()
+            for b in blocks:
+                size = len(b.split())
+                drop.append(b in whole or covered >= set(range(at, at + size)))
+                at += size
+            gone = sum(len(b.split()) for b, d in zip(blocks, drop, strict=True) if d)
+            out[k] = "\n\n".join(b for b, d in zip(blocks, drop, strict=True) if not d or 2 * gone > len(tokens))
+    return out
+
+
+def test_html_every_place_of_an_article_is_in_the_order(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
+    first, second, third, rare, copied = words(9), words(8), words(12), words(10), words(30)
+    pages = {k: ("two.com", (words(20), first, second, words(14))) for k in range(6)}
+    pages[6] = ("two.com", (words(40), f"{first} {second}", words(5)))  # both in one block, and in one that goes on
+    pages[7] = ("two.com", (words(40), f"{first} {words(3)}", second))
+    pages[8] = pages[6]
+    pages |= {k: ("few.com", (words(20), f"{first} {second}")) for k in range(10, 14)}
+    for k in range(100, 260):  # more pages than are counted together
+        blocks = [words(25), third if k % 2 else f"{words(2)} {third}", *([rare] if k % 20 < 9 else []), *([copied] if k > 240 else [])]
+        pages[k] = ("large.com", tuple(rng.sample(blocks, len(blocks))))
+    pages |= {300 + k: ("large.com", (words(30), f"{third} {third}")) for k in range(3)}
+    page = lambda blocks: "<body><nav>menu</nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article></body>"
+    rows = [(k, f"http://{host}/{k % 8}", page(blocks)) for k, (host, blocks) in pages.items()]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == _articles_by_hand(pages)
+    assert got[6] == got[8] == "\n\n".join(pages[6][1][::2]) and first in got[7] and second not in got[7]
+    assert third not in got[301] and third in got[100] and third not in got[101]
+
+
 def test_url_rules_and_aliases(spark):
     link = lambda u: f'<html><head><link rel="canonical" href="{u}"></head>'
     rows = [
