@@ -7,15 +7,15 @@ session, which bounds every window partition by the length of the calendar.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from barloom.functions.rolling import Series, flag, ratio
 
@@ -24,6 +24,7 @@ C = F.col
 
 RETURN_ROWS = (1, 5, 10, 20, 60, 120, 252)
 SMA_ROWS = (20, 50, 100, 200)
+BETA_ROWS, CORR_ROWS = (60, 120, 252), (20, 60, 120)
 
 
 def gain_loss_rsi(gain: Column, loss: Column) -> Column:
@@ -158,8 +159,13 @@ def add_extremes(df: DataFrame, s: Series = S, year: int = 252) -> DataFrame:
     return df.withColumns(out).drop("_ph20", "_ph50", "_ph100", "_hi", "_lo")
 
 
-def _pair_columns(x: np.ndarray, y: np.ndarray, row: np.ndarray, betas: Sequence[int], corrs: Sequence[int]) -> dict[str, np.ndarray]:
-    """Slopes and correlations of ``x`` on ``y`` over full frames of known rows; ``row``: number of the row in its series."""
+def _pair_columns(
+    x: np.ndarray, y: np.ndarray, row: np.ndarray, betas: Sequence[int], corrs: Sequence[int], wanted: np.ndarray | None = None
+) -> dict[str, np.ndarray]:
+    """Slopes and correlations of ``x`` on ``y`` over full frames of known rows; ``row``: number of the row in its series.
+
+    Rows that are not ``wanted`` get none.
+    """
     known = np.concatenate([[0], np.cumsum(np.isfinite(x) & np.isfinite(y))])
     out = {f"beta_{n}": np.full(len(x), np.nan) for n in betas} | {f"corr_{n}": np.full(len(x), np.nan) for n in corrs}
     for n in sorted({*betas, *corrs}):
@@ -167,6 +173,7 @@ def _pair_columns(x: np.ndarray, y: np.ndarray, row: np.ndarray, betas: Sequence
             continue
         at = np.arange(n - 1, len(x))
         at = at[(row[at] >= n) & (known[at + 1] - known[at + 1 - n] == n)]
+        at = at if wanted is None else at[wanted[at]]
         # less the frame's first value, so that a flat frame has no spread at all
         a, b = (np.lib.stride_tricks.sliding_window_view(v, n)[at + 1 - n] for v in (x, y))
         a, b = a - a[:, :1], b - b[:, :1]
@@ -221,9 +228,8 @@ def add_benchmark(df: DataFrame, bench: DataFrame, s: Series = S) -> DataFrame:
             "relative_momentum_20d_vs_60d": C("rs_vs_bench_20d") - C("rs_vs_bench_60d"),
         }
     )
-    betas, corrs = (60, 120, 252), (20, 60, 120)
-    df = df.withColumn("_pair", pair_windows(C("ret_1d"), C("_br"), C("_row"), betas, corrs))
-    out = {f"beta_{n}d": C(f"_pair.beta_{n}") for n in betas} | {f"corr_bench_{n}d": C(f"_pair.corr_{n}") for n in corrs}
+    df = df.withColumn("_pair", pair_windows(C("ret_1d"), C("_br"), C("_row"), BETA_ROWS, CORR_ROWS))
+    out = {f"beta_{n}d": C(f"_pair.beta_{n}") for n in BETA_ROWS} | {f"corr_bench_{n}d": C(f"_pair.corr_{n}") for n in CORR_ROWS}
     return df.withColumns(out).drop("_br", "_row", "_pair")
 
 
@@ -364,6 +370,8 @@ RECURSIVE_SCHEMA = (
     "macd double, macd_signal double, rsi_wilder_14 double, atr_wilder_14 double, adx_wilder_14 double"
 )
 
+RECURSIVE_COLUMNS = [f.split(" ")[0] for f in RECURSIVE_SCHEMA.split(", ")][2:]
+
 
 def _smooth(x: np.ndarray, alpha: np.ndarray, need: np.ndarray) -> np.ndarray:
     """Recursive means of the columns of ``x``, as ``ewm(alpha, adjust=False, min_periods=need).mean()`` gives them."""
@@ -482,18 +490,198 @@ def add_stock_specific(df: DataFrame, s: Series = S) -> DataFrame:
     return df.withColumns(out).drop("_vchg", "_pc")
 
 
-def with_recursive(panel: DataFrame) -> DataFrame:
-    """``panel`` with the recursive columns, from the same grouped pass; rows without a date have none."""
-    types = dict(panel.dtypes)
-    made = [f.split(" ")[0] for f in RECURSIVE_SCHEMA.split(", ")][2:]
+def _frames(x: np.ndarray, n: int, join: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """``join`` over the ``n`` values ending at each place, from frames of doubled length; NaN where one is missing."""
+    out, covered, size, rest = None, 0, 1, n
+    while rest:
+        if rest & 1:
+            part = _back(x, covered)
+            out = part if out is None else join(out, part)
+            covered += size
+        rest >>= 1
+        if rest:
+            x = join(x, _back(x, size))
+            size *= 2
+    return out
+
+
+def _back(x: np.ndarray, n: int) -> np.ndarray:
+    """The value ``n`` places before, NaN before the first."""
+    out = np.full_like(x, np.nan)
+    out[n:] = x[: max(len(x) - n, 0)]
+    return out
+
+
+def _deviation(x: np.ndarray, n: int) -> np.ndarray:
+    """Sample deviation of the ``n`` values ending at each place, joined from halves: a flat frame has none at all."""
+    mean, squares, size = x, np.where(np.isnan(x), np.nan, 0.0), 1
+    out, covered, rest = None, 0, n
+    while rest:
+        if rest & 1:
+            part = _back(mean, covered), _back(squares, covered), size
+            out = part if out is None else _joined(out, part)
+            covered += size
+        rest >>= 1
+        if rest:
+            mean, squares, size = _joined((mean, squares, size), (_back(mean, size), _back(squares, size), size))
+    return np.sqrt(out[1] / (n - 1))
+
+
+def _joined(a: tuple[np.ndarray, np.ndarray, int], b: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray, int]:
+    apart, n = b[0] - a[0], a[2] + b[2]
+    return a[0] + apart * (b[2] / n), a[1] + b[1] + apart * apart * (a[2] * b[2] / n), n
+
+
+class _Rows:
+    """Windows of :class:`Series` over arrays that hold whole series one after the other; ``row``: number in the series."""
+
+    def __init__(self, row: np.ndarray):
+        self.row = row
+
+    def lag(self, x: np.ndarray, n: int = 1) -> np.ndarray:
+        return np.where(self.row > n, _back(x, n), np.nan)
+
+    def change(self, x: np.ndarray, n: int = 1) -> np.ndarray:
+        return _ratio(x, self.lag(x, n)) - 1.0
+
+    def diff(self, x: np.ndarray, n: int = 1) -> np.ndarray:
+        return x - self.lag(x, n)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = _recursive_group(pdf)[made]
-        return pd.concat([pdf, values.where(pdf["date"].notna(), axis=0) if pdf["date"].isna().any() else values], axis=1)
+    def full(self, x: np.ndarray, n: int) -> np.ndarray:
+        return np.where(self.row >= n, x, np.nan)
 
-    schema = ", ".join([*[f"{c} {t}" for c, t in types.items()], *[f"{c} double" for c in made]])
-    out = panel.groupBy("symbol").applyInPandas(run, schema)
-    return out.withColumns({c: F.nanvl(C(c), F.lit(None).cast("double")) for c in made})
+    def sum(self, x: np.ndarray, n: int) -> np.ndarray:
+        return self.full(_frames(x, n, np.add), n)
+
+    def mean(self, x: np.ndarray, n: int) -> np.ndarray:
+        return self.sum(x, n) / n
+
+    def std(self, x: np.ndarray, n: int) -> np.ndarray:
+        return self.full(_deviation(x, n), n)
+
+    def max(self, x: np.ndarray, n: int) -> np.ndarray:
+        return self.full(_frames(x, n, np.maximum), n)
+
+    def min(self, x: np.ndarray, n: int) -> np.ndarray:
+        return self.full(_frames(x, n, np.minimum), n)
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a / np.where(b != 0, b, np.nan)
+
+
+def _rsi(s: _Rows, close: np.ndarray, n: int = 14) -> np.ndarray:
+    move = s.diff(close)
+    gain, loss = s.mean(np.maximum(move, 0.0), n), s.mean(np.maximum(-move, 0.0), n)
+    return np.where((loss == 0) & (gain > 0), 100.0, np.where((loss == 0) & (gain == 0), 50.0, 100.0 - 100.0 / (1.0 + _ratio(gain, loss))))
+
+
+def _directions(s: _Rows, high: np.ndarray, low: np.ndarray, atr: np.ndarray, n: int = 14) -> dict[str, np.ndarray]:
+    up, down = s.diff(high), -s.diff(low)
+    plus = 100.0 * _ratio(s.sum(np.where((up > down) & (up > 0), up, 0.0), n), atr)
+    minus = 100.0 * _ratio(s.sum(np.where((down > up) & (down > 0), down, 0.0), n), atr)
+    return {"plus_di_14": plus, "minus_di_14": minus, "adx_14": s.mean(100.0 * _ratio(np.abs(plus - minus), plus + minus), n)}
+
+
+def _technical_block(x: dict[str, np.ndarray], row: np.ndarray) -> dict[str, np.ndarray]:
+    """What :func:`technical_features` makes of whole series of a panel, whose benchmark closes stand beside."""
+    s, close, high, low, volume, bench = _Rows(row), x["close"], x["high"], x["low"], x["volume"], x["bench_close"]
+    with np.errstate(all="ignore"):
+        o = {f"ret_{n}d": s.change(close, n) for n in RETURN_ROWS}
+        o |= {f"sma_{n}": s.mean(close, n) for n in SMA_ROWS}
+        o |= {f"price_to_sma_{n}": _ratio(close, o[f"sma_{n}"]) - 1.0 for n in SMA_ROWS}
+        o["rsi_14"] = _rsi(s, close)
+        prev = s.lag(close)
+        tr = np.fmax(np.fmax(high - low, np.abs(high - prev)), np.abs(low - prev))
+        o |= {f"atr_{n}": s.mean(tr, n) for n in (14, 50)}
+        o |= _directions(s, high, low, o["atr_14"])
+        o |= {f"volatility_{n}d": s.std(o["ret_1d"], n) for n in (20, 60, 120)}
+        mid, sd = o["sma_20"], s.std(close, 20)
+        o["bb_width_20"], o["bb_percent_b_20"] = _ratio(4.0 * sd, mid), _ratio(close - (mid - 2.0 * sd), 4.0 * sd)
+        average, rose, fell = s.mean(volume, 20), o["ret_1d"] > 0, o["ret_1d"] < 0
+        o["volume_to_avg20"], o["volume_trend_20d"] = _ratio(volume, average), _ratio(s.mean(volume, 5), average) - 1.0
+        o["up_down_volume_ratio_20d"] = _ratio(s.sum(np.where(rose, volume, 0.0), 20), s.sum(np.where(fell, volume, 0.0), 20))
+        o["price_return_x_volume_ratio"] = o["ret_20d"] * o["volume_to_avg20"]
+        o["positive_price_volume_confirmation"] = ((o["ret_20d"] > 0) & (o["volume_to_avg20"] > 1)).astype(float)
+        o["momentum_20d_vs_60d"], o["momentum_60d_vs_120d"] = o["ret_20d"] - o["ret_60d"], o["ret_60d"] - o["ret_120d"]
+        o["momentum_20d_change"], o["volatility_20d_change"] = s.diff(o["ret_20d"], 20), s.diff(o["volatility_20d"], 20)
+        o["volatility_20d_to_60d"], o["atr_14_to_atr_50"] = _ratio(o["volatility_20d"], o["volatility_60d"]), _ratio(o["atr_14"], o["atr_50"])
+        o["bb_width_to_avg_120d"] = _ratio(o["bb_width_20"], s.mean(o["bb_width_20"], 120))
+        for n in (20, 50, 100):
+            prior = s.lag(s.max(high, n))
+            o[f"distance_prev_{n}d_high"], o[f"breakout_prev_{n}d_high"] = _ratio(close, prior) - 1.0, (close > prior).astype(float)
+        o["distance_52w_high"] = _ratio(close, s.max(high, 252)) - 1.0
+        o["distance_52w_low"] = _ratio(close, s.min(low, 252)) - 1.0
+        o |= {f"rs_vs_bench_{n}d": o[f"ret_{n}d"] - s.change(bench, n) for n in (20, 60, 120, 252)}
+        o["relative_momentum_20d_change"] = s.diff(o["rs_vs_bench_20d"], 20)
+        o["relative_momentum_20d_vs_60d"] = o["rs_vs_bench_20d"] - o["rs_vs_bench_60d"]
+    return o
+
+
+def _complete_block(rows: pa.Table, made: Sequence[str], keep: Sequence[str]) -> pa.Table:
+    """Complete rows of whole symbols, sorted by symbol and date (no date: first), with the columns ``made``."""
+    codes = rows["symbol"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    row = np.arange(len(codes)) - np.repeat(starts, np.diff(np.r_[starts, len(codes)])) + 1
+    x = {c: rows[c].to_numpy().astype(float) for c in ("close", "high", "low", "volume", "bench_close")}
+    o = _technical_block(x, row)
+    dated = rows["date"].is_valid().to_numpy()
+    days = rows["date"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    recursive = _recursive_block(pd.DataFrame({"symbol": codes[dated], "date": days[dated]} | {c: x[c][dated] for c in ("close", "high", "low")}))
+    for c in RECURSIVE_COLUMNS:
+        o[c] = np.full(len(codes), np.nan)
+        o[c][dated] = recursive[c].to_numpy()
+    missing = lambda own: np.isnan(np.column_stack([o[c] for c in BASE_FEATURES if (c in RECURSIVE_COLUMNS) == own])).any(axis=1)
+    complete = dated & ~missing(False)
+    with np.errstate(all="ignore"):
+        s = _Rows(row)
+        pairs = _pair_columns(o["ret_1d"], s.change(x["bench_close"]), row, BETA_ROWS, CORR_ROWS, complete)
+    o |= {f"beta_{n}d": pairs[f"beta_{n}"] for n in BETA_ROWS} | {f"corr_bench_{n}d": pairs[f"corr_{n}"] for n in CORR_ROWS}
+    of = at = np.flatnonzero(complete)
+    first = np.r_[True, (codes[1:] != codes[:-1]) | (days[1:] != days[:-1]) | ~dated[:-1]][: len(codes)]
+    if not first.all():  # a date that a symbol has twice meets all of its recursive rows, as in a join on both keys
+        begin = np.flatnonzero(first)
+        size = np.diff(np.r_[begin, len(codes)])
+        place = np.cumsum(first)[at] - 1
+        of = np.repeat(at, size[place])
+        at = np.concatenate([np.empty(0, np.int64), *(np.arange(begin[p], begin[p] + size[p]) for p in place)])
+    left = ~missing(True)[at]
+    of, at = of[left], at[left]
+    columns = [rows[c].take(pa.array(of)) for c in keep]
+    columns += [pa.array(o[c][at if c in RECURSIVE_COLUMNS else of], pa.float64(), from_pandas=True) for c in made]
+    return pa.table(columns, names=[*keep, *made])
+
+
+def complete_features(panel: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``technical_features`` and ``recursive_features`` of the rows of a panel that have all of ``BASE_FEATURES``.
+
+    ``panel`` has benchmark closes (``bench_close``); its columns ``carry`` stay. Rows are sorted by symbol and date and go on
+    many symbols at a time, some ``RECURSIVE_ROWS`` rows; no symbol is cut, and a symbol's rows are bounded by the calendar.
+    Frames grow by doubling, so a row costs the logarithm of their lengths.
+    """
+    keep = ["symbol", "date", "close", *carry]
+    made = [*BASE_FEATURES, *(f for f in ADVANCED_FEATURES if not f.startswith("sector_"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) < RECURSIVE_ROWS:
+                continue
+            rows = pa.Table.from_batches(held)
+            codes = rows["symbol"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cut = int(np.flatnonzero(codes != codes[-1]).max(initial=-1)) + 1  # the last symbol may go on
+            if cut:
+                yield from _complete_block(rows.slice(0, cut), made, keep).to_batches()
+            held = rows.slice(cut).to_batches()
+        if held and sum(x.num_rows for x in held):
+            yield from _complete_block(pa.Table.from_batches(held), made, keep).to_batches()
+
+    inputs = list(dict.fromkeys([*keep, "high", "low", "volume", "bench_close"]))
+    doubles = {c: "double" for c in ("close", "high", "low", "volume", "bench_close")}
+    types = dict(panel.dtypes) | {"close": "double"}
+    sorted_rows = panel.select(*[C(c).cast(doubles[c]).alias(c) if c in doubles else C(c) for c in inputs]).repartition("symbol").sortWithinPartitions("symbol", "date")
+    return sorted_rows.mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], *[f"{c} double" for c in made]]))
 
 
 BASE_FEATURES = [
@@ -556,13 +744,10 @@ def feature_matrix(panel: DataFrame, bench: DataFrame, variant: str = "advanced"
     if variant not in VARIANTS:
         raise ValueError(f"unknown feature variant {variant!r}")
     keep = VARIANTS[variant]
-    made = [f.split(" ")[0] for f in RECURSIVE_SCHEMA.split(", ")][2:]
-    # a date that a symbol has twice meets all of its recursive rows, as in a join on both keys
-    same = F.collect_list(F.struct(*made)).over(Window.partitionBy("symbol", "date"))
-    df = technical_features(with_recursive(panel)).withColumn("_same", same).drop(*made)
-    df = add_benchmark(df, bench).withColumn("_same", F.explode("_same")).select("*", "_same.*").drop("_same")
+    closes = bench.select("date", C("close").alias("bench_close"))
+    df = complete_features(panel.join(F.broadcast(closes), "date", "left"), [*(["sector"] if variant != "baseline" else []), *carry])
     if variant != "baseline":
         df = add_sector_relative(df, sector_series_features(equal_weight_sectors(panel)))
     if variant in ("sector_regime", "advanced"):
         df = df.join(F.broadcast(market_regime_features(bench, breadth_by_date(panel))), "date", "left")
-    return df.select("date", "symbol", "close", *keep, *carry).dropna(subset=BASE_FEATURES)
+    return df.select("date", "symbol", "close", *keep, *carry)

@@ -60,10 +60,10 @@ def labelled(spark, sf):
     return lb.excess_labels(sh.sector_bars(spark, sf, panel), bench)
 
 
-def predictions(spark, sf):
-    """Labelled rows with two deterministic scores: 26-4 week momentum and 3-week reversal."""
+def predictions(spark, sf, stored=None):
+    """Labelled rows with two deterministic scores: 26-4 week momentum and 3-week reversal; from ``stored`` bars, if given."""
     s = lb.S
-    panel, bench = sh.stored_bars(spark, sf)
+    panel, bench = stored or sh.stored_bars(spark, sf)
     panel = sh.sector_bars(spark, sf, panel).withColumns(
         {
             "score": lb.ratio(s.lag("close", 4), s.lag("close", 26)) - 1.0,

@@ -41,10 +41,11 @@ def _groups() -> dict[str, list[str]]:
 
 def _rows(spark, sf):
     """All columns of the feature matrix with the target; folds are quarters, as the longest window leaves two years."""
-    labels = lp.predictions(spark, sf).groupBy("symbol", "date").agg(F.collect_list("y").alias("_ys"))
-    panel = sh.sector_bars(spark, sf)
+    stored = sh.stored_bars(spark, sf)
+    labels = lp.predictions(spark, sf, stored).groupBy("symbol", "date").agg(F.collect_list("y").alias("_ys"))
+    panel = sh.sector_bars(spark, sf, stored[0])
     # the target joins the narrow bars, so that the wide rows of the matrix meet no join of their size
-    matrix = ft.feature_matrix(panel.join(labels, ["symbol", "date"], "left"), sh.benchmark(spark, sf), carry=["_ys"])
+    matrix = ft.feature_matrix(panel.join(labels, ["symbol", "date"], "left"), stored[1], carry=["_ys"])
     return matrix.withColumn("y", F.explode("_ys")).drop("_ys").withColumn("fold", (F.year("date") - 1994) * 4 + F.quarter("date"))
 
 

@@ -100,3 +100,44 @@ def test_matrix_shuffles_no_wide_rows(spark, panel):
     one = {r.symbol: r["count"] for r in single.groupBy("symbol").count().collect()}
     assert got["S1"] == one["S1"]
     assert got["S2"] % 4 == 0 and got["S2"] > one["S2"]
+
+
+def test_matrix_equals_window_operators(spark, panel):
+    """Array frames over many symbols give what the windows give: gaps, flat and short series, rows without a date, small batches."""
+    df = panel.copy()
+    df["volume"] = df["volume"].where(~((df.symbol == "S0") & (df.index % 83 == 0)))
+    df.loc[(df.symbol == "S1") & (df.index % 7 == 0), "high"] = None
+    df.loc[df.symbol == "S3", ["open", "high", "low", "close"]] = 50.0
+    df.loc[df.symbol == "S4", "volume"] = 0.0
+    df = pd.concat([df, df[df.symbol == "S2"].assign(symbol="S9").iloc[:40], df[df.symbol == "S2"].assign(symbol=None)], ignore_index=True)
+    df = pd.concat([df, df[df.symbol == "S5"].iloc[5:7].assign(date=None)], ignore_index=True)
+    schema = "symbol string, date date, open double, high double, low double, close double, volume double, sector string"
+    bars = spark.createDataFrame(df.astype(object).where(df.notna(), None), schema).withColumn("tag", F.array(F.col("volume"), F.lit(1.0)))
+    bench = _bench(bars.where("date IS NOT NULL")).where("date <> '2020-03-05'")
+    keep = [f for f in ft.VARIANTS["advanced"] if f in {*ft.BASE_FEATURES, *ft.ADVANCED_FEATURES} and not f.startswith("sector_")]
+    want = ft.technical_features(bars, bench).withColumn("_k", F.coalesce("symbol", F.lit("-")))
+    same = ft.recursive_features(bars).withColumn("_k", F.coalesce("symbol", F.lit("-"))).drop("symbol")
+    want = want.join(same, ["_k", "date"]).dropna(subset=ft.BASE_FEATURES).select("symbol", "date", "close", *keep, "tag")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        got = ft.feature_matrix(bars, bench, carry=["tag"]).select(*want.columns).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in ft.feature_matrix(bars, bench)._jdf.queryExecution().executedPlan().toString()
+    a, b = (x.sort_values(["symbol", "date"]).reset_index(drop=True) for x in (got, want.toPandas()))
+    assert len(a) == len(b) > 100 and {"S2", "S5"} <= set(a.symbol.dropna()) and a.symbol.isna().any()
+    assert [list(t) for t in a["tag"]] == [list(t) for t in b["tag"]]
+    pd.testing.assert_frame_equal(a.drop(columns="tag"), b.drop(columns="tag"), rtol=1e-9, atol=1e-9)
+
+
+def test_symbols_go_on_many_at_a_time(panel):
+    """A block of several symbols equals its symbols alone; frames by doubling equal plain ones."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=400)
+    row = np.r_[np.arange(1, 151), np.arange(1, 251)]
+    s = ft._Rows(row)
+    for n in (1, 2, 5, 20, 100, 252):
+        plain = lambda f: np.concatenate([getattr(pd.Series(p).rolling(n), f)().to_numpy() for p in (x[:150], x[150:])])  # noqa: B023, E731
+        for f in ("sum", "mean", "max", "min", "std"):
+            assert np.allclose(getattr(s, f)(x, n), plain(f), equal_nan=True) or n == 1 and f == "std"
+    assert np.nanmax(s.std(np.full(400, 0.1), 20)) == 0
