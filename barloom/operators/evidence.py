@@ -26,8 +26,9 @@ def holder_links(holdings: DataFrame, hub: int = 32) -> DataFrame:
     weight, which shares one unit of a holder in d companies among its d - 1 partners, and the sum of the smaller percents.
     A holder of more than ``hub`` companies would make a number of pairs with the square of d; it stands between its
     companies as a ``hub`` row for each (source: the holder) with the same weight, so every link is a path of two rows.
-    Counts and the degree join are split by adaptive execution where a key is hot; the pairs of a smaller holder come from one
-    row with its companies, without a join. Rows stay below ``hub`` / 2 times the holdings.
+    Repeats are combined before holders meet, so a holder has at most as many rows in a task as there are companies. The pairs
+    of a smaller holder come from one row with its companies, without a join. Pairs are not shuffled one by one: each holding
+    goes once to the task of its company, with the companies after it (below ``hub`` / 2 of them on average) as arrays.
     """
     rows = holdings.where(C("holder").isNotNull() & C("company").isNotNull())
     rows = rows.groupBy("holder", "company").agg(F.max("percent").alias("percent"))
@@ -35,10 +36,14 @@ def holder_links(holdings: DataFrame, hub: int = 32) -> DataFrame:
     rows = rows.join(degree, "holder").withColumn("unit", 1.0 / (C("degree") - 1))
     # a small holder is one row with its companies in order; each meets the ones after it
     small = rows.where(C("degree") <= hub).groupBy("holder", "unit").agg(F.sort_array(F.collect_list(F.struct("company", "percent"))).alias("_all"))
-    firsts = small.select("unit", "_all", F.posexplode("_all").alias("_i", "_a"))
-    others = firsts.select("unit", "_a", F.explode(F.slice("_all", C("_i") + 2, F.lit(hub))).alias("_b"))
-    pairs = others.groupBy(C("_a.company").alias("source"), C("_b.company").alias("target")).agg(
-        F.count(F.lit(1)).alias("holders"), F.sum("unit").alias("weight"), F.sum(F.least("_a.percent", "_b.percent")).alias("overlap"))
+    firsts = small.select("unit", "_all", F.posexplode("_all").alias("_i", "_a")).where(F.size("_all") > C("_i") + 1)
+    later = F.slice("_all", C("_i") + 2, F.lit(hub))
+    lists = firsts.select(
+        C("_a.company").alias("source"), "unit", F.transform(later, lambda b: b["company"]).alias("_targets"),
+        F.transform(later, lambda b: F.least(C("_a.percent"), b["percent"])).alias("_least"))
+    others = lists.repartition("source").select("source", "unit", F.explode(F.arrays_zip("_targets", "_least")).alias("_b"))
+    pairs = others.groupBy("source", C("_b._targets").alias("target")).agg(
+        F.count(F.lit(1)).alias("holders"), F.sum("unit").alias("weight"), F.sum("_b._least").alias("overlap"))
     hubs = rows.where(C("degree") > hub).select(
         C("holder").alias("source"), C("company").alias("target"), F.lit(1).cast("bigint").alias("holders"), C("unit").alias("weight"), C("percent").alias("overlap"))
     return pairs.withColumn("relation", F.lit("common")).unionByName(hubs.withColumn("relation", F.lit("hub")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from barloom.operators import evidence as ev
 from barloom.plans import reports as rp
@@ -30,13 +31,12 @@ UNION ALL SELECT holder, c, 'hub', 1, 1.0 / CAST(d - 1 AS DOUBLE), percent FROM
 )
 def shared_holder_links(spark, sf):
     """Companies (suppliers) linked by common holders (parts); a holding is the share of the part's quantity."""
-    q = read(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("v"))
-    total = q.groupBy("l_partkey").agg(F.sum("v").alias("total"))
+    q = read(spark, sf, "lineitem").where("l_partkey IS NOT NULL").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("v"))
     unknown = F.lit(-(2**63))  # stands for a null key and sorts first, as its name does
     key = lambda c: F.coalesce(C(c).cast("bigint"), unknown)
     held = q.withColumns({"holder": key("l_partkey"), "company": key("l_suppkey")})
-    held = held.join(total, "l_partkey").select(
-        "holder", "company", (100 * C("v") / C("total")).alias("percent"))
+    total = F.sum("v").over(Window.partitionBy("holder"))
+    held = held.select("holder", "company", (100 * C("v") / total).alias("percent"))
     name = lambda letter, c: F.format_string(f"{letter}%012d", F.nullif(C(c), unknown))
     links = ev.holder_links(held, HUB)  # on numbers; named when the pairs are counted
     return links.withColumns({"source": F.when(C("relation") == "hub", name("P", "source")).otherwise(name("S", "source")), "target": name("S", "target")})

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import random
+import re
 from collections import defaultdict
 from datetime import date
 
@@ -47,6 +49,19 @@ def test_hot_holder_makes_a_row_per_company(spark):
     assert [(r.source, r.target, r.holders, r.weight, r.overlap) for r in out if r.relation == "common"] == [("C0000", "C0001", 1, 1.0, 2.0)]
 
 
+def test_holder_links_shuffle_holdings_not_pairs(spark):
+    plan = ev.holder_links(holdings(spark, HOLDINGS))._jdf.queryExecution().executedPlan().toString()
+    keys = {tuple(re.findall(r"(\w+)#\d+", k)) for k in re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)}
+    assert keys == {("holder", "company"), ("holder",), ("source",)}
+
+
+def test_holder_links_of_random_holdings(spark):
+    rng = random.Random(4)
+    rows = [(f"h{int(rng.random() ** 2 * 60)}", f"c{int(rng.random() ** 3 * 40):02d}", rng.choice([0.5, 1.0, 2.5, 7.25])) for _ in range(900)]
+    got = {(r.source, r.target, r.relation): [r.holders, r.weight, r.overlap] for r in ev.holder_links(holdings(spark, rows).repartition(7), 9).collect()}
+    assert got == brute_links(rows, 9) and {"common", "hub"} == {k[2] for k in got}
+
+
 def test_holder_links_of_an_empty_table(spark):
     assert ev.holder_links(holdings(spark, [])).collect() == []
 
