@@ -490,8 +490,18 @@ def add_stock_specific(df: DataFrame, s: Series = S) -> DataFrame:
     return df.withColumns(out).drop("_vchg", "_pc")
 
 
-def _frames(x: np.ndarray, n: int, join: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """``join`` over the ``n`` values ending at each place, from frames of doubled length; NaN where one is missing."""
+def _total(x: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the ``n`` values ending at each place, added from the first on as a window adds them; NaN where one is missing."""
+    out = np.full(len(x), np.nan)
+    if (m := len(x) - n + 1) > 0:
+        out[n - 1 :] = x[:m]
+        for k in range(1, n):
+            out[n - 1 :] += x[k : k + m]
+    return out
+
+
+def _extreme(x: np.ndarray, n: int, join: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """``join`` (maximum or minimum) over the ``n`` values ending at each place, from frames of doubled length."""
     out, covered, size, rest = None, 0, 1, n
     while rest:
         if rest & 1:
@@ -513,23 +523,17 @@ def _back(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _deviation(x: np.ndarray, n: int) -> np.ndarray:
-    """Sample deviation of the ``n`` values ending at each place, joined from halves: a flat frame has none at all."""
-    mean, squares, size = x, np.where(np.isnan(x), np.nan, 0.0), 1
-    out, covered, rest = None, 0, n
-    while rest:
-        if rest & 1:
-            part = _back(mean, covered), _back(squares, covered), size
-            out = part if out is None else _joined(out, part)
-            covered += size
-        rest >>= 1
-        if rest:
-            mean, squares, size = _joined((mean, squares, size), (_back(mean, size), _back(squares, size), size))
-    return np.sqrt(out[1] / (n - 1))
-
-
-def _joined(a: tuple[np.ndarray, np.ndarray, int], b: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray, int]:
-    apart, n = b[0] - a[0], a[2] + b[2]
-    return a[0] + apart * (b[2] / n), a[1] + b[1] + apart * apart * (a[2] * b[2] / n), n
+    """Sample deviation of the ``n`` values ending at each place, updated value by value as a window does: none on a flat frame."""
+    out = np.full(len(x), np.nan)
+    if (m := len(x) - n + 1) > 0 and n > 1:
+        mean, squares = x[:m].copy(), np.zeros(m)
+        for k in range(1, n):
+            apart = x[k : k + m] - mean
+            step = apart / (k + 1)
+            mean += step
+            squares += apart * (apart - step)
+        out[n - 1 :] = np.sqrt(squares / (n - 1))
+    return out
 
 
 class _Rows:
@@ -551,7 +555,7 @@ class _Rows:
         return np.where(self.row >= n, x, np.nan)
 
     def sum(self, x: np.ndarray, n: int) -> np.ndarray:
-        return self.full(_frames(x, n, np.add), n)
+        return self.full(_total(x, n), n)
 
     def mean(self, x: np.ndarray, n: int) -> np.ndarray:
         return self.sum(x, n) / n
@@ -560,10 +564,10 @@ class _Rows:
         return self.full(_deviation(x, n), n)
 
     def max(self, x: np.ndarray, n: int) -> np.ndarray:
-        return self.full(_frames(x, n, np.maximum), n)
+        return self.full(_extreme(x, n, np.maximum), n)
 
     def min(self, x: np.ndarray, n: int) -> np.ndarray:
-        return self.full(_frames(x, n, np.minimum), n)
+        return self.full(_extreme(x, n, np.minimum), n)
 
 
 def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -657,7 +661,7 @@ def complete_features(panel: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 
     ``panel`` has benchmark closes (``bench_close``); its columns ``carry`` stay. Rows are sorted by symbol and date and go on
     many symbols at a time, some ``RECURSIVE_ROWS`` rows; no symbol is cut, and a symbol's rows are bounded by the calendar.
-    Frames grow by doubling, so a row costs the logarithm of their lengths.
+    Sums and deviations go through a frame in the order of the windows, for all rows of a block at once, so they are equal to the bit.
     """
     keep = ["symbol", "date", "close", *carry]
     made = [*BASE_FEATURES, *(f for f in ADVANCED_FEATURES if not f.startswith("sector_"))]
